@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from assayer.plans import run_queries  # noqa: F401
+from assayer.plans import metric_queries, run_queries  # noqa: F401
 from assayer.plans.registry import QUERIES
 
 __all__ = ["QUERIES"]
