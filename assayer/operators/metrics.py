@@ -17,6 +17,11 @@ from assayer.functions.numbers import metric_div, ratio
 STEP = "_step"
 
 
+def le_text(bound: float) -> str:
+    """A bucket bound as label text."""
+    return f"{bound:g}"
+
+
 def step_of(t: Column, step_s: int) -> Column:
     return (F.floor(t / step_s) * step_s).cast("bigint")
 
@@ -35,12 +40,13 @@ def emit_histogram(
 ) -> DataFrame:
     """Per series and tick: one row per bound with the count at or below it (+Inf last).
 
-    The bounds are plain conditional sums, so events are never multiplied by the bounds.
+    The bounds are plain conditional sums, so events are never multiplied by the bounds. ``le`` is
+    text as in any label; a DOUBLE key would be normalised anew, and shuffled again, in each stage.
     """
     counts = [F.count(F.when(value <= F.lit(b), 1)).alias(f"_b{i}") for i, b in enumerate(bounds)]
     wide = events.groupBy(*labels, step_of(t, tick_s).alias("t")).agg(*counts, F.count(value).alias("_all"))
-    rows = [F.struct(F.lit(float(b)).alias("le"), F.col(f"_b{i}").alias("delta")) for i, b in enumerate(bounds)]
-    rows.append(F.struct(F.lit(float("inf")).alias("le"), F.col("_all").alias("delta")))
+    rows = [F.struct(F.lit(le_text(b)).alias("le"), F.col(f"_b{i}").alias("delta")) for i, b in enumerate(bounds)]
+    rows.append(F.struct(F.lit("+Inf").alias("le"), F.col("_all").alias("delta")))
     return wide.select(*labels, "t", F.inline(F.array(*rows)))
 
 
@@ -152,14 +158,83 @@ def _slide(steps: DataFrame, step_s: int, window_s: int) -> DataFrame:
 # ---- range evaluation ------------------------------------------------------------------------
 
 
-def increase(
-    samples: DataFrame, series: Sequence[str], window_s: int, step_s: int, mode: str = "exact"
+def increments(samples: DataFrame, series: Sequence[str], step_s: int) -> DataFrame:
+    """What each series gained between neighbouring samples, by the steps the two samples lie in.
+
+    Rows (series, from_step, to_step, delta). A value below the one before it is a restart from
+    zero. A window's increase is the sum of the gains whose two samples both lie inside it, so gains
+    add up over series, can be combined by any labels first, and need no running correction.
+    """
+    by_step = Window.partitionBy(*series, STEP).orderBy("t")
+    inside = (
+        samples.withColumn(STEP, step_of(F.col("t"), step_s))
+        .withColumn("_gain", _gain(F.lag("value").over(by_step), F.col("value")))
+        .groupBy(*series, STEP)
+        .agg(
+            F.min_by("value", "t").alias("_first"),
+            F.max_by("value", "t").alias("_last"),
+            F.sum("_gain").alias("_inner"),
+        )
+    )
+    w = Window.partitionBy(*series).orderBy(STEP)
+    edges = inside.withColumn("_prev", F.lag(STEP).over(w)).withColumn(
+        "_edge", _gain(F.lag("_last").over(w), F.col("_first"))
+    )
+    rows = F.array(
+        F.struct(F.col(STEP).alias("from_step"), F.col(STEP).alias("to_step"), F.col("_inner").alias("delta")),
+        F.struct(F.col("_prev").alias("from_step"), F.col(STEP).alias("to_step"), F.col("_edge").alias("delta")),
+    )
+    return edges.select(*series, F.inline(rows)).where(F.col("delta").isNotNull())
+
+
+def _gain(before: Column, now: Column) -> Column:
+    return F.when(before.isNotNull(), F.when(now < before, now).otherwise(now - before))
+
+
+def windowed(
+    gains: DataFrame,
+    by: Sequence[str],
+    window_s: int,
+    step_s: int,
+    parts: dict[str, Column | None] | None = None,
+    cluster: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Reset-corrected increase per series at each step; windows with one sample give no row.
+    """Increase by labels at each step; groups without two samples in the window give no row.
 
-    ``exact`` is last minus first. ``extrapolated`` stretches that to the window borders the way
-    Prometheus does: up to half the mean sample gap past the outer samples (all the way when the
-    border is nearer than 1.1 gaps), never below zero at the start.
+    Gains are combined over series per pair of steps before they are spread over the evaluation
+    times, so that spreading costs groups, not series. ``parts`` names conditional sums;
+    ``cluster`` places rows by fewer labels for a stage that follows.
+    """
+    if window_s % step_s:
+        raise ValueError("the window must be a multiple of the step")
+    parts = parts or {"increase": None}
+    sums = [
+        F.sum(F.col("delta") if cond is None else F.when(cond, F.col("delta"))).alias(name)
+        for name, cond in parts.items()
+    ]
+    last = F.col("from_step") + window_s
+    first = F.col("to_step") + step_s
+    spread = (
+        gains.where(first <= last)
+        .groupBy(*by, "from_step", "to_step")
+        .agg(*sums)
+        .withColumn("eval_t", F.explode(F.sequence(first, last, F.lit(step_s))))
+    )
+    if cluster is not None:
+        spread = spread.repartition(*cluster, "eval_t")
+    return spread.groupBy(*by, "eval_t").agg(*[F.sum(name).alias(name) for name in parts])
+
+
+def increase(samples: DataFrame, series: Sequence[str], by: Sequence[str], window_s: int, step_s: int) -> DataFrame:
+    """Reset-corrected increase (last minus first sample), summed by labels."""
+    return windowed(increments(samples, series, step_s), by, window_s, step_s)
+
+
+def extrapolated_increase(samples: DataFrame, series: Sequence[str], window_s: int, step_s: int) -> DataFrame:
+    """Increase per series stretched to the window borders the way Prometheus does.
+
+    Up to half the mean sample gap past the outer samples, all the way when the border is nearer
+    than 1.1 gaps, never below zero at the start.
     """
     slid = _slide(counter_steps(samples, series, step_s), step_s, window_s)
     out = (
@@ -175,14 +250,13 @@ def increase(
         .where("_n >= 2")
         .withColumn("increase", F.col("_l") - F.col("_f"))
     )
-    if mode == "exact":
-        return out.select(*series, "eval_t", "increase")
     span = (F.col("_t1") - F.col("_t0")).cast("double")
     gap = span / (F.col("_n") - 1)
     to_start = (F.col("_t0") - (F.col("eval_t") - window_s)).cast("double")
     to_end = (F.col("eval_t") - F.col("_t1")).cast("double")
     to_zero = F.when(
-        (F.col("increase") > 0) & (F.col("_raw") >= 0), span * F.col("_raw") / F.when(F.col("increase") != 0, F.col("increase"))
+        (F.col("increase") > 0) & (F.col("_raw") >= 0),
+        span * F.col("_raw") / F.when(F.col("increase") != 0, F.col("increase")),
     )
     to_start = F.least(to_start, F.coalesce(to_zero, to_start))
     limit = gap * 1.1
@@ -194,24 +268,21 @@ def increase(
     return out.select(*series, "eval_t", (F.col("increase") * (stretch / span)).alias("increase"))
 
 
-def sum_increase(inc: DataFrame, by: Sequence[str], where: Column | None = None, out: str = "increase") -> DataFrame:
-    """Sum over the series of a group; with ``where`` only matching series count."""
-    value = F.col("increase") if where is None else F.when(where, F.col("increase"))
-    return inc.groupBy(*by, "eval_t").agg(F.sum(value).alias(out)).where(F.col(out).isNotNull())
-
-
-def rate(inc: DataFrame, by: Sequence[str], window_s: int) -> DataFrame:
+def rate(samples: DataFrame, series: Sequence[str], by: Sequence[str], window_s: int, step_s: int) -> DataFrame:
     """Per-second rate by labels; the division comes after the sum, which stays exact."""
-    return sum_increase(inc, by).select(*by, "eval_t", (F.col("increase") / window_s).alias("value"))
+    inc = increase(samples, series, by, window_s, step_s)
+    return inc.select(*by, "eval_t", (F.col("increase") / window_s).alias("value"))
 
 
-def increase_ratio(inc: DataFrame, by: Sequence[str], numerator: Column) -> DataFrame:
+def increase_share(
+    samples: DataFrame, series: Sequence[str], by: Sequence[str], numerator: Column, window_s: int, step_s: int
+) -> DataFrame:
     """Share of the matching series, in one pass; groups without a matching series give no row."""
-    return (
-        inc.groupBy(*by, "eval_t")
-        .agg(F.sum(F.when(numerator, F.col("increase"))).alias("_n"), F.sum("increase").alias("_d"))
-        .where(F.col("_n").isNotNull())
-        .select(*by, "eval_t", metric_div(F.col("_n"), F.col("_d")).alias("value"))
+    both = windowed(
+        increments(samples, series, step_s), by, window_s, step_s, {"_n": numerator, "_d": None}
+    )
+    return both.where(F.col("_n").isNotNull()).select(
+        *by, "eval_t", metric_div(F.col("_n"), F.col("_d")).alias("value")
     )
 
 
@@ -230,42 +301,54 @@ def join_difference(left: DataFrame, right: DataFrame, by: Sequence[str]) -> Dat
     )
 
 
+def bucket_increase(samples: DataFrame, series: Sequence[str], by: Sequence[str], window_s: int, step_s: int) -> DataFrame:
+    """Increase of histogram buckets, all bounds of a group in one place."""
+    return windowed(increments(samples, series, step_s), [*by, "le"], window_s, step_s, cluster=by)
+
+
 def histogram_quantile(q: float, buckets: DataFrame, by: Sequence[str], count: str = "increase") -> DataFrame:
     """Quantile from cumulative buckets (by, eval_t, le, count), interpolated inside the bucket.
 
     A group is its handful of bounds. Counts that fall from one bound to the next are lifted to the
     running maximum. In the +Inf bucket the answer is the highest finite bound; without observations NaN.
     """
-    w = Window.partitionBy(*by, "eval_t").orderBy("le")
+    inf, nan = F.lit(float("inf")), F.lit(float("nan"))
+    bound = F.when(F.col("le") == "+Inf", inf).otherwise(F.col("le").try_cast("double"))
+    w = Window.partitionBy(*by, "eval_t").orderBy("_le")
     upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    everything = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    c = buckets.withColumn("_c", F.max(count).over(upto))
-    c = (
-        c.withColumn("_total", F.last("_c").over(everything))
-        .withColumn("_lo_c", F.coalesce(F.lag("_c").over(w), F.lit(0.0)))
-        .withColumn("_lo", F.lag("le").over(w))
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    all_rows = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    c = buckets.withColumn("_le", bound).select(
+        *by,
+        "eval_t",
+        F.col("_le"),
+        F.max(count).over(upto).alias("_c"),
+        F.coalesce(F.max(count).over(before), F.lit(0.0)).alias("_lo_c"),
+        F.lag("_le").over(w).alias("_lo"),
+        F.max(count).over(all_rows).alias("_total"),
     )
-    target = F.lit(q) * F.col("_total")
-    lower = F.coalesce(F.col("_lo"), F.when(F.col("le") <= 0, F.col("le")).otherwise(F.lit(0.0)))
-    width = F.col("le") - lower
+    le, target = F.col("_le"), F.lit(q) * F.col("_total")
+    lower = F.coalesce(F.col("_lo"), F.when(le <= 0, le).otherwise(F.lit(0.0)))
     mass = F.col("_c") - F.col("_lo_c")
-    inside = lower + width * ((target - F.col("_lo_c")) / F.when(mass != 0, mass))
+    inside = lower + (le - lower) * ((target - F.col("_lo_c")) / F.when(mass != 0, mass))
     value = (
-        F.when(F.col("le") == F.lit(float("inf")), F.coalesce(F.col("_lo"), F.lit(float("nan"))))
-        .when(mass == 0, F.col("le"))
-        .otherwise(inside)
+        F.when(le == inf, F.coalesce(F.col("_lo"), nan)).when(mass == 0, le).otherwise(inside)
     )
     return c.where(F.col("_c") >= target).groupBy(*by, "eval_t").agg(
-        F.when(F.max("_total") > 0, F.min_by(value, "le")).otherwise(F.lit(float("nan"))).alias("value")
+        F.when(F.max("_total") > 0, F.min_by(value, "_le")).otherwise(nan).alias("value")
     )
 
 
 def instant(samples: DataFrame, series: Sequence[str], step_s: int, lookback_s: int = 300) -> DataFrame:
-    """Newest value of each series at each step, no older than the lookback."""
-    return (
-        _slide(gauge_steps(samples, series, step_s), step_s, lookback_s)
-        .groupBy(*series, "eval_t")
-        .agg(F.max_by("last_v", "last_t").alias("value"))
+    """Newest value of each series at each step, no older than the lookback.
+
+    A step's last value holds until the next step with a sample, so every output row is made once.
+    """
+    steps = gauge_steps(samples, series, step_s)
+    following = F.lead(STEP).over(Window.partitionBy(*series).orderBy(STEP))
+    until = F.least(F.coalesce(following, F.col(STEP) + lookback_s), F.col(STEP) + lookback_s)
+    return steps.withColumn("_until", until).select(
+        *series, F.explode(F.sequence(F.col(STEP) + step_s, "_until", F.lit(step_s))).alias("eval_t"), F.col("last_v").alias("value")
     )
 
 

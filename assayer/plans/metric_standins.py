@@ -174,10 +174,10 @@ def samples_sql(metric: str) -> str:
     if spec.kind == "gauge":
         return f"SELECT {names}t, arg_max(v, seq)::DOUBLE AS value FROM ({base}) e GROUP BY {names}t"
     if part == "bucket":
-        les = ", ".join([f"{b}::DOUBLE" for b in spec.bounds] + ["'inf'::DOUBLE"])
+        les = ", ".join([f"'{m.le_text(b)}'" for b in spec.bounds] + ["'inf'"])
         delta = (
-            f"SELECT {names}le, t, count(*) FILTER (v <= le) AS d FROM ({base}) e, (SELECT unnest([{les}]) AS le) b"
-            f" GROUP BY {names}le, t"
+            f"SELECT {names}replace(le, 'inf', '+Inf') AS le, t, count(*) FILTER (v <= le::DOUBLE) AS d FROM ({base}) e,"
+            f" (SELECT unnest([{les}]) AS le) b GROUP BY {names}le, t"
         )
         names += "le, "
     else:

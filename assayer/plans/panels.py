@@ -59,33 +59,30 @@ def nre(label: str, value: str) -> Match:
 # ---- evaluation --------------------------------------------------------------------------------
 
 
-def _increase(samples: DataFrame, p: Panel, metric: str, where: tuple[Match, ...]) -> DataFrame:
-    return m.increase(samples.where(all_match(where)), ms.series_of(metric), p.window, p.step)
-
-
 def evaluate(p: Panel, sample_table) -> DataFrame:
     """Rows (labels, eval_t, value); ``sample_table(metric)`` yields the samples of a metric."""
     by = list(p.by)
 
-    def inc(metric: str, where: tuple[Match, ...]) -> DataFrame:
-        return _increase(sample_table(metric), p, metric, where)
+    def kept(metric: str, where: tuple[Match, ...]) -> tuple[DataFrame, list[str]]:
+        return sample_table(metric).where(all_match(where)), ms.series_of(metric)
+
+    def inc(metric: str, where: tuple[Match, ...], labels: list[str]) -> DataFrame:
+        return m.increase(*kept(metric, where), labels, p.window, p.step)
 
     def vector(metric: str, where: tuple[Match, ...]) -> DataFrame:
-        return m.instant(sample_table(metric).where(all_match(where)), ms.series_of(metric), p.step)
+        return m.instant(*kept(metric, where), p.step)
 
     other_where = p.where if p.other_where is None else p.other_where
     if p.kind == "rate":
-        out = m.rate(inc(p.metric, p.where), by, p.window)
+        out = m.rate(*kept(p.metric, p.where), by, p.window, p.step)
     elif p.kind == "increase":
-        out = m.sum_increase(inc(p.metric, p.where), by).withColumnRenamed("increase", "value")
+        out = inc(p.metric, p.where, by).withColumnRenamed("increase", "value")
     elif p.kind == "share":
-        out = m.increase_ratio(inc(p.metric, p.where), by, all_match(p.num))
+        out = m.increase_share(*kept(p.metric, p.where), by, all_match(p.num), p.window, p.step)
     elif p.kind == "over":
-        out = m.join_ratio(
-            m.sum_increase(inc(p.metric, p.where), by), m.sum_increase(inc(p.other, other_where), by), by
-        )
+        out = m.join_ratio(inc(p.metric, p.where, by), inc(p.other, other_where, by), by)
     elif p.kind in ("quantile", "quantile_agg"):
-        out = m.histogram_quantile(p.q, m.sum_increase(inc(p.metric, p.where), [*by, "le"]), by)
+        out = m.histogram_quantile(p.q, m.bucket_increase(*kept(p.metric, p.where), by, p.window, p.step), by)
         if p.kind == "quantile_agg":
             out = m.aggregate(out.where(~F.isnan("value")), p.agg, [])
             by = []
@@ -105,7 +102,7 @@ def evaluate(p: Panel, sample_table) -> DataFrame:
         )
     elif p.kind == "max_over_time":
         by = ms.series_of(p.metric)
-        out = m.max_over_time(sample_table(p.metric).where(all_match(p.where)), by, p.window, p.step)
+        out = m.max_over_time(*kept(p.metric, p.where), p.window, p.step)
     else:
         raise ValueError(f"unknown panel kind {p.kind}")
     if p.keep and p.kind != "instant_agg":
@@ -196,7 +193,8 @@ def panel_sql(p: Panel) -> str:
             f" cc, CASE WHEN le = 'inf'::DOUBLE THEN pl WHEN cc = pc THEN le ELSE {lower} + (le - {lower}) * (({q} * total - pc) / (cc - pc))"
             f" END AS val FROM (SELECT *, max(cc) OVER ({part}) AS total, coalesce(lag(cc) OVER ({part} ORDER BY le), 0) AS pc,"
             f" lag(le) OVER ({part} ORDER BY le) AS pl FROM (SELECT *, max(value) OVER ({part} ORDER BY le) AS cc FROM"
-            f" ({summed(p.metric, p.where, by + 'le, ')}) a) b) c) d WHERE cc >= {q} * total GROUP BY {by}eval_t"
+            f" (SELECT * REPLACE (CASE le WHEN '+Inf' THEN 'inf'::DOUBLE ELSE le::DOUBLE END AS le) FROM"
+            f" ({summed(p.metric, p.where, by + 'le, ')}) a0) a) b) c) d WHERE cc >= {q} * total GROUP BY {by}eval_t"
         )
         if p.kind == "quantile_agg":
             body = agg(f"SELECT * FROM ({body}) z WHERE NOT isnan(value)", p.agg, "")
