@@ -40,14 +40,14 @@ def hash32(text: str) -> str:
     return f"CAST(('0x' || substr(sha256({text}), 1, 8)) AS UBIGINT)"
 
 
-def percentiles(source: str, keys: str, us_expr: str, points: dict[str, int]) -> str:
-    """SELECT of interpolated percentiles in ms by explicit ranks."""
+def percentiles(source: str, keys: str, us_expr: str, points: dict[str, int], scale: int = 1000) -> str:
+    """SELECT of interpolated percentiles by explicit ranks, divided by ``scale`` (µs to ms)."""
     cols = []
     for name, t in points.items():
         lo = f"max(CASE WHEN i = (n - 1) * {t} // 1000 THEN us END)"
         hi = f"max(CASE WHEN i = ((n - 1) * {t} + 999) // 1000 THEN us END)"
         rem = f"((max(n) - 1) * {t} % 1000)"
-        cols.append(f"({lo} * (1000 - {rem}) + {hi} * {rem})::DOUBLE / 1000 / 1000 AS {name}")
+        cols.append(f"({lo} * (1000 - {rem}) + {hi} * {rem})::DOUBLE / 1000 / {scale} AS {name}")
     part = f"PARTITION BY {keys}" if keys else ""
     head = f"{keys}, " if keys else ""
     tail = f" GROUP BY {keys}" if keys else ""

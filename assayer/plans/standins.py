@@ -96,7 +96,7 @@ def results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """lineitem as harness results: supplier = run, part = prompt, return flag = variant."""
     return (
         table(spark, sf_dir, "lineitem")
-        .selectExpr(*RESULT_BASE, "unix_date(CAST(l_shipdate AS DATE)) AS day")
+        .selectExpr(*RESULT_BASE, "CAST(unix_date(CAST(l_shipdate AS DATE)) AS BIGINT) AS day")
         .selectExpr(*RESULT_COLUMNS)
     )
 
@@ -231,8 +231,8 @@ VIEWS = {
         "SELECT doc_id, text, source AS variant, lang AS promptset_id, doc_id % 30 AS day,"
         " CASE WHEN doc_id % 3 = 0 THEN 'strict-v1' WHEN doc_id % 3 = 1 THEN 'daily-gate-v1'"
         f" ELSE 'unknown-profile' END AS profile, quality, toxic, {RAW_JUDGEMENT} AS raw FROM ("
-        "SELECT d.doc_id, text, lang, source, quality, toxic, " + ", ".join(SCORES)
-        + " FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id) x"
+        "SELECT doc_id, text, lang, source, quality, toxic, " + ", ".join(SCORES)
+        + " FROM documents d LEFT JOIN labels l USING (doc_id)) x"
     ),
 }
 
