@@ -342,7 +342,7 @@ def created():
 # ---- written and read back ---------------------------------------------------------------------
 
 
-def _folder(spark, name: str) -> str:
+def folder(spark, name: str) -> str:
     """A new folder for this run below the shared one."""
     base = shared_dir(spark)
     if "://" not in base or base.startswith("file:"):
@@ -363,7 +363,7 @@ def _folder(spark, name: str) -> str:
 )
 def promptset_files(spark, sf_dir):
     prompts = normalised_prompts(spark, sf_dir).withColumn("scenario_id", F.lit("bench-v1"))
-    path = _folder(spark, "promptset")
+    path = folder(spark, "promptset")
     promptsets.write_promptset(prompts, datasets.manifest(prompts, created()), path)
     back = promptsets.read_written_promptset(spark, f"{path}/promptsets")
     return back.select("prompt_id", "line_no", "bucket", "target_output_tokens", F.sha2("prompt", 256).alias("prompt_digest"))
@@ -455,7 +455,7 @@ def manifest_list(spark, sf_dir):
     sets = manifests(spark, sf_dir).groupBy("dataset_id").agg(
         F.min("promptset_id").alias("promptset_id"), F.count(F.lit(1)).alias("prompt_count")
     )
-    path = _folder(spark, "manifests")
+    path = folder(spark, "manifests")
     sets.withColumn("set", F.col("dataset_id")).write.partitionBy("set").mode("overwrite").json(path)
     raw = spark.read.schema("promptset_id string, dataset_id string, prompt_count bigint, version string").json(path)
     return raw.select("dataset_id", "promptset_id", "prompt_count", F.coalesce("version", F.lit("1.0.0")).alias("version"))
@@ -469,7 +469,7 @@ def manifest_list(spark, sf_dir):
     ["S6"],
 )
 def results_table(spark, sf_dir):
-    path = _folder(spark, "results")
+    path = folder(spark, "results")
     r = v.results(spark, sf_dir).withColumn("run_id", F.concat(F.lit("group-"), F.col("run_no") % 10))
     sinks.write_results(r, path, F.expr("'y' || (day div 365)"))
     back = spark.read.parquet(path)

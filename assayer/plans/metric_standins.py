@@ -45,7 +45,7 @@ NODE = "concat('node-', user_id % 5)"
 VLLM = dict(app="app", job="'vllm-models'")
 HARNESS = dict(team="team", scenario_id="scenario_id", bucket="bucket", variant="variant_id")
 MODEL = dict(team="team", variant_id="variant_id", variant_type="variant_type", bucket="bucket")
-GIB = "1073741824"
+GIB = "CAST(1073741824 AS BIGINT)"
 
 METRICS: dict[str, Spec] = {
     # gateway
