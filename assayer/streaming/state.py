@@ -86,11 +86,12 @@ def counter_gains(samples: DataFrame, series: Sequence[str], delay: str, ts: str
 class RunState(StatefulProcessor):
     """Newest status of a run and how many calls it has finished; forgotten after its TTL."""
 
-    def __init__(self, ttl_ms: int) -> None:
+    def __init__(self, ttl_ms: int | None) -> None:
         self.ttl_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("run", "seq bigint, status string, done bigint", self.ttl_ms)
+        ttl = () if self.ttl_ms is None else (self.ttl_ms,)
+        self.state = handle.getValueState("run", "seq bigint, status string, done bigint", *ttl)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         seq, status, done = self.state.get() if self.state.exists() else (-1, "pending", 0)
@@ -106,11 +107,15 @@ class RunState(StatefulProcessor):
         pass
 
 
-def run_states(changes: DataFrame, ttl_ms: int = 7 * 86400 * 1000) -> DataFrame:
-    """Status and progress per run from a stream of changes (run_id, seq, status, done)."""
+def run_states(changes: DataFrame, ttl_ms: int | None = None) -> DataFrame:
+    """Status and progress per run from a stream of changes (run_id, seq, status, done).
+
+    A TTL works on processing time and keeps the query alive waiting for it: give one to a
+    continuously running job, none to one that ends with the available data.
+    """
     return changes.groupBy("run_id").transformWithStateInPandas(
         RunState(ttl_ms),
         outputStructType="run_id string, seq bigint, status string, done bigint",
         outputMode="update",
-        timeMode="ProcessingTime",
+        timeMode="None" if ttl_ms is None else "ProcessingTime",
     )
