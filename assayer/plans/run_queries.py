@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from assayer.functions.numbers import fold_bool, py_round, ratio
 from assayer.functions.text import approx_tokens, strict_json, word_count
-from assayer.operators import compare, runs, validate
+from assayer.operators import compare, model, runs, validate
 from assayer.plans import sqltext as q
 from assayer.plans import standins as v
 from assayer.plans.registry import query
@@ -605,3 +605,24 @@ KPI_RULES = [
 )
 def latency_percentiles_by_run(spark, sf_dir):
     return compare.latency_percentiles(v.results(spark, sf_dir), ["run_id"], POINTS)
+
+
+def _echo_client():
+    """Stands in for a model: answers with the first words of the prompt."""
+
+    def answer(batch):
+        words = batch["prompt"].str.split(" ").str[:3].str.join(" ")
+        return batch[["doc_id", "max_tokens"]].assign(output=words)
+
+    return answer
+
+
+@query(
+    "model_answers",
+    "SELECT doc_id, 100::BIGINT AS max_tokens, array_to_string(string_split(text, ' ')[1:3], ' ') AS output FROM documents",
+    [],
+    ["T10", "J1"],
+)
+def model_answers(spark, sf_dir):
+    calls = v.table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("prompt"))
+    return model.call_model(calls, _echo_client, "doc_id bigint, max_tokens bigint, output string")
