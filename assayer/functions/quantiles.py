@@ -8,27 +8,24 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
 def exact_percentiles(
-    df: DataFrame, keys: Sequence[str], value: str, points: dict[str, int], cell: int = 1000
+    df: DataFrame, keys: Sequence[str], value: str, points: dict[str, int], cell: int = 65536
 ) -> DataFrame:
     """Linear-interpolated percentiles of a whole-number column, one row per key.
 
     ``points`` maps output names to thousandths (950 = p95), so that ranks are whole-number
-    arithmetic. Equal values collapse in the partial aggregate: a hot key costs its distinct
-    values, not its rows. A coarse count per ``cell`` values finds where each rank lies; only those
-    cells are opened, and one holds at most ``cell`` distinct values. For sketches use
-    percentile_approx.
+    arithmetic. A first pass counts values per cell of ``cell`` neighbouring values, which shrinks
+    before the shuffle; it tells in which few cells the ranks lie. A second pass keeps only the rows
+    of those cells and counts equal values, so that a hot key, or a hot value, costs its distinct
+    values and one cell never more than ``cell`` rows. For sketches use percentile_approx.
     """
     keys = list(keys)
-    counts = (
-        df.where(F.col(value).isNotNull())
-        .groupBy(*keys, F.col(value).alias("_v"))
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_cell", F.floor(F.col("_v") / cell))
+    cut = df.where(F.col(value).isNotNull()).select(
+        *keys, F.col(value).alias("_v"), F.floor(F.col(value) / cell).alias("_cell")
     )
     by_cell = Window.partitionBy(*keys).orderBy("_cell")
     cells = (
-        counts.groupBy(*keys, "_cell")
-        .agg(F.sum("_n").alias("_cn"))
+        cut.groupBy(*keys, "_cell")
+        .agg(F.count(F.lit(1)).alias("_cn"))
         .withColumn(
             "_start",
             F.coalesce(
@@ -51,7 +48,9 @@ def exact_percentiles(
         Window.partitionBy(*keys, "_cell").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
     )
     fine = (
-        counts.join(cells.where(wanted), [*keys, "_cell"])
+        cut.join(cells.where(wanted), [*keys, "_cell"])
+        .groupBy(*keys, "_cell", "_start", "_total", "_v")
+        .agg(F.count(F.lit(1)).alias("_n"))
         .withColumn("_at", F.col("_start") + F.coalesce(F.sum("_n").over(inside), F.lit(0)))
     )
     picks = [F.max("_total").alias("_total")]

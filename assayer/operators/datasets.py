@@ -178,7 +178,7 @@ def split_of(key: Column, splits: Mapping[str, int], seed: int | None = None) ->
 def hash_ranked(df: DataFrame, strata: Sequence[str], key: Column, unique: str, out: str = "rank") -> DataFrame:
     """Position by hash within each stratum; the hash's top bits are the blocks, so they are even."""
     hashed = df.withColumn("_h", hash32(key))
-    return numbered(hashed, strata, F.floor(F.col("_h") / 1048576), ["_h", unique], out).drop("_h")
+    return numbered(hashed, strata, F.floor(F.col("_h") / 65536), ["_h", unique], out).drop("_h")
 
 
 def quota_split(df: DataFrame, domain: str, key: Column, unique: str, splits: Mapping[str, int]) -> DataFrame:
