@@ -209,9 +209,8 @@ def trace_summary(spans: DataFrame) -> DataFrame:
 
 def logs_with_traces(lines: DataFrame, traces: DataFrame) -> DataFrame:
     """Log lines with the trace their text names; ``traces`` has one row per trace."""
-    found = F.regexp_extract("line", '"trace_id":"([^"]+)"', 1)
-    keyed = lines.withColumn("trace_id", F.when(found != "", found))
-    return keyed.where(F.col("trace_id").isNotNull()).join(traces, "trace_id")
+    found = F.regexp_substr(F.col("line"), F.lit('(?<="trace_id":")[^"]+'))
+    return lines.withColumn("trace_id", found).join(traces, "trace_id")
 
 
 def logs_in_spans(spans: DataFrame, logs: DataFrame, slot_us: int = 60_000_000) -> DataFrame:

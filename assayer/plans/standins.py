@@ -72,7 +72,7 @@ RESULT_COLUMNS = [
     "category",
     "error",
     "(error IS NULL AND cheap) AS passed",
-    "latency_us / 1000.0 AS latency_ms",
+    "latency_us / 1e3 AS latency_ms",
     "CASE WHEN error IS NULL THEN tokens ELSE 0 END AS tokens_generated",
     "CASE WHEN tokens * 16 <= 75 THEN 'short' WHEN tokens * 16 <= 300 THEN 'medium'"
     " ELSE 'long' END AS bucket",
@@ -132,7 +132,7 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.expr("CASE WHEN doc_id % 14 = 0 THEN '{\"answer\": ' || doc_id || '}' WHEN doc_id % 7 = 0 THEN text END").alias(
             "response"
         ),
-        F.expr("n_chars + doc_id % 50 * 20.0").alias("latency_ms"),
+        F.expr("n_chars + doc_id % 50 * 2e1").alias("latency_ms"),
         F.expr("CASE WHEN doc_id % 3 = 0 THEN n_chars div 5 END").alias("tokens_generated"),
         F.expr("CASE WHEN doc_id % 11 = 0 THEN 'HTTP 502' END").alias("error"),
         F.col("source"),
@@ -201,7 +201,7 @@ VIEWS = {
         " CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, epoch_us(ts) AS us FROM events) e"
     ),
     "results": (
-        "SELECT " + ", ".join(RESULT_COLUMNS).replace("1000.0", "1000.0::DOUBLE") + " FROM (SELECT "
+        "SELECT " + ", ".join(RESULT_COLUMNS) + " FROM (SELECT "
         + ", ".join(RESULT_BASE)
         + ", date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)) AS day FROM lineitem) l"
     ),
@@ -217,7 +217,7 @@ VIEWS = {
         " doc_id AS line_no, CASE WHEN doc_id % 7 = 0 THEN '' ELSE text END AS output,"
         " CASE WHEN doc_id % 14 = 0 THEN '{\"answer\": ' || doc_id || '}'"
         " WHEN doc_id % 7 = 0 THEN text END AS response,"
-        " (n_chars + doc_id % 50 * 20.0)::DOUBLE AS latency_ms,"
+        " n_chars + doc_id % 50 * 2e1 AS latency_ms,"
         " CASE WHEN doc_id % 3 = 0 THEN n_chars // 5 END AS tokens_generated,"
         " CASE WHEN doc_id % 11 = 0 THEN 'HTTP 502' END AS error, source"
         " FROM documents, (SELECT count(*) AS n FROM benchmark) c"
