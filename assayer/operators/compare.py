@@ -201,4 +201,4 @@ def kpi_verdicts(figures: DataFrame, rules: DataFrame) -> DataFrame:
         F.col("high").isNull()
         | F.when(F.col("high_open"), value < F.col("high")).otherwise(value <= F.col("high"))
     )
-    return figures.join(F.broadcast(rules), "kpi").withColumn("ok", ok)
+    return figures.join(rules, "kpi").withColumn("ok", ok)

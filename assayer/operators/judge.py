@@ -83,13 +83,10 @@ def profile_table(spark: SparkSession, profiles: dict[str, tuple[float, ...]] =
 
 
 def gate(scores: DataFrame, profiles: DataFrame | None = None, default: str = DEFAULT_PROFILE) -> DataFrame:
-    """Adds ``pass_threshold``; limits are inclusive and an unknown profile means the default one.
-
-    The profile table is configuration: a handful of rows, hence broadcast.
-    """
+    """Adds ``pass_threshold``; limits are inclusive and an unknown profile means the default one."""
     limits = profile_table(scores.sparkSession) if profiles is None else profiles
     names = ["min_coherence", "min_helpfulness", "min_factuality", "max_toxicity"]
-    joined = scores.join(F.broadcast(limits), "profile", "left")
+    joined = scores.join(limits, "profile", "left")
     fallback = limits.where(F.col("profile") == default)
     low = {n: F.coalesce(F.col(n), fallback.select(n).scalar()) for n in names}
     ok = (

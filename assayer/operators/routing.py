@@ -49,15 +49,15 @@ def variant_ranges(routes: DataFrame) -> DataFrame:
 
 
 def route_lookup(requests: DataFrame, routes: DataFrame) -> DataFrame:
-    """Requests with their route; a team without one gets 404. The route table is configuration."""
+    """Requests with their route; a team without one gets 404."""
     r = routes.select("team", "url", "timeout_ms", F.lit(True).alias("_known"))
-    return requests.join(F.broadcast(r), "team", "left").withColumn(
+    return requests.join(r, "team", "left").withColumn(
         "route_status", F.when(F.col("_known"), 200).otherwise(404)
     ).drop("_known")
 
 
 def denied(requests: DataFrame, routes: DataFrame) -> DataFrame:
-    return requests.join(F.broadcast(routes.select("team")), "team", "left_anti")
+    return requests.join(routes.select("team"), "team", "left_anti")
 
 
 def select_variant(requests: DataFrame, routes: DataFrame, key: Column) -> DataFrame:
@@ -70,7 +70,7 @@ def select_variant(requests: DataFrame, routes: DataFrame, key: Column) -> DataF
     draw = F.pmod(hash32(key), F.col("_total")) + 1
     chosen = F.element_at(F.filter("_ranges", lambda r: r["hi"] >= F.col("_draw")), 1)["variant"]
     return (
-        requests.join(F.broadcast(per_team), "team", "left")
+        requests.join(per_team, "team", "left")
         .withColumn("_draw", F.when(F.col("_total").isNotNull(), draw))
         .withColumn("ab_variant", F.when(F.col("_draw").isNotNull(), chosen))
         .drop("_total", "_ranges", "_draw")

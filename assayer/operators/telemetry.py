@@ -14,7 +14,7 @@ DETAIL_SHARE = 100
 RESOURCE_DEFAULTS = {
     "service.version": "0.1.0",
     "deployment.environment": "dev",
-    "k8s.cluster.name": "llmplatform-dev",
+    "k8s.cluster.name": "unknown",
     "k8s.pod.name": "unknown",
     "cloud.provider": "aws",
     "cloud.region": "us-west-2",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -344,15 +344,7 @@ def created():
 
 def folder(spark, name: str) -> str:
     """A new folder for this run below the shared one."""
-    base = shared_dir(spark)
-    if "://" not in base or base.startswith("file:"):
-        import os
-
-        os.makedirs(base.removeprefix("file://").removeprefix("file:"), exist_ok=True)
-        return tempfile.mkdtemp(prefix=f"{name}-", dir=base.removeprefix("file://").removeprefix("file:"))
-    import uuid
-
-    return f"{base}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 @query(

@@ -11,15 +11,15 @@ from assayer.plans.registry import query
 
 # The sample route table.
 ROUTE_TABLE = """{
- "quant": {"url": "http://quant-api.quant.svc.cluster.local:8000", "timeout_ms": 30000},
- "finetune": {"url": "http://finetune-api.finetune.svc.cluster.local:8000", "timeout_ms": 60000,
+ "quant": {"url": "http://quant-api:8000", "timeout_ms": 30000},
+ "finetune": {"url": "http://finetune-api:8000", "timeout_ms": 60000,
               "ab_variants": {"lora-v1": {"weight": 80}, "lora-v2": {"weight": 20}}},
- "eval": {"url": "http://eval-api.eval.svc.cluster.local:8000", "timeout_ms": 45000}}"""
+ "eval": {"url": "http://eval-api:8000", "timeout_ms": 45000}}"""
 
 ROUTES_SQL = (
-    "routes AS (SELECT * FROM (VALUES ('quant', 'http://quant-api.quant.svc.cluster.local:8000', 30000),"
-    " ('finetune', 'http://finetune-api.finetune.svc.cluster.local:8000', 60000),"
-    " ('eval', 'http://eval-api.eval.svc.cluster.local:8000', 45000)) r(team, url, timeout_ms))"
+    "routes AS (SELECT * FROM (VALUES ('quant', 'http://quant-api:8000', 30000),"
+    " ('finetune', 'http://finetune-api:8000', 60000),"
+    " ('eval', 'http://eval-api:8000', 45000)) r(team, url, timeout_ms))"
 )
 # One in ten or so of the requests names a team nobody routes.
 ASKED = "CASE WHEN k % 10 = 3 THEN 'vision' ELSE team END"
@@ -219,7 +219,7 @@ def health_status(spark, sf_dir):
     "service_inventory",
     f"WITH {ROUTES_SQL}, p AS (SELECT team, '1.0.' || CAST(arg_max(k, request_id) AS VARCHAR) AS version FROM requests WHERE status = 'success' GROUP BY team)"
     " SELECT r.team || '-api' AS name, r.team AS namespace, url, coalesce(version, 'unreachable') AS version FROM routes r LEFT JOIN p ON p.team = r.team"
-    " UNION ALL SELECT 'gateway', 'platform', 'http://gateway.platform.svc.cluster.local', 'unknown'",
+    " UNION ALL SELECT 'gateway', 'platform', 'http://gateway', 'unknown'",
     ["requests"],
     ["J12", "W6"],
 )
@@ -230,5 +230,5 @@ def service_inventory(spark, sf_dir):
         .groupBy("team")
         .agg(F.concat(F.lit("1.0."), F.max_by("k", "request_id").cast("string")).alias("version"))
     )
-    gateway = {"url": "http://gateway.platform.svc.cluster.local"}
+    gateway = {"url": "http://gateway"}
     return routing.service_inventory(routing.read_routes(spark, ROUTE_TABLE), versions, gateway)

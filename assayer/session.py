@@ -1,10 +1,10 @@
-"""Session settings and the shared folder used to cut lineage."""
+"""Session settings and the shared folder for intermediate tables."""
 
 from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 # Settings every job relies on. Shuffle width and memory stay with the cluster.
 SQL_SETTINGS = {
@@ -37,11 +37,3 @@ def shared_dir(spark: SparkSession) -> str:
     folder = tempfile.mkdtemp(prefix="assayer-")
     spark.conf.set("spark.checkpoint.dir", folder)
     return folder
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder: survives the loss of executors."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint()

@@ -44,9 +44,9 @@ def read_log_lines(spark: SparkSession, path: str, stream: bool = False) -> Data
 
 
 def with_target_labels(samples: DataFrame, targets: Mapping[str, Mapping[str, str]], on: str = "target") -> DataFrame:
-    """Static labels of scrape targets; the target list is configuration, hence broadcast."""
+    """Static labels of scrape targets; the target list is configuration, built on the driver."""
     names = sorted({n for labels in targets.values() for n in labels})
     rows = [(t, *[labels.get(n, "") for n in names]) for t, labels in targets.items()]
     schema = ", ".join([f"{on} string", *[f"`{n}` string" for n in names]])
     table = samples.sparkSession.createDataFrame(rows, schema)
-    return samples.join(F.broadcast(table), on, "left").fillna("", subset=names)
+    return samples.join(table, on, "left").fillna("", subset=names)
