@@ -41,10 +41,11 @@ def token_counter(make_encoder: Callable[[], Callable[[str], list]]) -> Callable
 
 def contains_terms(text: Column, terms: Column, match: str = "all") -> Column:
     """Case-folded containment of every term (or of any); no terms means true."""
-    folded = F.lower(text)
     hit = F.forall if match == "all" else F.exists
+    # As a lambda's argument the folded text is made once per row, not once per term.
+    found = F.transform(F.array(F.lower(text)), lambda x: hit(terms, lambda t: x.contains(F.lower(t))))
     return F.when(F.coalesce(F.size(terms), F.lit(0)) <= 0, F.lit(True)).otherwise(
-        F.coalesce(hit(terms, lambda t: folded.contains(F.lower(t))), F.lit(False))
+        F.coalesce(F.get(found, F.lit(0)), F.lit(False))
     )
 
 

@@ -24,19 +24,45 @@ def format_log(
     error_type: Column | None = None,
     error_message: Column | None = None,
 ) -> Column:
-    """One JSON line; trace ids only together, extras override, exception fields last."""
-    fixed = F.create_map(
-        F.lit("timestamp"), timestamp, F.lit("severity"), severity, F.lit("message"), message,
-        F.lit("logger"), logger, F.lit("service.name"), service, F.lit("lab.team"), team,
-        F.lit("trace_id"), F.when(span_id.isNotNull(), trace_id), F.lit("span_id"), F.when(trace_id.isNotNull(), span_id),
-    )
-    parts = [fixed]
-    if extra is not None:
-        parts.append(extra)
+    """One JSON line; trace ids only together, extras override, exception fields last.
+
+    The fixed keys are one struct, written without building a map. Only a line whose extras repeat
+    one of them is merged key by key.
+    """
+    fields = {
+        "timestamp": timestamp,
+        "severity": severity,
+        "message": message,
+        "logger": logger,
+        "service.name": service,
+        "lab.team": team,
+        "trace_id": F.when(span_id.isNotNull(), trace_id),
+        "span_id": F.when(trace_id.isNotNull(), span_id),
+    }
+    last = {}
     if error_type is not None:
-        parts.append(F.create_map(F.lit("error.type"), error_type, F.lit("error.message"), error_message))
-    merged = F.map_concat(*parts) if len(parts) > 1 else fixed
-    return F.to_json(F.map_filter(merged, lambda _, x: x.isNotNull()))
+        last = {"error.type": error_type, "error.message": error_message}
+
+    def as_struct(named: dict[str, Column]) -> Column:
+        return F.to_json(F.struct(*[c.alias(f"{n}") for n, c in named.items()]))
+
+    def as_map(named: dict[str, Column]) -> Column:
+        return F.create_map(*[x for n, c in named.items() for x in (F.lit(n), c)])
+
+    if extra is None:
+        return as_struct({**fields, **last})
+    parts = [as_map(fields), extra, *([as_map(last)] if last else [])]
+    merged = F.to_json(F.map_filter(F.map_concat(*parts), lambda _, x: x.isNotNull()))
+    repeated = F.arrays_overlap(F.map_keys(extra), F.array(*[F.lit(n) for n in (*fields, *last)]))
+
+    def inner(text: Column) -> Column:
+        """The members of a JSON object, null for an empty one."""
+        return F.nullif(F.substring(text, F.lit(2), F.length(text) - 2), F.lit(""))
+
+    kept = F.map_filter(extra, lambda _, x: x.isNotNull())
+    members = [inner(as_struct(fields)), inner(F.to_json(kept)), *([inner(as_struct(last))] if last else [])]
+    joined = F.concat(F.lit("{"), F.concat_ws(",", *members), F.lit("}"))
+    return F.when(extra.isNotNull() & repeated, merged).otherwise(joined)
 
 
 def parse_logs(lines: DataFrame, column: str = "line", promoted: Sequence[str] = ()) -> DataFrame:

@@ -209,7 +209,7 @@ def trace_summary(spans: DataFrame) -> DataFrame:
 
 def logs_with_traces(lines: DataFrame, traces: DataFrame) -> DataFrame:
     """Log lines with the trace their text names; ``traces`` has one row per trace."""
-    found = F.regexp_substr(F.col("line"), F.lit('(?<="trace_id":")[^"]+'))
+    found = F.get(F.regexp_extract_all("line", F.lit('"trace_id":"([^"]+)"'), 1), F.lit(0))
     return lines.withColumn("trace_id", found).join(traces, "trace_id")
 
 
