@@ -24,9 +24,14 @@ def py_round(x: Column, digits: int) -> Column:
     return F.when(F.abs(x) < 1e13, rounded).otherwise(x)
 
 
+def whole(x: Column) -> Column:
+    """Nearest whole number as BIGINT. F.round on DOUBLE goes through BigDecimal for each row."""
+    return F.floor(x + F.lit(0.5)).cast("bigint")
+
+
 def micros(ms: Column) -> Column:
     """Milliseconds as whole microseconds, the unit in which totals are exact."""
-    return F.round(ms * 1000).cast("bigint")
+    return whole(ms * 1000)
 
 
 def exact_sum_ms(ms: Column) -> Column:

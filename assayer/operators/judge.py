@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from assayer.functions.hashing import bucket_of
-from assayer.functions.numbers import fold_bool, ratio
+from assayer.functions.numbers import fold_bool, ratio, whole
 from assayer.functions.text import normalised, strict_json
 
 # Rubrics, the score of a missing one, the note on unreadable output.
@@ -124,7 +124,7 @@ def grounded(response: Column, answer: Column) -> Column:
 
 
 def _thousandths(c: str) -> Column:
-    return F.sum(F.round(F.col(c) * 1000).cast("bigint"))
+    return F.sum(whole(F.col(c) * 1000))
 
 
 def daily_scores(scores: DataFrame, keys: Sequence[str] = ("variant", "day")) -> DataFrame:
@@ -158,7 +158,7 @@ def calibration(judged: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     n = F.count(F.lit(1))
     aggs = [n.alias("n")]
     for r in RUBRICS:
-        off = F.round((F.col(r) - F.col(f"expected_{r}")) * 1000).cast("bigint")
+        off = whole((F.col(r) - F.col(f"expected_{r}")) * 1000)
         aggs += [
             ratio(F.sum(F.abs(off)) / 1000.0, F.count(off)).alias(f"{r}_mae"),
             ratio(F.sum(off) / 1000.0, F.count(off)).alias(f"{r}_bias"),

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from assayer.functions.numbers import fold_bool, micros, py_round, ratio
+from assayer.functions.numbers import fold_bool, micros, py_round, ratio, whole
 
 MAX_ERRORS = 20
 UNCATEGORIZED = "uncategorized"
@@ -38,7 +38,7 @@ def _sums() -> list[Column]:
         F.count(F.lit(1)).alias("total"),
         F.sum(fold_bool(F.col("passed"))).alias("passed"),
         F.sum(micros(F.coalesce(F.col("latency_ms"), F.lit(0.0)))).alias("_latency_us"),
-        F.sum(F.round(F.col("tokens_per_second") * 10).cast("bigint")).alias("_tps_tenths"),
+        F.sum(whole(F.col("tokens_per_second") * 10)).alias("_tps_tenths"),
     ]
 
 

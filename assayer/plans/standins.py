@@ -55,7 +55,7 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         "event_type",
         f"{TEAM} AS team",
         f"{STATUS} AS status",
-        "CAST(round(value * 100) AS BIGINT) AS latency_ms",
+        "CAST(floor(value * 100 + 5e-1) AS BIGINT) AS latency_ms",
         "CAST(get_json_object(props, '$.k') AS BIGINT) AS k",
         "unix_micros(CAST(ts AS TIMESTAMP)) AS us",
     )
@@ -87,7 +87,7 @@ RESULT_BASE = [
     " WHEN 4 THEN 'factual' WHEN 5 THEN 'long_form' WHEN 6 THEN 'medical' END AS category",
     "CASE WHEN l_tax >= 0.075 THEN 'upstream timeout' END AS error",
     "l_discount < 0.045 AS cheap",
-    "CAST(round(l_extendedprice * 100) AS BIGINT) AS latency_us",
+    "CAST(floor(l_extendedprice * 100 + 5e-1) AS BIGINT) AS latency_us",
     "CAST(l_quantity AS BIGINT) AS tokens",
 ]
 
@@ -197,7 +197,7 @@ VIEWS = {
     "requests": (
         "SELECT " + ", ".join(REQUEST_COLUMNS) + ", " + FAST_US.format(div="//") + " AS fast_us FROM ("
         f"SELECT event_id AS request_id, user_id, event_type, {TEAM} AS team, {STATUS} AS status,"
-        " CAST(round(value * 100) AS BIGINT) AS latency_ms,"
+        " CAST(floor(value * 100 + 5e-1) AS BIGINT) AS latency_ms,"
         " CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, epoch_us(ts) AS us FROM events) e"
     ),
     "results": (
