@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
-from assayer.llm import chat, quality, urls
+from assayer.llm import chat, langid, packing, quality, simhash, urls
 from assayer.session import configure
 
-_BUILDS = (chat.op1_chat_formatting, quality.op4_quality_rules, urls.op6_url_filters)
+_BUILDS = (
+    chat.op1_chat_formatting,
+    quality.op4_quality_rules,
+    urls.op6_url_filters,
+    packing.op7_curve_packing,
+    simhash.op9_covering_simhash,
+    langid.op10_language_id,
+)
 SQL = {"op1_chat_formatting": chat.OP1_SQL, "op4_quality_rules": quality.OP4_SQL, "op6_url_filters": urls.OP6_SQL}
 
 

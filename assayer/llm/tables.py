@@ -13,5 +13,5 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Write a table into the shared folder and read it back: lost executors cost no recomputation beyond it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/assayer-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
