@@ -2,18 +2,25 @@
 
 from __future__ import annotations
 
-from assayer.llm import chat, langid, packing, quality, simhash, urls
+from assayer.llm import chat, imatch, langid, licenses, packing, quality, simhash, urls
 from assayer.session import configure
 
 _BUILDS = (
     chat.op1_chat_formatting,
+    imatch.op3_imatch,
     quality.op4_quality_rules,
+    licenses.op5_license_scan,
     urls.op6_url_filters,
     packing.op7_curve_packing,
     simhash.op9_covering_simhash,
     langid.op10_language_id,
 )
-SQL = {"op1_chat_formatting": chat.OP1_SQL, "op4_quality_rules": quality.OP4_SQL, "op6_url_filters": urls.OP6_SQL}
+SQL = {
+    "op1_chat_formatting": chat.OP1_SQL,
+    "op4_quality_rules": quality.OP4_SQL,
+    "op5_license_scan": licenses.OP5_SQL,
+    "op6_url_filters": urls.OP6_SQL,
+}
 
 
 def _named(build):
