@@ -11,13 +11,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
+from assayer.llm.parts import PartCache
 from assayer.llm.tables import written
 
 LENGTH, END = 4096, 2
 HASHED = 1024  # entries of a document's hashed vector
 AXES, BITS = 4, 8  # of the projected vector
 TOKENIZER = "word_bpe_49k.json"
-CACHED_WORDS = 400_000
 LEVELS = (14, 28)  # bits by which blocks of the curve are gathered for running sums
 
 DONE = "doc_id long, row_id long, ids binary, n_tokens long, curve long, tie long"
@@ -39,19 +39,6 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return str(public_tokenizers.path(name))
 
 
-class _Places(dict):
-    """Numbers words in the order in which they are first asked for."""
-
-    def __init__(self):
-        super().__init__()
-        self.new: list[str] = []
-
-    def __missing__(self, word: str) -> int:
-        self[word] = n = len(self)
-        self.new.append(word)
-        return n
-
-
 def _byte_letters() -> dict[int, str]:
     """The printable letter that stands for each byte in a byte-level vocabulary."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -59,13 +46,12 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-class WordCache:
+class WordCache(PartCache):
     """Token ids of texts, put together from the ids of their space-separated words.
 
     For a tokenizer that lower-cases, drops white space and splits off runs of letters and of punctuation, so that no
     piece crosses a space and a word's ids do not depend on its neighbours. A new word of letters with punctuation
-    behind goes to the tokenizer's model in these two parts; every other word goes through the whole tokenizer. The
-    cache starts anew when it is full.
+    behind goes to the tokenizer's model in these two parts; every other word goes through the whole tokenizer.
     """
 
     TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -74,11 +60,14 @@ class WordCache:
         self.encoder = _encoder(path)
         self.model = self.encoder.model
         self.letters = _byte_letters()
-        self._reset()
+        super().__init__()
 
     def _reset(self) -> None:
-        self.places, self.parts = _Places(), {}
-        self.ids, self.ends = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        super()._reset()
+        self.parts: dict[str, bytes] = {}
+
+    def split(self, text: str) -> list[str]:
+        return text.replace("\n", " ").replace("\t", " ").split(" ")
 
     def _part(self, part: str) -> bytes:
         found = self.parts.get(part)
@@ -87,8 +76,7 @@ class WordCache:
             found = self.parts[part] = array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
         return found
 
-    def _learn(self) -> None:
-        words, self.places.new = self.places.new, []
+    def ids_of(self, words: list[str]) -> list[bytes]:
         out: list[bytes] = []
         whole: list[int] = []
         for word in words:
@@ -102,26 +90,7 @@ class WordCache:
         found = self.encoder.encode_batch_fast([words[i] for i in whole], add_special_tokens=False)
         for i, e in zip(whole, found):
             out[i] = array("I", e.ids).tobytes()
-        self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(out), np.uint32)])
-        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum([len(x) // 4 for x in out], dtype=np.int64)])
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.places) > CACHED_WORDS:
-            self._reset()
-        number, at = self.places.__getitem__, []
-        for text in texts:
-            words = text.replace("\n", " ").replace("\t", " ").split(" ")
-            at.append(np.fromiter(map(number, words), np.int32, len(words)))
-        if self.places.new:
-            self._learn()
-        return [self._gathered(x) for x in at]
-
-    def _gathered(self, at: np.ndarray) -> np.ndarray:
-        start = self.ends[at]
-        size = self.ends[at + 1] - start
-        stop = np.cumsum(size)
-        return self.ids[np.repeat(start - stop + size, size) + np.arange(stop[-1])]
-
+        return out
 
 @lru_cache(1)
 def _cache(path: str) -> WordCache:

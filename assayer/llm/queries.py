@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from assayer.llm import chat, imatch, langid, licenses, packing, quality, simhash, urls
+from assayer.llm import chat, imatch, langid, licenses, linededup, packing, quality, simhash, subwords, urls
 from assayer.session import configure
 
 _BUILDS = (
     chat.op1_chat_formatting,
+    linededup.op2_line_dedup,
     imatch.op3_imatch,
     quality.op4_quality_rules,
     licenses.op5_license_scan,
     urls.op6_url_filters,
     packing.op7_curve_packing,
+    subwords.op8_sentencepiece,
     simhash.op9_covering_simhash,
     langid.op10_language_id,
 )
