@@ -21,7 +21,8 @@ def py_round(x: Column, digits: int) -> Column:
     side = (scaled - low - F.lit(0.5)) + err
     up = (side > 0) | ((side == 0) & (F.abs(low % 2) == 1))
     rounded = (low + F.when(up, 1.0).otherwise(0.0)) / m
-    return F.when(F.abs(x) < 1e13, rounded).otherwise(x)
+    # From 2**53 units of the last digit on, neighbouring doubles lie a unit or more apart: x is its own rounding.
+    return F.when(F.abs(scaled) < float(2**53), rounded).otherwise(x)
 
 
 def whole(x: Column) -> Column:
@@ -34,11 +35,6 @@ def micros(ms: Column) -> Column:
     return whole(ms * 1000)
 
 
-def exact_sum_ms(ms: Column) -> Column:
-    """Sum of milliseconds, exact to a microsecond and independent of the partitioning."""
-    return F.sum(micros(ms)) / F.lit(1000.0)
-
-
 def ratio(num: Column, den: Column) -> Column:
     """num / den as DOUBLE, null when den is 0 or null."""
     den = den.cast("double")

@@ -56,11 +56,19 @@ def strict_json(text: Column) -> Column:
     is therefore placed in front of a closing key that depends on the text itself: trailing
     characters keep that key from being read, further members change the count.
     """
+    # Bare NaN, Infinity and -Infinity are values to Python's reader; the JVM's takes INF and signs besides. Where such
+    # a word occurs, it is read as 0, once the texts in quotes, where it means nothing, are emptied.
+    special = F.when(text.rlike("NaN|Infinity"), text)
+    emptied = F.regexp_replace(special, r'"(?:[^"\\]|\\.)*+"', '""')
+    as_zero = F.regexp_replace(emptied, r"(?<![\w.+-])(?:-?Infinity|NaN)(?![\w.])", "0")
+    return _sealed_json(text, False) | (_sealed_json(special, True) & _sealed_json(as_zero, False))
+
+
+def _sealed_json(text: Column, words: bool) -> Column:
     seal = F.md5(text)
     wrapped = F.concat(F.lit('{"value":'), text, F.lit(',"'), seal, F.lit('":0}'))
-    parsed = F.from_json(
-        wrapped, "map<string,string>", {"allowSingleQuotes": "false", "mode": "PERMISSIVE"}
-    )
+    options = {"allowSingleQuotes": "false", "allowNonNumericNumbers": str(words).lower(), "mode": "PERMISSIVE"}
+    parsed = F.from_json(wrapped, "map<string,string>", options)
     good = (F.size(parsed) == 2) & F.array_contains(F.map_keys(parsed), seal)
     return F.coalesce(good, F.lit(False))
 

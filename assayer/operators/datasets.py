@@ -284,7 +284,7 @@ def content_digest(rows: DataFrame, keys: Sequence[str], line_no: str, content:
     """Digest over ordered content without an ordered single stream.
 
     Row digests are hashed per block of 4096 consecutive lines, blocks per 4096 blocks, and so on
-    (four levels reach 2.8e14 lines). It depends on content and line numbers only, not on
+    (four levels reach 2.8e14 lines; a last one joins whatever is left beyond). It depends on content and line numbers only, not on
     partitions. It is not the digest of the file; see sources.promptsets.file_digests for that.
     """
     level = rows.select(*keys, F.col(line_no).alias("_pos"), F.sha2(content, 256).alias("_digest"))
@@ -296,7 +296,11 @@ def content_digest(rows: DataFrame, keys: Sequence[str], line_no: str, content:
             .agg(F.sha2(joined, 256).alias("_digest"))
             .withColumnRenamed("_next", "_pos")
         )
-    return level.select(*keys, F.col("_digest").alias("content_digest"))
+    ordered = F.array_sort(F.collect_list(F.struct("_pos", "_digest")))
+    rest = F.sha2(F.concat_ws("", F.transform(ordered, lambda x: x["_digest"])), 256)
+    return level.groupBy(*keys).agg(
+        F.when(F.count(F.lit(1)) == 1, F.min("_digest")).otherwise(rest).alias("content_digest")
+    )
 
 
 def manifest(

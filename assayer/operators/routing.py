@@ -99,16 +99,18 @@ def route_attributes(requests: DataFrame, policy: str = "default", decision: str
             "model_intent": intent_of(team),
             "ab_enabled": bucket.isNotNull(),
             "ab_bucket": bucket,
+            "request_timeout_ms": F.coalesce("timeout_ms", F.lit(DEFAULT_TIMEOUT_MS)) if "timeout_ms" in requests.columns else F.lit(DEFAULT_TIMEOUT_MS),
         }
     )
 
 
 def backend_attributes(calls: DataFrame) -> DataFrame:
-    """Backend call attributes; the fallback pair appears only when both ends are known."""
+    """Backend call attributes, among them whether the backend was ready; the fallback pair appears only when both ends are known."""
     both = F.col("fallback_from").isNotNull() & F.col("fallback_to").isNotNull()
     return calls.withColumns(
         {
             "peer_service": F.concat("team", F.lit("-api")),
+            "ready_at_call": F.col("ready_at_call"),
             "retries": F.coalesce("retries", F.lit(0)),
             "backend_timeout_ms": F.coalesce("backend_timeout_ms", F.lit(8000)),
             "fallback_from": F.when(both, F.col("fallback_from")),

@@ -7,21 +7,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from assayer.functions.numbers import fold_bool, micros, py_round, ratio, whole
+from assayer.sources.promptsets import capped
 
 MAX_ERRORS = 20
 UNCATEGORIZED = "uncategorized"
-# Promptset each team is benchmarked with.
-BENCHMARK_SETS = {
-    "quant": "benchmark-quant",
-    "finetune": "benchmark-finetune",
-    "eval": "benchmark-eval",
-}
 
 
 def expected_calls(runs: DataFrame, prompts: DataFrame, max_prompts: Column | None = None) -> DataFrame:
-    """One row per call a run has to make: its promptset's prompts, up to its cap in file order."""
-    calls = runs.join(prompts, "promptset")
-    return calls if max_prompts is None else calls.where(max_prompts.isNull() | (F.col("line_no") < max_prompts))
+    """One row per call a run has to make: its promptset's prompts, up to its cap in file order; null or 0 is no cap."""
+    return capped(runs.join(prompts, "promptset"), max_prompts)
 
 
 def join_responses(calls: DataFrame, responses: DataFrame) -> DataFrame:
@@ -63,7 +57,7 @@ def _report(sums: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def category_of(results: DataFrame) -> Column:
-    return F.coalesce(F.col("category"), F.lit(UNCATEGORIZED))
+    return F.coalesce(F.nullif(F.col("category"), F.lit("")), F.lit(UNCATEGORIZED))
 
 
 def run_summary(results: DataFrame, keys: Sequence[str] = ("run_id",), runs: DataFrame | None = None) -> DataFrame:
@@ -106,7 +100,7 @@ def error_list(results: DataFrame, limit: int = MAX_ERRORS) -> DataFrame:
     """The first errors of each run in file order; the limit is applied before the shuffle."""
     first = Window.partitionBy("run_id").orderBy("line_no")
     return (
-        results.where(F.col("error").isNotNull())
+        results.where(F.nullif(F.col("error"), F.lit("")).isNotNull())
         .select("run_id", "line_no", F.concat_ws(": ", "prompt_id", "error").alias("entry"))
         .withColumn("position", F.row_number().over(first))
         .where(F.col("position") <= limit)

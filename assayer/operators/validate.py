@@ -58,16 +58,14 @@ def exact_match(text: Column, answer: Column) -> Column:
 
 
 def numerical_accuracy(text: Column, answer: Column, tolerance: float = 1e-9) -> Column:
-    """Some number in the text equals the expected number within a relative tolerance."""
+    """Some number in the text equals the expected number within a relative tolerance.
+
+    Numbers may have an exponent or begin with their point; a minus behind a digit is a dash.
+    """
     target = F.regexp_replace(F.trim(answer), ",", "").try_cast("double")
-    numbers = F.regexp_extract_all(
-        F.regexp_replace(text, r"(\d),(?=\d{3})", "$1"), F.lit(r"(-?\d+(?:\.\d+)?)"), 1
-    )
-    near = F.exists(
-        numbers,
-        lambda n: F.abs(n.try_cast("double") - target)
-        <= F.greatest(F.abs(target), F.lit(1.0)) * F.lit(tolerance),
-    )
+    plain = F.regexp_replace(F.regexp_replace(text, r"(\d),(?=\d{3})", "$1"), r"(\d)-", "$1 ")
+    numbers = F.regexp_extract_all(plain, F.lit(r"(-?(?:\d+(?:\.\d+)?|\.\d+)(?:[eE][+-]?\d+)?)"), 1)
+    near = F.exists(numbers, lambda n: F.abs(n.try_cast("double") - target) <= F.abs(target) * F.lit(tolerance))
     return F.coalesce(near, F.lit(False))
 
 

@@ -354,10 +354,10 @@ def folder(spark, name: str) -> str:
     ["S1", "S5"],
 )
 def promptset_files(spark, sf_dir):
-    prompts = normalised_prompts(spark, sf_dir).withColumn("scenario_id", F.lit("bench-v1"))
+    prompts = normalised_prompts(spark, sf_dir)
     path = folder(spark, "promptset")
     promptsets.write_promptset(prompts, datasets.manifest(prompts, created()), path)
-    back = promptsets.read_written_promptset(spark, f"{path}/promptsets")
+    back = promptsets.read_written_promptset(spark, path)
     return back.select("prompt_id", "line_no", "bucket", "target_output_tokens", F.sha2("prompt", 256).alias("prompt_digest"))
 
 
@@ -443,14 +443,14 @@ def latest_promptset_versions(spark, sf_dir):
     ["S2"],
 )
 def manifest_list(spark, sf_dir):
-    # One manifest file per dataset, written by Spark and read back through the directory listing.
     sets = manifests(spark, sf_dir).groupBy("dataset_id").agg(
         F.min("promptset_id").alias("promptset_id"), F.count(F.lit(1)).alias("prompt_count")
     )
     path = folder(spark, "manifests")
-    sets.withColumn("set", F.col("dataset_id")).write.partitionBy("set").mode("overwrite").json(path)
-    raw = spark.read.schema("promptset_id string, dataset_id string, prompt_count bigint, version string").json(path)
-    return raw.select("dataset_id", "promptset_id", "prompt_count", F.coalesce("version", F.lit("1.0.0")).alias("version"))
+    promptsets.write_manifests(sets, F.col("dataset_id"), path)
+    return promptsets.list_promptsets(promptsets.read_manifests(spark, path)).select(
+        "dataset_id", "promptset_id", "prompt_count", "version"
+    )
 
 
 @query(

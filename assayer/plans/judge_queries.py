@@ -24,7 +24,7 @@ def _score_sql(r: str) -> str:
 
 PARSED = (
     "b AS (SELECT *, trim(regexp_replace(regexp_replace(raw, '```json?\\s*', '', 'g'), '```', '', 'g'), E' \\n') AS bare FROM judgements),"
-    " pj AS (SELECT *, json_valid(bare) AS parsed FROM b),"
+    " pj AS (SELECT *, json_valid(bare) AND starts_with(bare, '{') AS parsed FROM b),"
     " parsed AS (SELECT doc_id, text, variant, promptset_id, day, profile, quality, toxic, raw, parsed, "
     + ", ".join(_score_sql(r) for r in judge.RUBRICS)
     + ", CASE WHEN parsed THEN coalesce(json_extract_string(CASE WHEN parsed THEN bare END, '$.reasoning'), '')"
@@ -167,7 +167,7 @@ def judge_calibration(spark, sf_dir):
 
 @query(
     "grounded_factuality",
-    f"SELECT d.doc_id, b.item_id, contains({q.normalised('d.text')}, {q.normalised('substr(b.text, 1, 40)')}) AS grounded"
+    f"SELECT d.doc_id, b.item_id, contains({q.normalised('d.text')}, {q.normalised('b.text')}) AS grounded"
     " FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % (SELECT count(*) FROM benchmark)",
     [],
     ["E6"],
@@ -177,4 +177,4 @@ def grounded_factuality(spark, sf_dir):
     n = items.select(F.count(F.lit(1))).scalar()
     docs = v.table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("response"), (F.col("doc_id") % n).alias("item_id"))
     joined = docs.join(items, "item_id")
-    return joined.select("doc_id", "item_id", judge.grounded(F.col("response"), F.substring("text", 1, 40)).alias("grounded"))
+    return joined.select("doc_id", "item_id", judge.grounded(F.col("response"), F.col("text")).alias("grounded"))

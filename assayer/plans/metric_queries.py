@@ -126,14 +126,14 @@ def queue_breaches(spark, sf_dir):
 
 @query(
     "restart_alerts",
-    f"WITH v AS (SELECT * FROM ({panel_sql(_panel('namespace_restarts'))}) p WHERE value > 0), g AS (SELECT *, eval_t - 30 * row_number()"
-    " OVER (PARTITION BY namespace ORDER BY eval_t) AS grp FROM v)"
-    " SELECT namespace, min(eval_t) AS started_at, max(eval_t) AS ended_at, count(*) AS steps, max(value) AS peak FROM g GROUP BY namespace, grp",
+    f"WITH v AS (SELECT * FROM ({panel_sql(_panel('rule_pod_restarts_increase'))}) p WHERE value > 0), g AS (SELECT *, eval_t - 30 * row_number()"
+    " OVER (PARTITION BY namespace, pod ORDER BY eval_t) AS grp FROM v)"
+    " SELECT namespace, pod, min(eval_t) AS started_at, max(eval_t) AS ended_at, count(*) AS steps, max(value) AS peak FROM g GROUP BY namespace, pod, grp",
     ["requests"],
     ["M13"],
 )
 def restart_alerts(spark, sf_dir):
-    return m.breach_episodes(_evaluated("namespace_restarts")(spark, sf_dir), ["namespace"], F.col("value") > 0, 30)
+    return m.breach_episodes(_evaluated("rule_pod_restarts_increase")(spark, sf_dir), ["namespace", "pod"], F.col("value") > 0, 30)
 
 
 @query(
@@ -212,7 +212,7 @@ def extrapolated_increase(spark, sf_dir):
     "recording_rules",
     " UNION ALL ".join(
         f"SELECT '{p.name}' AS rule, {' || chr(44) || '.join(p.by)} AS labels, eval_t, value FROM ({panel_sql(p)}) r{i}"
-        for i, p in enumerate(RECORDING_RULES[:3])
+        for i, p in enumerate(RECORDING_RULES)
     ),
     ["requests"],
     ["M8", "M7"],
@@ -221,7 +221,7 @@ def recording_rules(spark, sf_dir):
     """Rules under their names in one table, as a scheduled job would store them."""
     parts = [
         run_panel(p)(spark, sf_dir).select(F.lit(p.name).alias("rule"), F.concat_ws(",", *p.by).alias("labels"), "eval_t", "value")
-        for p in RECORDING_RULES[:3]
+        for p in RECORDING_RULES
     ]
     out = parts[0]
     for part in parts[1:]:

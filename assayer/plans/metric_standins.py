@@ -115,7 +115,7 @@ METRICS: dict[str, Spec] = {
         "latency_ms * 1024", namespace="team", pod=POD, image="CASE WHEN k % 5 = 0 THEN '' ELSE 'api:1' END"
     ),
     "container_memory_usage_bytes": gauge("latency_ms * 2048", namespace="team", pod=POD),
-    "node_cpu_seconds_total": counter("k", node=NODE, mode="CASE WHEN k % 2 = 0 THEN 'idle' ELSE 'user' END"),
+    "node_cpu_seconds_total": counter("k", node=NODE, cpu="CAST(k % 3 AS VARCHAR(1))", mode="CASE WHEN k % 2 = 0 THEN 'idle' ELSE 'user' END"),
     "node_memory_MemAvailable_bytes": gauge("latency_ms * 65536", instance=NODE),
     "node_memory_MemTotal_bytes": gauge(f"16 * {GIB}", instance=NODE),
     "node_filesystem_avail_bytes": gauge("latency_ms * 1048576", instance=NODE, mountpoint="'/'", fstype="CASE WHEN k % 6 = 0 THEN 'rootfs' ELSE 'ext4' END"),

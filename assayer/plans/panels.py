@@ -19,7 +19,7 @@ from assayer.plans import metric_standins as ms
 class Panel:
     """One rule or panel.
 
-    kind: rate, increase, share (matching series over all), over (one metric over another),
+    kind: rate, rate_agg (rates per series, then ``agg``), increase, share (matching series over all), over (one metric over another),
     quantile, quantile_agg, instant, instant_agg, instant_over, minus, max_over_time.
     """
 
@@ -75,6 +75,9 @@ def evaluate(p: Panel, sample_table) -> DataFrame:
     other_where = p.where if p.other_where is None else p.other_where
     if p.kind == "rate":
         out = m.rate(*kept(p.metric, p.where), by, p.window, p.step)
+    elif p.kind == "rate_agg":
+        samples, series = kept(p.metric, p.where)
+        out = m.aggregate(m.rate(samples, series, series, p.window, p.step), p.agg, by)
     elif p.kind == "increase":
         out = inc(p.metric, p.where, by).withColumnRenamed("increase", "value")
     elif p.kind == "share":
@@ -177,6 +180,8 @@ def panel_sql(p: Panel) -> str:
 
     if p.kind == "rate":
         body = f"SELECT {by}eval_t, value / {p.window} AS value FROM ({summed(p.metric, p.where, by)}) x"
+    elif p.kind == "rate_agg":
+        body = agg(f"SELECT *, increase / {p.window} AS value FROM ({_inc_sql(p, p.metric, p.where)}) s", p.agg, by)
     elif p.kind == "increase":
         body = summed(p.metric, p.where, by)
     elif p.kind == "share":
@@ -251,7 +256,7 @@ RECORDING_RULES = [
     Panel("rule_invoke_latency_p95", "quantile", "sagemaker_invoke_duration_seconds_bucket", ("endpoint",), covers=("M5",)),
     Panel("rule_invoke_error_rate", "rate", "sagemaker_invoke_errors_total", ("endpoint",), covers=("M3", "A9")),
     Panel("rule_gateway_requests_by_team", "rate", "gateway_requests_total", ("team",), covers=("M3", "A9")),
-    Panel("rule_pod_restarts_increase", "increase", "kube_pod_container_status_restarts_total", ("namespace", "pod"), window=3600, step=300, covers=("M2",)),
+    Panel("rule_pod_restarts_increase", "increase", "kube_pod_container_status_restarts_total", ("namespace", "pod"), covers=("M2",)),
     Panel("rule_team_error_ratio", "share", "lab_service_requests_total", ("team",), num=(re("status_code", "5.."),)),
     Panel("rule_team_latency_p95", "quantile", "lab_llm_e2e_duration_ms_bucket", ("team",)),
     Panel("rule_variant_tokens_per_second", "over", "genai_usage_output_tokens_total", ("variant_id",), other="lab_llm_e2e_duration_ms_sum", post="value * 1000", covers=("M14", "M6")),
@@ -271,7 +276,7 @@ HARNESS_PANELS = [
     Panel("harness_platform_overhead", "minus", "lab_harness_last_latency_ms", ("team",), (eq("scenario_id", "perf_throughput"),), other="lab_llm_last_duration_ms", other_where=(), covers=("J7",)),
     Panel("harness_canary_pass_rate", "over", "lab_harness_pass_total", ("team", "variant"), (eq("scenario_id", "canary"),), other="lab_harness_requests_total"),
     Panel("harness_queue_depth_peak", "max_over_time", "lab_llm_inflight_requests", where=(eq("scenario_id", "perf_throughput"),), covers=("M4",)),
-    Panel("rollout_pod_traffic", "rate", "lab_service_requests_total", ("kubernetes_pod_name",), window=600, step=60, covers=("T-b",)),
+    Panel("rollout_pod_traffic", "rate", "lab_service_requests_total", ("kubernetes_pod_name",), window=60, covers=("T-b",)),
     Panel("rollout_504_rate", "rate", "lab_service_requests_total", ("team",), (eq("status_code", "504"),), window=60, step=30, covers=("T-b",)),
     Panel("rollout_long_bucket_p95", "quantile", "lab_llm_e2e_duration_ms_bucket", (), (eq("bucket", "long"),)),
     Panel("rollout_pending_pods", "instant", "kube_pod_status_phase", where=(eq("namespace", "quant"), eq("phase", "Pending")), covers=("M1",)),
@@ -353,7 +358,7 @@ CLUSTER_PANELS = [
     Panel("namespace_cpu", "rate", "container_cpu_usage_seconds_total", ("namespace",), IMAGE),
     Panel("namespace_memory", "instant_agg", "container_memory_working_set_bytes", ("namespace",), IMAGE),
     Panel("pod_status", "instant", "kube_pod_status_phase", step=60, keep="value = 1", covers=("P13",)),
-    Panel("node_cpu", "rate", "node_cpu_seconds_total", ("node",), (eq("mode", "idle"),), post="100 - value * 100", covers=("P14",)),
+    Panel("node_cpu", "rate_agg", "node_cpu_seconds_total", ("node",), (eq("mode", "idle"),), agg="avg", post="100 - value * 100", covers=("P14",)),
     Panel("node_memory", "instant_over", "node_memory_MemAvailable_bytes", ("instance",), other="node_memory_MemTotal_bytes", post="100 * (1 - value)", covers=("J6", "P14")),
     Panel("node_disk", "instant_over", "node_filesystem_avail_bytes", ("instance", "mountpoint", "fstype"), DISK, other="node_filesystem_size_bytes", post="100 - value * 100"),
     Panel("node_network_rx", "rate", "node_network_receive_bytes_total", ("instance", "device"), DEVICE, covers=("P12",)),

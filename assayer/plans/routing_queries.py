@@ -65,13 +65,13 @@ def routed(spark, sf_dir):
     f"SELECT request_id, team || '-api' AS target_service, 'sagemaker:' || team || '-endpoint' AS target_endpoint,"
     " CASE WHEN bucket IS NULL THEN 'explicit_path' ELSE 'ab_bucket' END AS reason,"
     " CASE team WHEN 'quant' THEN 'quantized' WHEN 'finetune' THEN 'finetuned' ELSE 'evaluator' END AS model_intent,"
-    f" bucket IS NOT NULL AS ab_enabled, bucket AS ab_bucket FROM (SELECT request_id, team, {VARIANT} AS bucket FROM requests) x",
+    f" bucket IS NOT NULL AS ab_enabled, bucket AS ab_bucket, CAST(30000 AS INTEGER) AS request_timeout_ms FROM (SELECT request_id, team, {VARIANT} AS bucket FROM requests) x",
     ["requests"],
     ["R1", "R2", "W3", "T17", "T25"],
 )
 def route_attributes(spark, sf_dir):
     return routing.route_attributes(routed(spark, sf_dir)).select(
-        "request_id", "target_service", "target_endpoint", "reason", "model_intent", "ab_enabled", "ab_bucket"
+        "request_id", "target_service", "target_endpoint", "reason", "model_intent", "ab_enabled", "ab_bucket", "request_timeout_ms"
     )
 
 
@@ -90,7 +90,7 @@ def ab_distribution(spark, sf_dir):
 
 @query(
     "backend_attributes",
-    "SELECT request_id, team || '-api' AS peer_service, CASE WHEN k % 5 = 0 THEN k % 3 ELSE 0 END AS retries,"
+    "SELECT request_id, team || '-api' AS peer_service, k % 7 <> 0 AS ready_at_call, CASE WHEN k % 5 = 0 THEN k % 3 ELSE 0 END AS retries,"
     " CASE WHEN k % 2 = 0 THEN 20000 ELSE 8000 END AS backend_timeout_ms,"
     " CASE WHEN k % 20 = 0 THEN team END AS fallback_from, CASE WHEN k % 20 = 0 THEN 'eval' END AS fallback_to FROM requests",
     ["requests"],
@@ -100,6 +100,7 @@ def backend_attributes(spark, sf_dir):
     calls = v.requests(spark, sf_dir).select(
         "request_id",
         "team",
+        F.expr("k % 7 <> 0").alias("ready_at_call"),
         F.expr("CASE WHEN k % 5 = 0 THEN k % 3 END").alias("retries"),
         F.expr("CASE WHEN k % 2 = 0 THEN 20000 END").alias("backend_timeout_ms"),
         F.expr("CASE WHEN k % 10 = 0 THEN team END").alias("fallback_from"),

@@ -47,7 +47,7 @@ REPORT = (
 
 @query(
     "run_and_category_summary",
-    f"WITH {RESULTS_TPS}, sums AS (SELECT run_id, coalesce(category, 'uncategorized') AS category,"
+    f"WITH {RESULTS_TPS}, sums AS (SELECT run_id, coalesce(nullif(category, ''), 'uncategorized') AS category,"
     f" 0::BIGINT AS is_run_total, {summary_columns()} FROM scored GROUP BY ALL"
     f" UNION ALL SELECT run_id, NULL, 1, {summary_columns()} FROM scored GROUP BY run_id)"
     f" SELECT run_id, category, is_run_total, {REPORT} FROM sums",
@@ -75,7 +75,7 @@ def run_summary(spark, sf_dir):
 
 @query(
     "category_breakdown",
-    "SELECT team, coalesce(category, 'uncategorized') AS category, count(*) AS total,"
+    "SELECT team, coalesce(nullif(category, ''), 'uncategorized') AS category, count(*) AS total,"
     " CAST(sum(CASE WHEN passed THEN 1 ELSE 0 END) AS BIGINT) AS passed FROM results GROUP BY ALL",
     ["results"],
     ["A2", "K4", "P11"],
@@ -87,7 +87,7 @@ def category_breakdown(spark, sf_dir):
 @query(
     "category_breakdown_map",
     "SELECT run_id, '{' || string_agg('\"' || category || '\":{\"total\":' || total || ',\"passed\":' || passed || '}',"
-    " ',' ORDER BY category) || '}' AS breakdown FROM (SELECT run_id, coalesce(category, 'uncategorized') AS category,"
+    " ',' ORDER BY category) || '}' AS breakdown FROM (SELECT run_id, coalesce(nullif(category, ''), 'uncategorized') AS category,"
     " count(*) AS total, CAST(sum(CASE WHEN passed THEN 1 ELSE 0 END) AS BIGINT) AS passed"
     " FROM results GROUP BY ALL) c GROUP BY run_id",
     ["results"],
@@ -438,7 +438,7 @@ def ab_win_rate(spark, sf_dir):
 
 @query(
     "quality_delta",
-    "WITH r AS (SELECT coalesce(category, 'uncategorized') AS category, variant, count(*) AS total,"
+    "WITH r AS (SELECT coalesce(nullif(category, ''), 'uncategorized') AS category, variant, count(*) AS total,"
     " CAST(sum(CASE WHEN passed THEN 1 ELSE 0 END) AS BIGINT) AS passed FROM results GROUP BY ALL)"
     " SELECT r.category, r.variant, r.total, r.passed, r.passed::DOUBLE / r.total AS pass_share,"
     " r.passed::DOUBLE / r.total - b.passed::DOUBLE / b.total AS delta"

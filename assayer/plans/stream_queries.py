@@ -182,7 +182,7 @@ def stream_replayed_requests(spark, sf_dir):
 @query(
     "stream_log_sink",
     "SELECT severity, us // 86400000000 AS day, count(*) AS lines FROM (SELECT CASE status WHEN 'success' THEN 'INFO' WHEN 'timeout' THEN 'WARNING' ELSE 'ERROR' END"
-    " AS severity, us + latency_ms * 500 AS us FROM requests) x WHERE us >= 1704067200000000 + 15 * 86400000000 GROUP BY ALL",
+    " AS severity, us + latency_ms * 500 AS us FROM requests) x WHERE us >= 1704067200000000 + 23 * 86400000000 GROUP BY ALL",
     ["requests"],
     ["S13", "S7", "T-f"],
 )
@@ -191,7 +191,7 @@ def stream_log_sink(spark, sf_dir):
     path = folder(spark, "logs")
     finish(sinks.signal_sink(lines, path, f"{path}/checkpoint", "logs", **NOW))
     table = spark.read.parquet(f"{path}/logs")
-    kept = sinks.retained(table, F.lit("2024-01-31 00:00:00"), 15)
+    kept = sinks.retained(table, F.lit("2024-01-31 00:00:00"), sinks.RETENTION_DAYS["logs"])
     return kept.groupBy("severity", F.unix_date("date").cast("bigint").alias("day")).agg(F.count(F.lit(1)).alias("lines"))
 
 

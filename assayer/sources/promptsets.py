@@ -8,6 +8,8 @@ from pyspark.sql import types as T
 from assayer.schemas import MANIFEST, PROMPT
 
 LINE_NO = T.StructField("line_no", T.LongType())
+# A set's folder holds these two as files, or as folders named file=... of what Spark wrote.
+PROMPTS_FILE, MANIFEST_FILE = "promptset.jsonl", "manifest.json"
 
 
 def read_promptset(spark: SparkSession, path: str) -> DataFrame:
@@ -40,10 +42,11 @@ def read_promptset(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def read_written_promptset(spark: SparkSession, path: str) -> DataFrame:
-    """Prompts of a set written by :func:`write_promptset`, whose lines carry their number: a cap
-    on ``line_no`` is a plain filter on the scan."""
-    return spark.read.schema(T.StructType([*PROMPT.fields, LINE_NO])).json(path)
+def read_written_promptset(spark: SparkSession, root: str, directory: str | None = None) -> DataFrame:
+    """Prompts of one set, or of all, written by :func:`write_promptset`. Lines carry their number: a cap on
+    ``line_no`` is a plain filter on the scan."""
+    folder = "*" if directory is None else f"directory={directory}"
+    return spark.read.schema(T.StructType([*PROMPT.fields, LINE_NO])).json(f"{root}/{folder}/file={PROMPTS_FILE}")
 
 
 def read_manifests(spark: SparkSession, root: str) -> DataFrame:
@@ -51,8 +54,9 @@ def read_manifests(spark: SparkSession, root: str) -> DataFrame:
     raw = (
         spark.read.option("multiLine", True)
         .schema(MANIFEST)
-        .json(f"{root}/*/manifest.json")
-        .withColumn("directory", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2))
+        .json(f"{root}/*/*{MANIFEST_FILE}")
+        .withColumn("directory", F.regexp_extract(F.col("_metadata.file_path"), "([^/]+)/(?:file=)?manifest\\.json", 1))
+        .withColumn("directory", F.regexp_replace("directory", "^directory=", ""))
     )
     return raw.select(
         "directory",
@@ -101,14 +105,26 @@ def latest_version(manifests: DataFrame) -> DataFrame:
     )
 
 
-def write_promptset(prompts: DataFrame, manifest: DataFrame, path: str) -> None:
-    """Prompts by dataset and version with their line numbers, and one manifest per set."""
-    version = manifest.select("dataset_id", F.col("version").alias("set_version"))
-    keyed = prompts.join(version, "dataset_id").withColumn("set_dataset", F.col("dataset_id"))
-    keyed.write.mode("overwrite").partitionBy("set_dataset", "set_version").json(f"{path}/promptsets")
-    manifest.withColumn("set_dataset", F.col("dataset_id")).write.mode("overwrite").partitionBy("set_dataset").json(
-        f"{path}/manifests"
-    )
+def write_promptset(prompts: DataFrame, manifest: DataFrame, root: str) -> None:
+    """Prompts with their line numbers, and the manifest, of each set in a folder of its own below ``root``.
+
+    A set is a scenario, a dataset and a version. Only the folders of the sets written are replaced.
+    """
+    keys = ["scenario_id", "dataset_id"]
+    folder = F.concat_ws("-", *keys, "version")
+    sets = manifest.select(*keys, folder.alias("directory"))
+    _replace(prompts.join(sets, keys), root, PROMPTS_FILE)
+    write_manifests(manifest, folder, root)
+
+
+def write_manifests(manifest: DataFrame, directory: Column, root: str) -> None:
+    """Each manifest in its set's folder."""
+    _replace(manifest.withColumn("directory", directory), root, MANIFEST_FILE)
+
+
+def _replace(rows: DataFrame, root: str, file: str) -> None:
+    dynamic = rows.withColumn("file", F.lit(file)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    dynamic.partitionBy("directory", "file").json(root)
 
 
 def file_digests(spark: SparkSession, glob: str) -> DataFrame:
@@ -120,5 +136,10 @@ def file_digests(spark: SparkSession, glob: str) -> DataFrame:
 
 
 def capped(prompts: DataFrame, max_prompts: int | Column | None) -> DataFrame:
-    """The first prompts in file order as a filter, which reaches the scan where a limit would not."""
-    return prompts if max_prompts is None else prompts.where(F.col("line_no") < max_prompts)
+    """The first prompts in file order as a filter, which reaches the scan where a limit would not.
+
+    As in the original, null and 0 mean no cap.
+    """
+    if isinstance(max_prompts, Column):
+        return prompts.where(max_prompts.isNull() | (max_prompts == 0) | (F.col("line_no") < max_prompts))
+    return prompts.where(F.col("line_no") < max_prompts) if max_prompts else prompts

@@ -7,8 +7,12 @@ from pyspark.sql.streaming import StreamingQuery
 
 
 def write_results(results: DataFrame, path: str, run_date: Column) -> None:
-    """Results by date and run: a report on a date or run opens only its own files."""
-    results.withColumn("run_date", run_date).write.mode("append").partitionBy("run_date", "run_id").parquet(path)
+    """Results by date and run: a report on a date or run opens only its own files.
+
+    Writing a run again replaces it. Rows are gathered by run first; Spark splits large runs and merges small ones.
+    """
+    dated = results.withColumn("run_date", run_date).hint("rebalance", "run_date", "run_id")
+    dated.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_date", "run_id").parquet(path)
 
 
 def signal_sink(signals: DataFrame, path: str, checkpoint: str, kind: str, ts: str = "ts", **trigger) -> StreamingQuery:
@@ -25,6 +29,10 @@ def signal_sink(signals: DataFrame, path: str, checkpoint: str, kind: str, ts: s
     )
 
 
+# Days for which each kind of signal is kept.
+RETENTION_DAYS = {"metrics": 15, "logs": 7, "traces": 2}
+
+
 def retained(signals: DataFrame, now: Column, days: float, date: str = "date", ts: str = "ts") -> DataFrame:
     """Rows young enough to keep; the date condition prunes partitions, the time one is exact."""
     oldest = (now.cast("timestamp").cast("double") - F.lit(days * 86400.0)).cast("timestamp")

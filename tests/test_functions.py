@@ -14,6 +14,8 @@ def test_py_round_agrees_with_python(spark):
     values = [0.15, 92.85, 2.5, 0.25, 0.35, -0.15, -2.25, 1.005, 0.0, 1e9 + 0.05, 0.05, 8.345]
     values += [rng.uniform(-1000, 1000) for _ in range(2000)]
     values += [round(rng.uniform(0, 1000), 2) for _ in range(4000)]
+    values += [1e13 + 0.37, -1e13 - 0.37, 2**52 + 0.5, 2.0**53, 1e300, float("inf"), 4503599627370497.5 / 8]
+    values += [rng.uniform(-1, 1) * 2.0 ** rng.randrange(40, 60) for _ in range(2000)]
     for digits in (1, 2):
         df = spark.createDataFrame([(v,) for v in values], "x double")
         got = [r.y for r in df.select(numbers.py_round(F.col("x"), digits).alias("y")).collect()]
@@ -31,7 +33,8 @@ def test_strict_json_agrees_with_python(spark):
     cases = [
         '{"a":1}', '{"a":1} x', '{"a":1', "", " ", "null", "1", '"s"', "[1,2]", "[1,2],[3]", "{'a':1}", '{"a":1,"a":2}',
         '1,"value":2', '{"a":1}}', '1} {"b":2', "nul", "01", "NaN", '{"a":"b\nc"}', ' {"a": [1, {"b": null}]} ', "tru", '"\\u00e9"', "-1.5e3", "{}",
-        '1,"seal":0} junk', "é",
+        '1,"seal":0} junk', "é", "+INF", "-INF", "INF", "Infinity", "-Infinity", "+Infinity", "[+INF]", "[NaN, -Infinity]",
+        '{"a": "NaN +INF"}', '["Infinity", INF]', "NaNx", "-NaN", '{"NaN": Infinity}', '["\\"", NaN]', '"Infinity', "1Infinity", "[NaN,]",
     ]
 
     def valid(t: str) -> bool:

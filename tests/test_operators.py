@@ -77,6 +77,8 @@ def test_benchmark_fails_only_when_all_fail(spark):
 
 def test_numeric_answers(spark):
     cases = [("The result is 9,716.", "9716", True), ("about 9717", "9716", False), ("none", "5", False), ("3.0", "3", True)]
+    cases += [("x = 1e-05", "0.00001", True), (".5", "0.5", True), ("3-5", "5", True), ("3-5", "-5", False), ("1e-10", "0", False)]
+    cases += [("is -7.", "-7", True), ("0.0", "0", True), ("1E3 or so", "1000", True)]
     df = spark.createDataFrame([c[:2] for c in cases], "t string, a string")
     got = [r.v for r in df.select(validate.numerical_accuracy(F.col("t"), F.col("a")).alias("v")).collect()]
     assert got == [c[2] for c in cases]
@@ -227,3 +229,21 @@ def test_genai_metrics_only_with_output(spark):
     df = spark.createDataFrame([(10, 4, 1000.0), (10, 0, 1000.0), (10, None, 1000.0)], "input_tokens bigint, output_tokens bigint, duration_ms double")
     got = [(r.total_tokens, r.tpot_ms, r.tokens_per_sec) for r in telemetry.genai_metrics(df).collect()]
     assert got == [(14, 250, 4.0), (10, None, None), (None, None, None)]
+
+
+def test_empty_category_and_error_count_as_absent(spark):
+    rows = [("r", 1, "p1", "", "", True), ("r", 2, "p2", None, None, False), ("r", 3, "p3", "c", "boom", False)]
+    df = spark.createDataFrame(rows, "run_id string, line_no int, prompt_id string, category string, error string, passed boolean")
+    assert {r.category: r.total for r in runs.category_breakdown(df).collect()} == {"uncategorized": 2, "c": 1}
+    assert [r.entry for r in runs.error_list(df).collect()] == ["p3: boom"]
+
+
+def test_judge_output_has_to_be_an_object(spark):
+    df = spark.createDataFrame([("5",), ("[1,2]",), ('{"coherence": 1}',), ('```json\n{"coherence": 0.25}\n```',)], "raw string")
+    got = [(r.parsed, r.coherence, r.reasoning) for r in judge.parse_judge_output(df, "raw").collect()]
+    assert got == [(False, 0.5, judge.PARSE_NOTE), (False, 0.5, judge.PARSE_NOTE), (True, 1.0, ""), (True, 0.25, "")]
+
+
+def test_digest_beyond_its_blocks_is_one_row(spark):
+    df = spark.range(5000).select(F.lit("s").alias("set"), F.col("id").alias("line_no"), F.col("id").cast("string").alias("c"))
+    assert datasets.content_digest(df, ["set"], "line_no", F.col("c"), levels=1).count() == 1

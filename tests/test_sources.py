@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from assayer.operators import datasets
-from assayer.sources import config, promptsets, signals
+from assayer.sources import config, promptsets, signals, sinks
 
 
 def write_set(root, name, rows, **manifest):
@@ -73,14 +73,49 @@ def check_digests(spark, root):
     assert found and all(r.checksum == r.stated for r in found)
 
 
-def test_written_set_reads_back(spark, tmp_path):
-    rows = spark.createDataFrame([(0, "p", "t", 80)], "line_no bigint, prompt_id string, prompt string, target_output_tokens bigint")
-    prompts = datasets.normalise_prompts(rows, "s", "d")
-    manifest = datasets.manifest(prompts, F.lit("2026-03-01 10:00:00").cast("timestamp"))
+def test_written_sets_read_back_without_loss_or_doubles(spark, tmp_path):
+    out = str(tmp_path / "out")
+    made = F.lit("2026-03-01 10:00:00").cast("timestamp")
+
+    def write(scenario, version, n):
+        rows = spark.createDataFrame([(i, f"p{i}", f"{version} {i}", 80) for i in range(n)], "line_no bigint, prompt_id string, prompt string, target_output_tokens bigint")
+        prompts = datasets.normalise_prompts(rows, scenario, "d")
+        manifest = datasets.manifest(prompts, made, version=version)
+        promptsets.write_promptset(prompts, manifest, out)
+        return prompts, manifest
+
+    _, manifest = write("s", "1.0.0", 3)
     assert manifest.first().promptset_id == "d-20260301" and manifest.first().created_at == "2026-03-01T10:00:00.000000Z"
-    promptsets.write_promptset(prompts, manifest, str(tmp_path / "out"))
-    back = promptsets.read_written_promptset(spark, str(tmp_path / "out/promptsets")).first()
-    assert (back.line_no, back.prompt_id, back.bucket) == (0, "p", "medium")
+    write("t", "1.0.0", 4)
+    write("s", "2.0.0", 5)
+    write("s", "1.0.0", 2)  # again, shorter
+    back = promptsets.read_written_promptset(spark, out)
+    assert sorted((r.scenario_id, r["count"]) for r in back.groupBy("scenario_id").count().collect()) == [("s", 7), ("t", 4)]
+    one = promptsets.read_written_promptset(spark, out, "t-d-1.0.0").orderBy("line_no").collect()
+    assert [(r.line_no, r.prompt_id, r.bucket) for r in one] == [(i, f"p{i}", "medium") for i in range(4)]
+    listed = promptsets.list_promptsets(promptsets.read_manifests(spark, out)).collect()
+    assert [(r.directory, r.prompt_count, r.version) for r in listed] == [("s-d-1.0.0", 2, "1.0.0"), ("s-d-2.0.0", 5, "2.0.0"), ("t-d-1.0.0", 4, "1.0.0")]
+
+
+def test_two_scenarios_of_a_dataset_in_one_write(spark, tmp_path):
+    rows = spark.createDataFrame([(0, "a", "x", 80)], "line_no bigint, prompt_id string, prompt string, target_output_tokens bigint")
+    both = datasets.normalise_prompts(rows, "s", "d").unionByName(datasets.normalise_prompts(rows, "t", "d"))
+    promptsets.write_promptset(both, datasets.manifest(both, F.lit("2026-03-01 10:00:00").cast("timestamp")), str(tmp_path / "o"))
+    assert promptsets.read_written_promptset(spark, str(tmp_path / "o")).count() == 2
+
+
+def test_no_cap(spark):
+    prompts = spark.range(5).withColumnRenamed("id", "line_no")
+    for cap in (None, 0, F.lit(None).cast("int"), F.lit(0)):
+        assert promptsets.capped(prompts, cap).count() == 5
+    assert promptsets.capped(prompts, F.lit(2)).count() == 2
+
+
+def test_results_written_again_replace_their_run(spark, tmp_path):
+    rows = spark.createDataFrame([("r", i) for i in range(4)] + [("q", 9)], "run_id string, n int")
+    for part in (rows, rows.where("run_id = 'r' AND n < 2")):
+        sinks.write_results(part, str(tmp_path / "r"), F.lit("d"))
+    assert sorted(r.n for r in spark.read.parquet(str(tmp_path / "r")).collect()) == [0, 1, 9]
 
 
 def test_config(spark, tmp_path):
