@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from assayer.functions.labels import Match, all_match
 
@@ -73,6 +73,12 @@ def parse_logs(lines: DataFrame, column: str = "line", promoted: Sequence[str] =
     )
 
 
+def read_fields(lines: DataFrame, names: Sequence[str], column: str = "line") -> DataFrame:
+    """Adds ``fields`` as a struct of the named keys alone, where :func:`parse_logs` reads them all into a map."""
+    shape = T.StructType([T.StructField(name, T.StringType()) for name in names])
+    return lines.withColumn("fields", F.from_json(column, shape))
+
+
 def select_lines(
     lines: DataFrame, labels: Sequence[Match] = (), contains: Sequence[str] = (), regex: str | None = None, column: str = "line"
 ) -> DataFrame:
@@ -87,7 +93,8 @@ def select_lines(
 
 
 def field(name: str) -> Column:
-    return F.coalesce(F.try_element_at(F.col("fields"), F.lit(name)), F.lit(""))
+    """A key's value from ``fields``, struct or map; '' where it is absent."""
+    return F.coalesce(F.col("fields")[name], F.lit(""))
 
 
 def line_format(template: str, names: Sequence[str]) -> Column:

@@ -13,8 +13,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from assayer.functions.numbers import metric_div, ratio
+from assayer.functions.ordered import running_sum
 
 STEP = "_step"
+BREACH_BLOCK = 4096  # steps numbered in one task
 
 
 def le_text(bound: float) -> str:
@@ -293,6 +295,26 @@ def join_ratio(num: DataFrame, den: DataFrame, by: Sequence[str], scale: float =
     return n.join(d, [*by, "eval_t"]).select(*by, "eval_t", (metric_div(F.col("_n"), F.col("_d")) * scale).alias("value"))
 
 
+def gain_ratio(num: DataFrame, den: DataFrame, by: Sequence[str], window_s: int, step_s: int) -> DataFrame:
+    """Increase of one metric over another's, from the :func:`increments` of both, in one pass; unmatched groups drop out."""
+    cols = [*by, "from_step", "to_step", "delta"]
+    both = num.select(*cols, F.lit(True).alias("_is_num")).union(den.select(*cols, F.lit(False)))
+    out = windowed(both, by, window_s, step_s, {"_n": F.col("_is_num"), "_d": ~F.col("_is_num")})
+    return _both_known(out, by)
+
+
+def vector_ratio(num: DataFrame, den: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Sum of one vector over another's by labels, in one aggregate; unmatched groups drop out."""
+    cols = [*by, "eval_t", "value"]
+    both = num.select(*cols, F.lit(True).alias("_is_num")).union(den.select(*cols, F.lit(False)))
+    n, d = (F.sum(F.when(F.col("_is_num") == side, F.col("value"))) for side in (True, False))
+    return _both_known(both.groupBy(*by, "eval_t").agg(n.alias("_n"), d.alias("_d")), by)
+
+
+def _both_known(sides: DataFrame, by: Sequence[str]) -> DataFrame:
+    return sides.where("_n IS NOT NULL AND _d IS NOT NULL").select(*by, "eval_t", metric_div(F.col("_n"), F.col("_d")).alias("value"))
+
+
 def join_difference(left: DataFrame, right: DataFrame, by: Sequence[str]) -> DataFrame:
     return (
         left.withColumnRenamed("value", "_l")
@@ -392,14 +414,17 @@ def threshold_level(value: Column, steps: Sequence[tuple[float | None, str]]) ->
 
 
 def breach_episodes(vector: DataFrame, by: Sequence[str], breached: Column, step_s: int) -> DataFrame:
-    """Runs of consecutive breached steps per series, on evaluated rows."""
+    """Runs of consecutive breached steps per series, on evaluated rows.
+
+    A step that no breached step precedes begins a run; runs are numbered block by block of ``BREACH_BLOCK`` steps,
+    so that a vector of one series is not one task's. Labels must not be null.
+    """
     hits = vector.where(breached)
-    w = Window.partitionBy(*by).orderBy("eval_t")
-    starts = F.when(F.col("eval_t") - F.lag("eval_t").over(w) == step_s, 0).otherwise(1)
-    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = hits.select(*by, (F.col("eval_t") + step_s).alias("eval_t"), F.lit(0).alias("_goes_on"))
+    starts = hits.join(before, [*by, "eval_t"], "left").withColumn("_new", F.coalesce("_goes_on", F.lit(1)))
+    block = F.floor(F.col("eval_t") / (step_s * BREACH_BLOCK))
     return (
-        hits.withColumn("_new", starts)
-        .withColumn("_ep", F.sum("_new").over(upto))
+        running_sum(starts, list(by), block, ["eval_t"], F.col("_new"), "_ep")
         .groupBy(*by, "_ep")
         .agg(
             F.min("eval_t").alias("started_at"),

@@ -83,7 +83,8 @@ def evaluate(p: Panel, sample_table) -> DataFrame:
     elif p.kind == "share":
         out = m.increase_share(*kept(p.metric, p.where), by, all_match(p.num), p.window, p.step)
     elif p.kind == "over":
-        out = m.join_ratio(inc(p.metric, p.where, by), inc(p.other, other_where, by), by)
+        gains = [m.increments(*kept(metric, where), p.step) for metric, where in ((p.metric, p.where), (p.other, other_where))]
+        out = m.gain_ratio(*gains, by, p.window, p.step)
     elif p.kind in ("quantile", "quantile_agg"):
         out = m.histogram_quantile(p.q, m.bucket_increase(*kept(p.metric, p.where), by, p.window, p.step), by)
         if p.kind == "quantile_agg":
@@ -96,9 +97,7 @@ def evaluate(p: Panel, sample_table) -> DataFrame:
         got = vector(p.metric, p.where)
         out = m.aggregate(got.where(p.keep) if p.keep else got, p.agg, by)
     elif p.kind == "instant_over":
-        left = m.aggregate(vector(p.metric, p.where), "sum", by).withColumnRenamed("value", "increase")
-        right = m.aggregate(vector(p.other, other_where), "sum", by).withColumnRenamed("value", "increase")
-        out = m.join_ratio(left, right, by)
+        out = m.vector_ratio(vector(p.metric, p.where), vector(p.other, other_where), by)
     elif p.kind == "minus":
         out = m.join_difference(
             m.aggregate(vector(p.metric, p.where), "avg", by), m.aggregate(vector(p.other, other_where), "avg", by), by

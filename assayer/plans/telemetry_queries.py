@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from assayer.functions.labels import Match, relabel
 from assayer.operators import logs, telemetry
 from assayer.plans import standins as v
-from assayer.plans.dataset_queries import folder
 from assayer.plans.registry import query
 from assayer.plans.sqltext import py_round
 from assayer.sources import signals
@@ -292,14 +291,6 @@ def log_lines(spark, sf_dir):
     return base.withColumn("line", line)
 
 
-def stored_lines(spark, sf_dir):
-    """The lines as a log store holds them: written once, then read as plain columns."""
-    path = folder(spark, "lines")
-    lines = log_lines(spark, sf_dir).select("request_id", "namespace", "service", "line")
-    lines.write.parquet(path)
-    return spark.read.schema(lines.schema).parquet(path)
-
-
 @query("formatted_logs", f"WITH {LOG_SQL}, {LINE_SQL} SELECT request_id, line FROM lines", ["requests"], ["L1"])
 def formatted_logs(spark, sf_dir):
     return log_lines(spark, sf_dir).select("request_id", "line")
@@ -313,7 +304,7 @@ def formatted_logs(spark, sf_dir):
 )
 def parsed_logs(spark, sf_dir):
     parsed = logs.parse_logs(
-        stored_lines(spark, sf_dir).select("request_id", "line"), promoted=["severity", "service.name", "trace_id", "error.message"]
+        log_lines(spark, sf_dir).select("request_id", "line"), promoted=["severity", "service.name", "trace_id", "error.message"]
     )
     return parsed.select("request_id", "severity", "service_name", "trace_id", "error_message")
 
@@ -327,7 +318,7 @@ def parsed_logs(spark, sf_dir):
 )
 def selected_error_lines(spark, sf_dir):
     out = logs.select_lines(
-        stored_lines(spark, sf_dir), [Match("namespace", "=~", "platform|quant|finetune|eval")], contains=["error", "warn"]
+        log_lines(spark, sf_dir), [Match("namespace", "=~", "platform|quant|finetune|eval")], contains=["error", "warn"]
     )
     return out.groupBy("namespace").agg(F.count(F.lit(1)).alias("lines"))
 
@@ -341,7 +332,7 @@ def selected_error_lines(spark, sf_dir):
 )
 def selected_quota_lines(spark, sf_dir):
     out = logs.select_lines(
-        stored_lines(spark, sf_dir), [Match("namespace", "=", "quant")], ["exceeded quota"], "bench|benchmark|harness|predict|quota"
+        log_lines(spark, sf_dir), [Match("namespace", "=", "quant")], ["exceeded quota"], "bench|benchmark|harness|predict|quota"
     )
     return out.select("request_id", "line")
 
@@ -353,8 +344,9 @@ def selected_quota_lines(spark, sf_dir):
     ["L3"],
 )
 def formatted_error_lines(spark, sf_dir):
-    lines = logs.select_lines(stored_lines(spark, sf_dir), [Match("service", "=~", "quant-api|finetune-api|eval-api")])
-    parsed = logs.parse_logs(lines.select("request_id", "line"))
+    # A parsed severity can only be ERROR where the raw line holds the word: most lines are never parsed.
+    lines = logs.select_lines(log_lines(spark, sf_dir), [Match("service", "=~", "quant-api|finetune-api|eval-api")], ["ERROR"])
+    parsed = logs.read_fields(lines.select("request_id", "line"), ["severity", "trace_id", "error.type", "message"])
     errors = parsed.where(logs.field("severity") == "ERROR")
     return errors.select("request_id", logs.line_format("%s %s: %s", ["trace_id", "error.type", "message"]).alias("text"))
 
@@ -381,7 +373,7 @@ def trace_search(spark, sf_dir):
 )
 def logs_with_traces(spark, sf_dir):
     traces = telemetry.trace_summary(spans(spark, sf_dir))
-    lines = stored_lines(spark, sf_dir).select("request_id", "line")
+    lines = log_lines(spark, sf_dir).select("request_id", "line")
     return telemetry.logs_with_traces(lines, traces).select("request_id", "trace_id", "spans", "start_us")
 
 
