@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from assayer.functions.hashing import hash32
-from assayer.functions.numbers import fold_bool, ratio
+from assayer.functions.numbers import fold_bool, py_round, ratio
 from assayer.schemas import ROUTES
 
 DEFAULT_TIMEOUT_MS = 30000
@@ -169,6 +169,22 @@ def platform_stats(requests: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     )
 
 
+def platform_report(requests: DataFrame, percentiles: DataFrame) -> DataFrame:
+    """The service's statistics as one row: totals, error percentage, p50, p95, p99 and counts by team, rounded as it does.
+
+    ``percentiles`` has one row. The maps hold one entry per team.
+    """
+    entries = lambda c: F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.coalesce("team", F.lit("unknown")), c))))
+    total, failed = F.sum("requests"), F.sum("errors")
+    row = percentiles.select(F.struct("p50", "p95", "p99")).scalar()
+    return platform_stats(requests, ["team"]).agg(
+        total.alias("total_requests"),
+        F.coalesce(py_round(ratio(failed, total) * 100, 2), F.lit(0.0)).alias("error_rate_percent"),
+        entries("requests").alias("requests_by_team"),
+        entries("errors").alias("errors_by_team"),
+    ).select("*", *[F.coalesce(py_round(row[p], 1), F.lit(0.0)).alias(f"{p}_latency_ms") for p in ("p50", "p95", "p99")])
+
+
 def error_types(calls: DataFrame, keys: Sequence[str] = ("team", "error_type")) -> DataFrame:
     return calls.where(F.col("error_type").isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("errors"))
 

@@ -173,6 +173,26 @@ def platform_stats_by_team(spark, sf_dir):
     return routing.platform_stats(r, ["team"]).join(p, "team")
 
 
+@query(
+    "platform_report",
+    "WITH t AS (SELECT team, count(*) AS requests, count(*) FILTER (status <> 'success') AS errors FROM requests GROUP BY team),"
+    " g AS (SELECT CAST(sum(requests) AS BIGINT) AS total_requests, sum(errors)::DOUBLE / sum(requests) * 100 AS rate,"
+    " '{' || string_agg('\"' || team || '\":' || requests, ',' ORDER BY team) || '}' AS requests_by_team,"
+    " '{' || string_agg('\"' || team || '\":' || errors, ',' ORDER BY team) || '}' AS errors_by_team FROM t), p AS ("
+    + q.percentiles("requests", "", "latency_ms * 1000", {"p50": 500, "p95": 950, "p99": 990})
+    + f") SELECT total_requests, {q.py_round('rate', 2)} AS error_rate_percent, requests_by_team, errors_by_team, "
+    + ", ".join(f"{q.py_round(p, 1)} AS {p}_latency_ms" for p in ("p50", "p95", "p99"))
+    + " FROM g CROSS JOIN p",
+    ["requests"],
+    ["A8", "T14"],
+)
+def platform_report(spark, sf_dir):
+    r = v.requests(spark, sf_dir)
+    out = routing.platform_report(r, compare.latency_percentiles(r, [], {"p50": 500, "p95": 950, "p99": 990}))
+    maps = ("requests_by_team", "errors_by_team")
+    return out.withColumns({m: F.to_json(m) for m in maps})
+
+
 @query(
     "platform_stats_last_day",
     "SELECT team, count(*) AS requests, CAST(count(*) FILTER (status <> 'success') AS BIGINT) AS errors,"

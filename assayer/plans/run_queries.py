@@ -228,8 +228,10 @@ def judged_responses(spark, sf_dir, match="all", strict=False):
     )
     r = v.responses(spark, sf_dir)
     run_list = r.select("run_id").distinct()
+    # Two promptsets with the same prompts; each run uses one.
     calls = runs.expected_calls(
-        run_list.withColumn("promptset", F.lit("bench")), p.withColumn("promptset", F.lit("bench"))
+        run_list.withColumn("promptset", F.concat(F.lit("bench-"), F.crc32(F.col("run_id").cast("binary")) % 2)),
+        p.withColumn("promptset", F.explode(F.array(F.lit("bench-0"), F.lit("bench-1")))),
     )
     answers = r.withColumnRenamed("tokens_generated", "tokens_reported")
     joined = runs.join_responses(calls, answers).withColumns(
