@@ -149,10 +149,12 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text")
 
 
 def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """Documents that pass, with the input's own columns."""
-    named = packed(docs, m=measures(docs["text"]))
-    kept = named.where(verdict(F.col("m"), rules)[2])
-    return kept.select("row.*")
+    """Documents that pass, with the input's own columns.
+
+    The verdict is one expression: a filter on several fields would be pushed below the projection and measure the
+    text once for each.
+    """
+    return packed(docs, kept=let(measures(docs["text"]), lambda m: verdict(m, rules)[2])).where("kept").select("row.*")
 
 
 def op4_quality_rules(spark, sf_dir: str) -> DataFrame:
