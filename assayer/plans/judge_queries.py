@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from assayer.operators import judge
 from assayer.plans import sqltext as q
 from assayer.plans import standins as v
+from assayer.plans.dataset_queries import folder
 from assayer.plans.registry import query
+from assayer.sources import config
 
 
 def scores(spark, sf_dir):
@@ -134,8 +136,7 @@ def toxicity_regression_alerts(spark, sf_dir):
     return judge.regression_alerts(judge.daily_scores(scores(spark, sf_dir)))
 
 
-@query(
-    "judge_calibration",
+CALIBRATION_SQL = (
     f"WITH {PARSED}, c AS (SELECT promptset_id, "
     + ", ".join(
         f"CAST(round(({r} - {e}) * 1000) AS BIGINT) AS o{i}"
@@ -149,9 +150,15 @@ def toxicity_regression_alerts(spark, sf_dir):
         f"sum(abs(o{i}))::DOUBLE / 1000 / count(o{i}) AS {r}_mae, sum(o{i})::DOUBLE / 1000 / count(o{i}) AS {r}_bias"
         for i, r in enumerate(judge.RUBRICS)
     )
-    + " FROM c GROUP BY promptset_id",
+    + " FROM c GROUP BY promptset_id"
+)
+
+
+@query(
+    "judge_calibration",
+    CALIBRATION_SQL,
     ["judgements"],
-    ["A20", "S12"],
+    ["A20"],
 )
 def judge_calibration(spark, sf_dir):
     s = scores(spark, sf_dir).withColumns(
@@ -165,6 +172,22 @@ def judge_calibration(spark, sf_dir):
     return judge.calibration(s, ["promptset_id"])
 
 
+@query("rubric_calibration", CALIBRATION_SQL, ["judgements"], ["A20", "S12"])
+def rubric_calibration(spark, sf_dir):
+    """Scores against the expected ones of a rubric set read from its files."""
+    key = F.concat_ws("-", "doc_id", "variant")
+    quality, toxic = F.coalesce("quality", F.lit(0)), F.coalesce("toxic", F.lit(0))
+    expected = [F.lit(0.75), F.lit(0.6) + F.lit(0.2) * quality, F.lit(0.75), F.lit(0.02) + F.lit(0.2) * toxic]
+    asked = v.judgements(spark, sf_dir).select(key.alias("eval_id"), *[e.alias(r) for r, e in zip(judge.RUBRICS, expected)]).distinct()
+    pairs = [x for r in judge.RUBRICS for x in (F.lit(r), F.col(r))]
+    path = folder(spark, "rubric-set")
+    asked.select("eval_id", F.create_map(*pairs).alias("expected_scores")).write.json(path)
+    rubrics = config.read_rubric_set(spark, path).select("eval_id", "expected_scores")
+    joined = scores(spark, sf_dir).withColumn("eval_id", key).join(rubrics, "eval_id")
+    wanted = {f"expected_{r}": F.col("expected_scores")[r] for r in judge.RUBRICS}
+    return judge.calibration(joined.withColumns(wanted), ["promptset_id"])
+
+
 @query(
     "grounded_factuality",
     f"SELECT d.doc_id, b.item_id, contains({q.normalised('d.text')}, {q.normalised('b.text')}) AS grounded"

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from assayer.functions.labels import Match, matches
+from assayer.functions.labels import Match, matches, promote
 from assayer.functions.numbers import ratio, scalar_or_default
 from assayer.operators import metrics as m
 from assayer.plans import metric_standins as ms
 from assayer.plans import standins
+from assayer.plans.dataset_queries import folder
 from assayer.plans.panels import PANELS, RECORDING_RULES, Panel, panel_sql, run_panel
 from assayer.plans.registry import add, query
+from assayer.sources import signals
 
 for panel in PANELS:
     add(panel.name, run_panel(panel), panel_sql(panel), ["requests"], panel.covers)
@@ -31,7 +33,7 @@ def _evaluated(name: str):
     "emitted_counter",
     f"SELECT * FROM ({ms.samples_sql('gateway_outcomes_total')}) s",
     ["requests"],
-    ["M9", "S7", "W2", "T13"],
+    ["M9", "W2", "T13"],
 )
 def emitted_counter(spark, sf_dir):
     return ms.samples(spark, sf_dir, "gateway_outcomes_total").select("team", "status", "t", "value")
@@ -47,6 +49,21 @@ def emitted_histogram(spark, sf_dir):
     return ms.samples(spark, sf_dir, "gateway_latency_ms_bucket").select("team", "le", "t", "value")
 
 
+@query("metrics_from_signals", panel_sql(_panel("rule_gateway_requests_by_team")), ["requests"], ["S7", "P12", "M3"])
+def metrics_from_signals(spark, sf_dir):
+    """Samples stored with label maps, as a collector writes them, read back, promoted to columns and evaluated."""
+    name, names = "gateway_requests_total", ["team", "status"]
+    pairs = [x for n in names for x in (F.lit(n), F.col(n))]
+    stored = ms.samples(spark, sf_dir, name).select(
+        F.lit(name).alias("metric"), F.create_map(*pairs).alias("labels"), F.timestamp_seconds("t").alias("ts"), "value"
+    )
+    path = folder(spark, "signals")
+    stored.write.parquet(path)
+    back = signals.read_signals(spark, "metrics", path, stream=False).where(F.col("metric") == name)
+    promoted = promote(back, names).withColumn("t", F.unix_seconds("ts"))
+    return m.rate(promoted, names, ["team"], 300, 30)
+
+
 @query(
     "harness_counters_with_errors",
     "SELECT team, scenario_id, answered AS requests, passed, total - passed AS failed, passed::DOUBLE / nullif(answered, 0) AS pass_of_answered,"

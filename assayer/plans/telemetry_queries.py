@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from assayer.functions.labels import Match, relabel
 from assayer.operators import logs, telemetry
 from assayer.plans import standins as v
+from assayer.plans.dataset_queries import folder
 from assayer.plans.registry import query
 from assayer.plans.sqltext import py_round
 from assayer.sources import signals
@@ -309,6 +310,19 @@ def parsed_logs(spark, sf_dir):
     return parsed.select("request_id", "severity", "service_name", "trace_id", "error_message")
 
 
+@query(
+    "log_lines_from_files",
+    f"WITH {LOG_SQL} SELECT severity, service AS service_name, count(*) AS lines, count(trace_id) AS traced FROM logs GROUP BY ALL",
+    ["requests"],
+    ["S9", "L1"],
+)
+def log_lines_from_files(spark, sf_dir):
+    path = folder(spark, "log-files")
+    log_lines(spark, sf_dir).select("line").write.text(path)
+    back = signals.read_log_lines(spark, path)
+    return back.groupBy("severity", "service_name").agg(F.count(F.lit(1)).alias("lines"), F.count("trace_id").alias("traced"))
+
+
 @query(
     "selected_error_lines",
     f"WITH {LOG_SQL}, {LINE_SQL} SELECT namespace, count(*) AS lines FROM lines WHERE namespace IN ('platform', 'quant', 'finetune', 'eval')"
