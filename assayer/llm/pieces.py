@@ -8,17 +8,12 @@ else, and chunks of it combine like matrices over (max, +). A row of such a matr
 
 from __future__ import annotations
 
-import re
-from array import array
 from functools import lru_cache
 
 import numpy as np
 
-from assayer.llm.parts import PartCache
-
 SPACE = "▁"
 LEAD = "\n"  # encoded by its byte, so nothing merges with it; keeps the model's own leading space away
-UNITS = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
 FREE = None  # the state at a cut that no piece can cross
 
 
@@ -38,8 +33,8 @@ def breaks(a: str, b: str) -> bool:
     return a == "\n" or b == "\n" or (b == SPACE and a != SPACE)
 
 
-class Pieces(PartCache):
-    """The model with a cache of the ids of units between breaks."""
+class Pieces:
+    """The model and its vocabulary."""
 
     def __init__(self, path: str):
         import sentencepiece
@@ -50,15 +45,11 @@ class Pieces(PartCache):
         self.known = {m.id_to_piece(i): i for i in range(n) if not special(i)}
         self.bytes = {b: m.piece_to_id(f"<0x{b:02X}>") for b in range(256)}
         self.longest = max(map(len, self.known))
-        self.stay = lru_cache(1 << 18)(self._stay)
-        super().__init__()
-
-    def split(self, text: str) -> list[str]:
-        return UNITS.findall(text)
+        self.stay = lru_cache(1 << 16)(self._stay)
 
-    def ids_of(self, parts: list[str]) -> list[bytes]:
-        found = self.model.encode([LEAD + p for p in parts], out_type=int, num_threads=1)
-        return [array("I", ids[2:]).tobytes() for ids in found]
+    def encode(self, text: str) -> np.ndarray:
+        """Ids of a whole text."""
+        return np.array(self.model.encode(text, out_type=int), np.int32)
 
     def token_ids(self, token: str) -> list[int]:
         known = self.known.get(token)
@@ -68,7 +59,7 @@ class Pieces(PartCache):
         """Whether two tokens, encoded together, stay as they are."""
         if a not in self.known or b not in self.known or breaks(a[-1], b[0]):
             return True
-        return self.model.encode(LEAD + a + b)[2:] == [self.known[a], self.known[b]]
+        return self.model.encode(LEAD + a + b, out_type=int)[2:] == [self.known[a], self.known[b]]
 
     def starting(self, text: str, at: int) -> list[int]:
         """Ends of the tokens that can begin at a place: pieces, and single signs without one."""
@@ -113,7 +104,7 @@ class Pieces(PartCache):
         """Ids of the tokens after the entry state's, up to the exit state's own."""
         first, last = self.states(text, start)[entry], self.states(text, stop)[exit_]
         if first is FREE and last is FREE:
-            return self.encode([text[start:stop]])[0].tolist()
+            return self.model.encode(LEAD + text[start:stop], out_type=int)[2:]
         ends = self._walk(text, [first], start, stop)
         begin = start if first is FREE else first[1]
         at, tokens = (stop, None) if last is FREE else (last[1], last[0])

@@ -25,8 +25,13 @@ SQL = {
 }
 
 
+# Whole texts reach Python: smaller batches than Spark's 64 MB leave room for what is made of them.
+BATCH_BYTES = "16m"
+
+
 def _named(build):
     def run(spark, sf_dir):
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
         return build(configure(spark), sf_dir)
 
     return run

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from assayer.llm.pieces import SPACE, breaks, cut_states, model_path, pieces, spelled
+from assayer.llm.pieces import SPACE, breaks, cut_states, model_path, pieces
 from assayer.llm.tables import written
 
 CHUNK = 1 << 15  # code points; longer texts are cut
@@ -21,7 +22,7 @@ def _small(path: str):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = pieces(path)
         for batch in frames:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "ids": model.encode([spelled(t or "") for t in batch["text"]])})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "ids": [model.encode(t or "") for t in batch["text"]]})
 
     return run
 
@@ -61,7 +62,8 @@ def _traced(path: str, chunk: int):
         for batch in frames:
             rows = []
             for row_id, k, last, offset, part, entry, exit_ in batch.itertuples(index=False):
-                rows.append((row_id, k, model.traced(part, *_cuts(part, offset, k, last, chunk), entry, exit_)))
+                ids = model.traced(part, *_cuts(part, offset, k, last, chunk), entry, exit_)
+                rows.append((row_id, k, np.array(ids, np.int32)))
             yield pd.DataFrame(rows, columns=["row_id", "k", "ids"])
 
     return run
