@@ -9,12 +9,19 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from assayer.functions.numbers import fold_bool, micros, py_round, ratio
 from assayer.functions.quantiles import exact_percentiles
 
+BASELINE_ERROR = "[baseline error]"  # fixed value: what stands for the answer of a failed baseline call
+
 
 def baseline_per_prompt(results: DataFrame) -> DataFrame:
-    """One baseline answer per prompt, the first in file order."""
+    """One baseline answer per prompt, the first in file order; with its preview where results have one."""
+    said = []
+    if {"error", "response_preview"} <= set(results.columns):
+        shown = F.when(F.col("error").isNotNull(), F.lit(BASELINE_ERROR)).otherwise(F.col("response_preview"))
+        said = [F.min_by(shown, "line_no").alias("baseline_response")]
     return results.groupBy("prompt_id").agg(
         F.min_by("passed", "line_no").alias("baseline_passed"),
         F.min_by("latency_ms", "line_no").alias("baseline_latency_ms"),
+        *said,
     )
 
 
@@ -146,10 +153,13 @@ def quality_delta(results: DataFrame, baseline: str, category: Column) -> DataFr
 
 
 def weighted_score(results: DataFrame, weights: Mapping[str, float], category: Column, keys: Sequence[str]) -> DataFrame:
-    """Sum of weights passed over sum of weights; a category without weight counts 1."""
-    w = F.lit(1.0)
+    """Sum of weights passed over sum of weights; a category without weight counts 1.
+
+    Weights are taken in whole thousandths, so that the sums are exact.
+    """
+    w = F.lit(1000).cast("bigint")
     for name, value in weights.items():
-        w = F.when(category == name, F.lit(float(value))).otherwise(w)
+        w = F.when(category == name, F.lit(round(value * 1000)).cast("bigint")).otherwise(w)
     return results.groupBy(*keys).agg(
         ratio(F.sum(w * fold_bool(F.col("passed"))), F.sum(w)).alias("weighted_score"),
         F.count(F.lit(1)).alias("total"),

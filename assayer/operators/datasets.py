@@ -203,11 +203,12 @@ def leaked(prompts: DataFrame, text: Column, never: str = "canary_never_train",
     return keyed.where(F.col("split") == train).join(held, "_text", "left_semi").drop("_text")
 
 
-def source_mix(df: DataFrame, source: str, key: Column, unique: str, total: int, mix: Mapping[str, int] = SOURCE_MIX) -> DataFrame:
+def source_mix(df: DataFrame, source: str, key: Column, unique: str, total: int | Column, mix: Mapping[str, int] = SOURCE_MIX) -> DataFrame:
     """The first rows of each source in hash order, up to its share (thousandths) of ``total``."""
-    quota = F.lit(0)
+    quota = F.lit(0).cast("bigint")
+    whole = total if isinstance(total, Column) else F.lit(total)
     for name, share in mix.items():
-        quota = F.when(F.col(source) == name, F.lit(total * share // 1000)).otherwise(quota)
+        quota = F.when(F.col(source) == name, F.floor(whole * share / 1000)).otherwise(quota)
     return hash_ranked(df, [source], key, unique).where(F.col("rank") <= quota)
 
 

@@ -84,8 +84,8 @@ def gate(scores: DataFrame, profiles: DataFrame | None = None, default: str = DE
     limits = profile_table(scores.sparkSession) if profiles is None else profiles
     names = ["min_coherence", "min_helpfulness", "min_factuality", "max_toxicity"]
     joined = scores.join(limits, "profile", "left")
-    fallback = limits.where(F.col("profile") == default)
-    low = {n: F.coalesce(F.col(n), fallback.select(n).scalar()) for n in names}
+    fallback = limits.where(F.col("profile") == default).select(F.struct(*names)).scalar()
+    low = {n: F.coalesce(F.col(n), fallback[n]) for n in names}
     ok = (
         (F.col("coherence") >= low["min_coherence"])
         & (F.col("helpfulness") >= low["min_helpfulness"])

@@ -229,7 +229,7 @@ def source_mix(spark, sf_dir):
     tagged = docs.select(
         "doc_id", F.expr("CASE lang WHEN 'en' THEN 'synthetic' WHEN 'fr' THEN 'curated' ELSE 'adversarial' END").alias("source")
     )
-    total = docs.count() // 2
+    total = docs.select(F.expr("count(1) div 2")).scalar()
     return datasets.source_mix(tagged, "source", F.col("doc_id").cast("string"), "doc_id", total)
 
 

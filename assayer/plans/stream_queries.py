@@ -116,14 +116,15 @@ def stream_completed_traces(spark, sf_dir):
     ["T-h", "M2"],
 )
 def stream_counter_gains(spark, sf_dir):
-    # Samples reach the stream through a table, as a scrape would have written them.
-    state.use_rocksdb(spark)
+    # Samples reach the stream through a table, as a scrape would have written them. A series' newest gain waits for
+    # the watermark and is not part of the result.
     path = folder(spark, "samples")
     samples = ms.samples(spark, sf_dir, "gateway_requests_total").withColumn("ts", F.timestamp_seconds("t"))
     samples.write.mode("overwrite").parquet(f"{path}/in")
     stream = spark.readStream.schema(samples.schema).parquet(f"{path}/in")
     gains = state.counter_gains(stream, ["team", "status"], "0 seconds")
-    finish(windows.to_table(gains, f"{path}/out", f"{path}/checkpoint", **NOW))
+    with state.rocksdb(spark):
+        finish(windows.to_table(gains, f"{path}/out", f"{path}/checkpoint", **NOW))
     newest = samples.select(F.max("t")).scalar()
     return spark.read.schema(gains.schema).parquet(f"{path}/out").where(F.col("t") < newest)
 
@@ -136,7 +137,6 @@ def stream_counter_gains(spark, sf_dir):
     ["T-g"],
 )
 def stream_run_state(spark, sf_dir):
-    state.use_rocksdb(spark)
     changes = v.results(_Streams(spark), sf_dir).select(
         "run_id",
         F.col("line_no").alias("seq"),
@@ -145,7 +145,8 @@ def stream_run_state(spark, sf_dir):
     )
     path = folder(spark, "runs")
     states = state.run_states(changes)
-    finish(windows.updates_to_table(states, f"{path}/out", f"{path}/checkpoint", **NOW))
+    with state.rocksdb(spark):
+        finish(windows.updates_to_table(states, f"{path}/out", f"{path}/checkpoint", **NOW))
     return runs.latest_status(spark.read.parquet(f"{path}/out").drop("batch")).select("run_id", "seq", "status", "done")
 
 

@@ -41,27 +41,6 @@ MANIFEST = _struct(
     compatible_harness_version=_S,
 )
 
-RESULT = _struct(
-    prompt_id=_S,
-    scenario_id=_S,
-    dataset_id=_S,
-    run_id=_S,
-    team=_S,
-    variant=_S,
-    passed=_B,
-    latency_ms=_D,
-    error=_S,
-    response_preview=_S,
-    tokens_generated=_L,
-    tokens_per_second=_D,
-    category=_S,
-    model_version=_S,
-    quality_scores=T.MapType(_S, _D),
-    baseline_response=_S,
-    baseline_latency_ms=_D,
-    baseline_passed=_B,
-)
-
 RUBRIC = _struct(
     eval_id=_S,
     prompt=_S,

@@ -17,8 +17,9 @@ def load_yaml(path: str) -> dict[str, Any]:
         return yaml.safe_load(f)
 
 
-def domain_pack(spark: SparkSession, pack: Mapping[str, Any]) -> DataFrame:
-    """One row per split of a domain, shares in thousandths."""
+def domain_pack(spark: SparkSession, pack: Mapping[str, Any] | str) -> DataFrame:
+    """One row per split of a domain, shares in thousandths; from a parsed pack or a YAML file's path."""
+    pack = load_yaml(pack) if isinstance(pack, str) else pack
     rows = [
         (pack["domain_id"], pack.get("team", "unknown"), name, round(share * 1000))
         for name, share in pack["splits"].items()
@@ -26,8 +27,10 @@ def domain_pack(spark: SparkSession, pack: Mapping[str, Any]) -> DataFrame:
     return spark.createDataFrame(rows, "domain_id string, team string, split string, share int")
 
 
-def scenario(spark: SparkSession, spec: Mapping[str, Any]) -> DataFrame:
-    """One row per template and variable value, with its target length where given."""
+def scenario(spark: SparkSession, spec: Mapping[str, Any] | str) -> DataFrame:
+    """One row per template and variable value, with its target length where given; from a parsed
+    scenario or a YAML file's path."""
+    spec = load_yaml(spec) if isinstance(spec, str) else spec
     rows = []
     for template in spec["prompt_templates"]:
         targets = template.get("target_output_tokens", {})

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 from typing import Any
 
 import pandas as pd
@@ -12,9 +13,18 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def use_rocksdb(spark: SparkSession) -> None:
-    """transformWithState needs the RocksDB state store."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+
+
+@contextmanager
+def rocksdb(spark: SparkSession) -> Iterator[None]:
+    """transformWithState needs the RocksDB state store: start its queries within, the session's own store comes back after."""
+    before = spark.conf.get(PROVIDER, None)
+    spark.conf.set(PROVIDER, ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.unset(PROVIDER) if before is None else spark.conf.set(PROVIDER, before)
 
 
 class CounterGains(StatefulProcessor):

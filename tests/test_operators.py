@@ -247,3 +247,10 @@ def test_judge_output_has_to_be_an_object(spark):
 def test_digest_beyond_its_blocks_is_one_row(spark):
     df = spark.range(5000).select(F.lit("s").alias("set"), F.col("id").alias("line_no"), F.col("id").cast("string").alias("c"))
     assert datasets.content_digest(df, ["set"], "line_no", F.col("c"), levels=1).count() == 1
+
+
+def test_baseline_answers_come_with_their_preview(spark):
+    rows = [("p", 1, True, 5.0, None, "yes"), ("p", 2, False, 6.0, None, "no"), ("q", 1, False, 7.0, "HTTP 502", None)]
+    df = spark.createDataFrame(rows, "prompt_id string, line_no int, passed boolean, latency_ms double, error string, response_preview string")
+    out = {r.prompt_id: tuple(r)[1:] for r in compare.baseline_per_prompt(df).select("prompt_id", "baseline_passed", "baseline_latency_ms", "baseline_response").collect()}
+    assert out == {"p": (True, 5.0, "yes"), "q": (False, 7.0, compare.BASELINE_ERROR)}

@@ -16,24 +16,24 @@ def stream_of(spark, folder, batches, schema):
 
 
 def test_gains_wait_for_late_samples(spark, tmp_path):
-    state.use_rocksdb(spark)
     schema = "job string, t bigint, value double, ts timestamp"
     stamp = lambda t, v: ("a", t, float(v), __import__("datetime").datetime.fromtimestamp(t))
     batches = [[stamp(100, 10), stamp(120, 14)], [stamp(110, 12), stamp(130, 3)], [stamp(200, 5)], [stamp(400, 6)]]
     stream = stream_of(spark, str(tmp_path / "in"), batches, schema)
     out = state.counter_gains(stream, ["job"], "30 seconds")
-    windows.to_table(out, str(tmp_path / "out"), str(tmp_path / "cp"), **NOW).awaitTermination(90)
+    with state.rocksdb(spark):
+        windows.to_table(out, str(tmp_path / "out"), str(tmp_path / "cp"), **NOW).awaitTermination(90)
+    assert spark.conf.get(state.PROVIDER) != state.ROCKSDB
     rows = spark.read.schema(out.schema).parquet(str(tmp_path / "out")).orderBy("t").collect()
     assert [(r.t, r.gain) for r in rows if r.t <= 200] == [(110, 2.0), (120, 2.0), (130, 3.0), (200, 2.0)]
 
 
 def test_run_state_over_batches(spark, tmp_path):
-    state.use_rocksdb(spark)
     schema = "run_id string, seq bigint, status string, done bigint"
     batches = [[("r", 1, "running", 1), ("s", 1, "running", 1)], [("r", 3, "completed", 1), ("r", 2, "running", 1)]]
     stream = stream_of(spark, str(tmp_path / "in"), batches, schema)
-    q = windows.updates_to_table(state.run_states(stream), str(tmp_path / "out"), str(tmp_path / "cp"), **NOW)
-    q.awaitTermination(90)
+    with state.rocksdb(spark):
+        windows.updates_to_table(state.run_states(stream), str(tmp_path / "out"), str(tmp_path / "cp"), **NOW).awaitTermination(90)
     rows = spark.read.parquet(str(tmp_path / "out")).groupBy("run_id").agg(F.max_by(F.struct("status", "done"), "seq").alias("x"))
     assert {r.run_id: tuple(r.x) for r in rows.collect()} == {"r": ("completed", 3), "s": ("running", 1)}
 
