@@ -213,14 +213,15 @@ def source_mix(df: DataFrame, source: str, key: Column, unique: str, total: int
 
 
 def deduplicate(df: DataFrame, text: str, priority: str, unique: str) -> DataFrame:
-    """One row per normalised text: best priority, then smallest id. Copies are combined before the
-    shuffle, so a text with very many copies is no hot key."""
-    row = F.struct(*df.columns)
-    return (
-        df.groupBy(F.sha2(normalised(F.col(text)), 256).alias("text_key"))
-        .agg(F.min_by(row, F.struct(priority, unique)).alias("_row"), F.count(F.lit(1)).alias("copies"))
-        .select("text_key", "_row.*", "copies")
-    )
+    """One row per normalised text: best priority, then smallest id, which is unique and not null.
+
+    The winner is picked on keys alone, whose copies are combined before the shuffle; a text with very many copies is
+    no hot key. Whole rows are only joined to their winners.
+    """
+    keyed = df.withColumn("text_key", F.sha2(normalised(F.col(text)), 256))
+    best = keyed.groupBy("text_key").agg(F.min(F.struct(priority, unique)).alias("_best"), F.count(F.lit(1)).alias("copies"))
+    winners = best.select("text_key", F.col("_best")[unique].alias(unique), "copies")
+    return keyed.join(winners, ["text_key", unique]).select("text_key", *df.columns, "copies")
 
 
 # ---- checks and statistics -----------------------------------------------------------------------
