@@ -351,7 +351,7 @@ def folder(spark, name: str) -> str:
     "promptset_files",
     f"WITH {DOC_PROMPTS} SELECT prompt_id, line_no, bucket, target AS target_output_tokens, sha256(prompt) AS prompt_digest FROM doc_prompts",
     [],
-    ["S1", "S5"],
+    ["S5"],
 )
 def promptset_files(spark, sf_dir):
     prompts = normalised_prompts(spark, sf_dir)

@@ -70,7 +70,7 @@ def metrics_from_signals(spark, sf_dir):
     " passed::DOUBLE / total AS pass_of_all FROM (SELECT team, scenario_id, count(*) AS total, count(*) FILTER (status <> 'timeout') AS answered,"
     " count(*) FILTER (status = 'success') AS passed FROM requests GROUP BY ALL) x",
     ["requests"],
-    ["M9", "T7"],
+    ["T7"],
 )
 def harness_counters_with_errors(spark, sf_dir):
     # A transport error counts as failed but not as a request, so two denominators are reported.
