@@ -96,7 +96,7 @@ def draw(seed: int | Column, key: Column, slot: int, low: int, high: int) -> Col
 
 
 def arithmetic_prompts(keys: DataFrame, key: str, seed: int = 42) -> DataFrame:
-    """One arithmetic question per key, five kinds in turn, with its computed answer."""
+    """One arithmetic question per key, six kinds in turn, with its computed answer."""
     k = F.col(key).cast("string")
 
     def d(slot: int, low: int, high: int) -> Column:
@@ -108,6 +108,7 @@ def arithmetic_prompts(keys: DataFrame, key: str, seed: int = 42) -> DataFrame:
     percent = F.element_at(F.array(*[F.lit(p) for p in PERCENTAGES]), d(0, 1, len(PERCENTAGES)).cast("int"))
     whole = d(1, 50, 500) * 2
     steps = (d(0, 2, 20), d(1, 2, 20), d(2, 2, 20))
+    plus = (d(0, 1, 100), d(1, 1, 100))
     kinds = [
         (F.format_string("Calculate %d * %d.", *mul), mul[0] * mul[1]),
         (F.format_string("What is %d^%d?", *power), F.round(F.pow(power[0], power[1])).cast("bigint")),
@@ -117,6 +118,7 @@ def arithmetic_prompts(keys: DataFrame, key: str, seed: int = 42) -> DataFrame:
         ),
         (F.format_string("What is %d%% of %d?", percent, whole), F.floor(percent * whole / 100.0)),
         (F.format_string("Calculate (%d + %d) * %d.", *steps), (steps[0] + steps[1]) * steps[2]),
+        (F.format_string("What is %d + %d?", *plus), plus[0] + plus[1]),
     ]
     kind = F.pmod(F.col(key), F.lit(len(kinds)))
     prompt, answer = F.lit(None).cast("string"), F.lit(None).cast("bigint")
@@ -127,7 +129,7 @@ def arithmetic_prompts(keys: DataFrame, key: str, seed: int = 42) -> DataFrame:
         key,
         prompt.alias("prompt"),
         F.array(answer.cast("string")).alias("expected_contains"),
-        F.lit(100).alias("max_tokens"),
+        F.when(kind == len(kinds) - 1, 50).otherwise(100).alias("max_tokens"),
         F.lit("math").alias("category"),
     )
 

@@ -79,15 +79,15 @@ def _draw(slot: int, low: int, high: int) -> str:
 
 @query(
     "arithmetic_prompts",
-    "SELECT o_orderkey, CASE o_orderkey % 5"
+    "SELECT o_orderkey, CASE o_orderkey % 6"
     " WHEN 0 THEN 'Calculate ' || m0 || ' * ' || m1 || '.' WHEN 1 THEN 'What is ' || p0 || '^' || p1 || '?'"
     " WHEN 2 THEN 'What is ' || d0 || ' divided by ' || d1 || '? Give the integer part.'"
-    " WHEN 3 THEN 'What is ' || pct || '% of ' || w || '?' ELSE 'Calculate (' || a || ' + ' || b || ') * ' || c || '.' END AS prompt,"
-    " CAST(CASE o_orderkey % 5 WHEN 0 THEN m0 * m1 WHEN 1 THEN CAST(pow(p0, p1) AS BIGINT) WHEN 2 THEN d0 // d1"
-    " WHEN 3 THEN pct * w // 100 ELSE (a + b) * c END AS VARCHAR) AS answer FROM (SELECT o_orderkey, "
+    " WHEN 3 THEN 'What is ' || pct || '% of ' || w || '?' WHEN 4 THEN 'Calculate (' || a || ' + ' || b || ') * ' || c || '.' ELSE 'What is ' || s0 || ' + ' || s1 || '?' END AS prompt,"
+    " CAST(CASE o_orderkey % 6 WHEN 0 THEN m0 * m1 WHEN 1 THEN CAST(pow(p0, p1) AS BIGINT) WHEN 2 THEN d0 // d1"
+    " WHEN 3 THEN pct * w // 100 WHEN 4 THEN (a + b) * c ELSE s0 + s1 END AS VARCHAR) AS answer FROM (SELECT o_orderkey, "
     f"{_draw(0, 10, 99)}::BIGINT AS m0, {_draw(1, 10, 99)}::BIGINT AS m1, {_draw(0, 2, 9)}::BIGINT AS p0, {_draw(1, 2, 5)}::BIGINT AS p1,"
     f" {_draw(0, 100, 999)}::BIGINT AS d0, {_draw(1, 2, 20)}::BIGINT AS d1, [10, 15, 20, 25, 30, 40, 50, 60, 75, 80][{_draw(0, 1, 10)}::INTEGER]::BIGINT AS pct,"
-    f" {_draw(1, 50, 500)}::BIGINT * 2 AS w, {_draw(0, 2, 20)}::BIGINT AS a, {_draw(1, 2, 20)}::BIGINT AS b, {_draw(2, 2, 20)}::BIGINT AS c FROM orders) x",
+    f" {_draw(1, 50, 500)}::BIGINT * 2 AS w, {_draw(0, 2, 20)}::BIGINT AS a, {_draw(1, 2, 20)}::BIGINT AS b, {_draw(2, 2, 20)}::BIGINT AS c, {_draw(0, 1, 100)}::BIGINT AS s0, {_draw(1, 1, 100)}::BIGINT AS s1 FROM orders) x",
     [],
     ["D2"],
 )
