@@ -17,6 +17,7 @@ from assayer.functions.ordered import running_sum
 
 STEP = "_step"
 BREACH_BLOCK = 4096  # steps numbered in one task
+TICK_BLOCK = 4096  # ticks summed in one task
 
 
 def le_text(bound: float) -> str:
@@ -72,7 +73,7 @@ def in_flight(spans: DataFrame, keys: Sequence[str], start_us: str, end_us: str,
     """Requests in flight at the end of each tick and the highest level inside it.
 
     +1 at start, -1 at end. Levels inside a tick are relative; the level each tick starts from
-    comes from the net change of the ticks before it.
+    comes from the net change of the ticks before it, summed in blocks of ``TICK_BLOCK`` ticks. Keys must not be null.
     """
     moves = spans.select(
         *keys,
@@ -92,9 +93,9 @@ def in_flight(spans: DataFrame, keys: Sequence[str], start_us: str, end_us: str,
         .groupBy(*keys, "t")
         .agg(F.sum("_d").alias("_net"), F.max("_level").alias("_peak"))
     )
-    before = Window.partitionBy(*keys).orderBy("t").rowsBetween(Window.unboundedPreceding, -1)
-    base = F.coalesce(F.sum("_net").over(before), F.lit(0))
-    return per_tick.select(*keys, "t", (base + F.col("_net")).alias("level"), (base + F.col("_peak")).alias("peak"))
+    block = F.floor(F.col("t") / (tick_s * TICK_BLOCK))
+    upto = running_sum(per_tick, keys, block, ["t"], F.col("_net"), "level")
+    return upto.select(*keys, "t", "level", (F.col("level") - F.col("_net") + F.col("_peak")).alias("peak"))
 
 
 # ---- one row per series and step -----------------------------------------------------------
