@@ -134,13 +134,18 @@ def near_groups(docs: DataFrame, radius: int = RADIUS, text: str = "text", doc_i
 
 
 def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """One row of each group, with the input's own columns: the smallest doc_id's, nulls last; ties go by text hash."""
+    """One row of each group, with the input's own columns: the smallest doc_id's, nulls last.
+
+    Ties go by text hash, and rows with equal id and text by their other columns as JSON.
+    """
     own = lambda c: F.coalesce(c.cast("bigint"), F.lit(NO_ID))
     groups = _grouped(_prints(docs, "text", "doc_id"), radius)
     lead = groups.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "mark")).alias("lead"))
     chosen = lead.select(own(F.col("lead.doc_id")).alias("d"), F.col("lead.mark").alias("m"))
-    rows = packed(docs, d=own(docs["doc_id"]), m=F.xxhash64(docs["text"]))
-    return rows.join(chosen, ["d", "m"], "left_semi").dropDuplicates(["d", "m"]).select("row.*")
+    others = F.to_json(F.struct(*[docs[f"`{c}`"] for c in docs.columns if c != "text"]))
+    rows = packed(docs, d=own(docs["doc_id"]), m=F.xxhash64(docs["text"]), others=others)
+    kept = rows.join(chosen, ["d", "m"], "left_semi").groupBy("d", "m").agg(F.min_by("row", "others").alias("row"))
+    return kept.select("row.*")
 
 
 def op9_covering_simhash(spark, sf_dir: str) -> DataFrame:

@@ -176,5 +176,7 @@ def test_near_groups_edges(spark, edges, none):
     ids = sorted((r["doc_id"] or 0) for r in kept.collect())
     assert kept.columns == edges.columns and ids == [0, 1, 2, 3, 6, 7, 8]
     assert simhash.near_groups(none).count() == 0 and simhash.keep_one(none).count() == 0
+    twice = edges.where("doc_id = 1").withColumn("row", F.explode(F.array(F.lit(9), F.lit(3), F.lit(5))))
+    assert [r["row"] for r in simhash.keep_one(twice).collect()] == [3]
     lone = edges.where(F.col("doc_id").isNull() & F.col("text").isNotNull())
     assert [r["component_id"] for r in simhash.near_groups(lone).collect()] == [None] and simhash.keep_one(lone).count() == 1
