@@ -161,14 +161,20 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
     """Fit on at most ``per_language`` labelled, not held-out rows of each language, chosen by a hash of the id.
 
     Whole texts are counted in tasks; what reaches the driver is a row of at most ``BUCKETS`` counts each. None if
-    no row is labelled. Ids alone are ranked; the chosen ones are few and bounded, so they are broadcast.
+    no row is labelled. Ids alone are ranked, and of a language only those whose hash falls into a share that holds
+    about twice the sample, so that no task ranks more however large the language is. The chosen ids are few and
+    bounded, so they are broadcast.
     """
-    usable = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id")) & has_letter(F.col("text")))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", "lang"), "doc_id")
-    chosen = usable.select("doc_id", "lang").withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language)
+    usable = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
+    ids = usable.select("doc_id", "lang", F.pmod(F.xxhash64("doc_id", "lang"), F.lit(1 << 30)).alias("h"))
+    near = ids.join(ids.groupBy("lang").agg(F.count("*").alias("rows")), "lang").where(
+        F.col("h").cast("double") * F.col("rows") < float(1 << 30) * 2 * per_language
+    )
+    order = Window.partitionBy("lang").orderBy("h", "doc_id")
+    chosen = near.withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language)
     chosen = chosen.select("doc_id", "lang").distinct()
     sample = usable.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi")
-    rows = sample.select("lang", "text").mapInPandas(_features, "lang string, buckets binary, counts binary").collect()
+    rows = sample.where(has_letter(F.col("text"))).select("lang", "text").mapInPandas(_features, "lang string, buckets binary, counts binary").collect()
     if not rows:
         return None
     rows.sort(key=lambda r: (bytes(r["buckets"]), bytes(r["counts"]), r["lang"]))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-CACHED_PARTS = 400_000
+CACHED_PARTS = 250_000
 
 
 class _Places(dict):

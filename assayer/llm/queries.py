@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from assayer.llm import chat, imatch, langid, licenses, linededup, packing, quality, simhash, subwords, urls
+from assayer.llm.tables import small_batches
 from assayer.session import configure
 
 _BUILDS = (
@@ -25,14 +26,9 @@ SQL = {
 }
 
 
-# Whole texts reach Python: smaller batches than Spark's 64 MB leave room for what is made of them.
-BATCH_BYTES = "16m"
-
-
 def _named(build):
     def run(spark, sf_dir):
-        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
-        return build(configure(spark), sf_dir)
+        return build(small_batches(configure(spark)), sf_dir)
 
     return run
 

@@ -4,11 +4,21 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from assayer.session import shared_dir
 
 
+# Whole texts reach Python: smaller batches than Spark's 64 MB leave room for what is made of them.
+BATCH_BYTES = "16m"
+
+
+def small_batches(spark: SparkSession) -> SparkSession:
+    """Bound the memory of Python workers that are sent whole texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    return spark
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write a table into the shared folder and read it back: lost executors cost no recomputation beyond it."""
     spark = df.sparkSession
