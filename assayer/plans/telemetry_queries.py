@@ -351,6 +351,62 @@ def selected_quota_lines(spark, sf_dir):
     return out.select("request_id", "line")
 
 
+@query(
+    "platform_benchmark_lines",
+    f"WITH {LOG_SQL}, {LINE_SQL} SELECT request_id FROM lines WHERE k % 4 = 0 AND regexp_matches(line, 'bench|benchmark|harness|predict')",
+    ["requests"],
+    ["L2"],
+)
+def platform_benchmark_lines(spark, sf_dir):
+    """The shipped panel's selection; every fourth request's line counts as the platform's own."""
+    lines = log_lines(spark, sf_dir).withColumn("namespace", F.when(F.col("k") % 4 == 0, "platform").otherwise(F.col("namespace")))
+    return logs.select_lines(lines, [Match("namespace", "=", "platform")], regex="bench|benchmark|harness|predict").select("request_id")
+
+
+@query(
+    "harness_run_lines",
+    "SELECT prompt_id || ' ' || CASE WHEN passed THEN 'true' ELSE 'false' END || ' ' || CAST(floor(latency_ms) AS BIGINT) || 'ms' AS text"
+    " FROM results WHERE run_no % 10 = 3",
+    ["results"],
+    ["L3"],
+)
+def harness_run_lines(spark, sf_dir):
+    """A run's lines of the harness log, formatted; ten groups of runs stand for its runs."""
+    r = v.results(spark, sf_dir).select(
+        F.lit("test-harness").alias("job"),
+        F.to_json(F.struct(
+            F.concat(F.lit("run-"), F.col("run_no") % 10).alias("lab_run_id"),
+            F.col("prompt_id").alias("lab_prompt_id"),
+            F.col("passed").cast("string").alias("passed"),
+            F.col("latency_ms").cast("bigint").cast("string").alias("latency_ms"),
+        )).alias("line"),
+    )
+    lines = logs.select_lines(r, [Match("job", "=", "test-harness")], ["run-3"])
+    parsed = logs.read_fields(lines, ["lab_run_id", "lab_prompt_id", "passed", "latency_ms"])
+    mine = parsed.where(logs.field("lab_run_id") == "run-3")
+    return mine.select(logs.line_format("%s %s %sms", ["lab_prompt_id", "passed", "latency_ms"]).alias("text"))
+
+
+@query(
+    "harness_trace_search",
+    "SELECT run_id, prompt_id FROM results WHERE run_no % 10 = 3 AND category = 'math'",
+    ["results"],
+    ["L4"],
+)
+def harness_trace_search(spark, sf_dir):
+    """Harness spans by service, scenario and run; categories stand for scenarios."""
+    s = v.results(spark, sf_dir).select(
+        "run_id",
+        "prompt_id",
+        F.create_map(F.lit("service.name"), F.lit("test-harness")).alias("resource"),
+        F.create_map(
+            F.lit("lab.scenario.id"), F.col("category"), F.lit("lab.run.id"), F.concat(F.lit("run-"), F.col("run_no") % 10)
+        ).alias("attributes"),
+    )
+    found = telemetry.search(s, {"service.name": "test-harness"}, {"lab.scenario.id": "math", "lab.run.id": "run-3"})
+    return found.select("run_id", "prompt_id")
+
+
 @query(
     "formatted_error_lines",
     f"WITH {LOG_SQL} SELECT request_id, coalesce(trace_id, '') || ' QuotaError: ' || message AS text FROM logs WHERE severity = 'ERROR'",
