@@ -289,7 +289,8 @@ def log_lines(spark, sf_dir):
         error_type=F.when(failed, "QuotaError"),
         error_message=F.when(failed, F.concat(F.lit("q"), F.col("k").cast("string"))),
     )
-    return base.withColumn("line", line)
+    # Exploded, so that conditions on a line are not pushed below it and a line is built once per row.
+    return base.withColumn("line", F.explode(F.array(line)))
 
 
 @query("formatted_logs", f"WITH {LOG_SQL}, {LINE_SQL} SELECT request_id, line FROM lines", ["requests"], ["L1"])
