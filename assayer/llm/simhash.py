@@ -21,20 +21,26 @@ AT_ONCE = 1 << 15  # shingle hashes held as bits at a time
 BUCKET = 4096  # fingerprints of a bucket compared in one task; larger buckets are dealt out as pairs of blocks
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """Bit i is 1 if it is set in over half the hashes of the word shingles; 0 for a text without words."""
+def hashes(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """Hashes of the word shingles in order; a text of fewer words is one shingle, without words it has none."""
     words = (text or "").encode().lower().split()  # bytes: A-Z and ASCII white space only
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined, n = b" ".join(words), max(1, len(words) - shingle + 1)
     ends = list(accumulate(len(w) + 1 for w in words))
     starts = [0, *ends[: n - 1]]
     stops = ends[-n:] if n > 1 else ends[-1:]
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(joined[i : j - 1], SEED) for i, j in zip(starts, stops)), np.uint64, n)
+    return np.fromiter((digest(joined[i : j - 1], SEED) for i, j in zip(starts, stops)), np.uint64, n)
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """Bit i is 1 if it is set in over half the hashes of the word shingles; 0 for a text without words."""
+    found = hashes(text, shingle)
+    n = len(found)
     ones = np.zeros(64, np.int64)
     for at in range(0, n, AT_ONCE):
-        bits = np.unpackbits(hashes[at : at + AT_ONCE].astype("<u8").view(np.uint8), bitorder="little")
+        bits = np.unpackbits(found[at : at + AT_ONCE].astype("<u8").view(np.uint8), bitorder="little")
         ones += bits.reshape(-1, 64).sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 

@@ -9,7 +9,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import functions as F
 
-from assayer.llm import graph, linededup, linehash, simhash
+from assayer.llm import graph, linededup, linehash, nearcopies, simhash
 from conftest import EDGE_ROWS
 
 
@@ -180,3 +180,58 @@ def test_near_groups_edges(spark, edges, none):
     assert [r["row"] for r in simhash.keep_one(twice).collect()] == [3]
     lone = edges.where(F.col("doc_id").isNull() & F.col("text").isNotNull())
     assert [r["component_id"] for r in simhash.near_groups(lone).collect()] == [None] and simhash.keep_one(lone).count() == 1
+
+
+def word_shingles(text):
+    ws = (text or "").split()
+    return {" ".join(ws[i : i + 5]) for i in range(max(1, len(ws) - 4))} if ws else set()
+
+
+def similarity(a, b):
+    a, b = word_shingles(a), word_shingles(b)
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def test_stage_links_planted_pairs_at_the_stated_similarity(spark):
+    rng, rows = random.Random(11), []
+    for i in range(150):
+        ws = [f"w{rng.randrange(5000)}" for _ in range(rng.randrange(60, 400))]
+        edited = list(ws)
+        for at in rng.sample(range(len(ws)), max(1, len(ws) * (1 + i % 4) // 100)):
+            edited[at] = "edited"
+        rows += [(2 * i, " ".join(ws)), (2 * i + 1, " ".join(edited))]
+    near = {i for i in range(150) if similarity(rows[2 * i][1], rows[2 * i + 1][1]) >= 0.8}
+    assert 40 < len(near) < 140
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {2 * i for i in range(150)} | {2 * i + 1 for i in range(150) if i not in near}
+    assert {r["doc_id"] for r in nearcopies.keep_one(docs).collect()} == want
+    docs = spark.createDataFrame([(i, rows[0][1] + f" t{i % 37}") for i in range(120)], "doc_id long, text string")
+    for limits in ((4096, 500_000), (5, 500_000), (4096, 1000)):  # whole groups, and groups cut into pairs of blocks
+        assert [r["doc_id"] for r in nearcopies.keep_one(docs, *limits).collect()] == [0]
+
+
+def test_exact_links_connect_what_brute_force_connects():
+    rng, texts = random.Random(5), []
+    for _ in range(120):
+        ws = rng.choice(texts).split() if texts and rng.random() < 0.8 else [f"v{rng.randrange(900)}" for _ in range(80)]
+        for at in rng.sample(range(len(ws)), rng.randrange(1, 3)):
+            ws[at] = f"v{rng.randrange(900)}"
+        texts.append(" ".join(ws))
+    found = nearcopies.near_links(list(range(120)), [nearcopies.shingles(t) for t in texts])
+    assert all(similarity(texts[a], texts[b]) >= 0.8 for a, b in found)
+    group = list(range(120))
+    for pairs in (found, [(a, b) for a in range(120) for b in range(a) if similarity(texts[a], texts[b]) >= 0.8]):
+        root = list(range(120))
+        for _ in range(120):
+            for a, b in pairs:
+                root[a] = root[b] = min(root[a], root[b])
+        group, before = root, group
+    assert group == before
+
+
+def test_stage_edges(spark, edges, none):
+    kept = nearcopies.keep_one(edges)
+    assert kept.columns == edges.columns and sorted((r["doc_id"] or 0) for r in kept.collect()) == [0, 1, 2, 3, 6, 7, 8]
+    assert nearcopies.keep_one(none).count() == 0
+    twice = edges.where("doc_id = 1").withColumn("row", F.explode(F.array(F.lit(9), F.lit(3), F.lit(5))))
+    assert [r["row"] for r in nearcopies.keep_one(twice).collect()] == [3]
