@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,8 +17,11 @@ ORDERS = (2, 3, 4)  # lengths of the subwords in code points
 WIDTH = 16  # of an embedding
 PER_LANGUAGE = 500  # training rows of a language; the sample is the bound on what reaches the driver
 EPOCHS, RATE = 6, 0.5
-RIGHT_SHARE = 0.97  # of the accepted calibration texts
-LARGEST_THRESHOLD = 0.4  # texts in two languages score about 0.5 and are kept
+SMOOTHING = 0.5  # added to the count of each bucket
+SHUFFLED = 5  # every so many training texts are also counted with their letters shuffled
+# Calibration: this share of the known texts on one side, of the negatives on the other. The floor is put nearer to the
+# negatives, since texts of known languages also hold foreign passages.
+TAIL, PART = 0.005, 0.25
 AT_ONCE = 1 << 20  # code points hashed at a time
 UNKNOWN = "und"
 PRIMES = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F)
@@ -63,6 +67,14 @@ def hashed(text: str) -> Iterator[np.ndarray]:
         yield subwords(points[at : at + AT_ONCE + max(ORDERS) - 1], AT_ONCE)
 
 
+def shuffled(text: str) -> str:
+    """The text with its letters in random places, the same for the same text; all else stays in place."""
+    points = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32).copy()
+    at = np.flatnonzero(_letter_table()[points])
+    points[at] = points[np.random.default_rng(zlib.crc32(points.tobytes())).permutation(at)]
+    return points.tobytes().decode("utf-32-le")
+
+
 def counts(text: str) -> np.ndarray:
     """How often each bucket occurs in the whole text."""
     return sum((np.bincount(x, minlength=BUCKETS) for x in hashed(text)), np.zeros(BUCKETS, np.int64))
@@ -70,25 +82,32 @@ def counts(text: str) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Model:
-    """Scores per bucket and language (embeddings times weights), bias, temperature and rejection threshold."""
+    """Scores per bucket and language (embeddings times weights), bias and temperature; familiarity per bucket and its floor.
+
+    Probabilities say which of the known languages a text is in, not whether it is in any. That is told by its
+    familiarity: the mean over its subwords of the log frequency, against an even spread, in the language that has the
+    subword most. Each subword is judged by its own best language, so texts that mix known languages stay familiar.
+    """
 
     languages: tuple[str, ...]
     scores: np.ndarray
     bias: np.ndarray
     temperature: float
-    threshold: float
+    familiarity: np.ndarray
+    floor: float
 
-    def probabilities(self, text: str) -> np.ndarray | None:
-        """None for a text without letters."""
-        total, n = np.zeros(len(self.languages)), 0
+    def judged(self, text: str) -> tuple[np.ndarray, float] | None:
+        """Probabilities of the languages and familiarity; None for a text without letters."""
+        total, familiar, n = np.zeros(len(self.languages)), 0.0, 0
         for found in hashed(text):
             total += self.scores[found].sum(axis=0, dtype=np.float64)
+            familiar += self.familiarity[found].sum(dtype=np.float64)
             n += len(found)
         if not n:
             return None
         z = (total / n + self.bias) / self.temperature
         e = np.exp(z - z.max())
-        return e / e.sum()
+        return e / e.sum(), familiar / n
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -96,8 +115,14 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
-def fit(samples: list[tuple[np.ndarray, np.ndarray, int]], languages: tuple[str, ...], seed: int = 7) -> Model:
-    """Stochastic gradient descent over (buckets, counts, label); every fifth sample calibrates instead."""
+Counted = tuple[np.ndarray, np.ndarray]  # buckets that occur, and how often
+
+
+def fit(samples: list[tuple[np.ndarray, np.ndarray, int]], noise: list[Counted], languages: tuple[str, ...], seed: int = 7) -> Model:
+    """Stochastic gradient descent over (buckets, counts, label); every fifth sample calibrates instead.
+
+    ``noise`` are counts of texts in no language.
+    """
     draw = np.random.default_rng(seed)
     table = draw.uniform(-1 / WIDTH, 1 / WIDTH, (BUCKETS, WIDTH)).astype(np.float32)
     weights = draw.normal(0, 1 / WIDTH, (WIDTH, len(languages))).astype(np.float32)
@@ -124,17 +149,49 @@ def fit(samples: list[tuple[np.ndarray, np.ndarray, int]], languages: tuple[str,
     at = np.arange(len(labels))
     loss = {t: -np.log(_softmax(logits / t)[at, labels] + 1e-12).mean() for t in np.geomspace(0.05, 5, 40)}
     temperature = float(min(loss, key=loss.get))
-    p = _softmax(logits / temperature)
-    return Model(languages, scores, bias, temperature, _threshold(p.max(axis=1), p.argmax(axis=1) == labels, len(languages)))
+    return Model(languages, scores, bias, temperature, *_familiarity(samples, noise, len(languages)))
+
 
+def _familiarity(samples: list[tuple[np.ndarray, np.ndarray, int]], noise: list[Counted], n: int) -> tuple[np.ndarray, float]:
+    """Familiarity of each bucket, and the floor below which a text is in no known language.
 
-def _threshold(best: np.ndarray, right: np.ndarray, n: int) -> float:
-    """The least confidence at which enough of the accepted calibration texts are right."""
-    for t in np.linspace(min(1.2 / n, LARGEST_THRESHOLD), LARGEST_THRESHOLD, 25):
-        taken = best >= t
-        if taken.any() and right[taken].mean() >= RIGHT_SHARE:
-            return float(t)
-    return LARGEST_THRESHOLD
+    Known texts are scored without their own counts. Negatives are the noise, and each text scored without all texts
+    of its language, as if that language were unknown.
+    """
+    total = np.zeros((n, BUCKETS))
+    for buckets, times, label in samples:
+        total[label, buckets] += times
+    sums = total.sum(axis=1)
+
+    def mean(buckets: np.ndarray, times: np.ndarray, less: int | None = None, without: int | None = None) -> float:
+        own, every = total[:, buckets], sums.copy()
+        if less is not None:
+            own[less] -= times
+            every[less] -= times.sum()
+        share = (own + SMOOTHING) / (every + SMOOTHING * BUCKETS)[:, None]
+        if without is not None:
+            share = np.delete(share, without, axis=0)
+        return float(times @ np.log(share.max(axis=0) * BUCKETS) / times.sum())
+
+    known = np.array([mean(b, t, less=label) for b, t, label in samples])
+    others = [mean(b, t) for b, t in noise]
+    if n > 1:
+        others += [mean(b, t, without=label) for b, t, label in samples]
+    share = (total + SMOOTHING) / (sums + SMOOTHING * BUCKETS)[:, None]
+    return np.log(share.max(axis=0) * BUCKETS).astype(np.float32), _floor(known, np.array(others))
+
+
+def _floor(known: np.ndarray, others: np.ndarray) -> float:
+    """Between the tails of the known and of the other texts; if these overlap, where most are told apart."""
+    if not len(others):
+        return float(known.min())
+    low, high = np.quantile(known, TAIL), np.quantile(others, 1 - TAIL)
+    if high < low:
+        return float(high + PART * (low - high))
+    known, others = np.sort(known), np.sort(others)
+    at = np.concatenate([known, others])
+    right = 1 - np.searchsorted(known, at) / len(known) + np.searchsorted(others, at) / len(others)
+    return float(at[right.argmax()])
 
 
 def has_letter(text: Column) -> Column:
@@ -154,6 +211,10 @@ def _features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             found = np.flatnonzero(n)
             if len(found):
                 rows.append((lang, found.astype("<u4").tobytes(), n[found].astype("<u4").tobytes()))
+                if zlib.crc32(text.encode("utf-8", "replace")) % SHUFFLED == 0:
+                    n = counts(shuffled(text))
+                    found = np.flatnonzero(n)
+                    rows.append((None, found.astype("<u4").tobytes(), n[found].astype("<u4").tobytes()))
         yield pd.DataFrame(rows, columns=["lang", "buckets", "counts"])
 
 
@@ -177,15 +238,17 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
     rows = sample.where(has_letter(F.col("text"))).select("lang", "text").mapInPandas(_features, "lang string, buckets binary, counts binary").collect()
     if not rows:
         return None
+    numbers = lambda b: np.frombuffer(bytes(b), "<u4").astype(np.int64)
+    noise = [(numbers(r["buckets"]), numbers(r["counts"])) for r in rows if r["lang"] is None]
+    rows = [r for r in rows if r["lang"] is not None]
     rows.sort(key=lambda r: (bytes(r["buckets"]), bytes(r["counts"]), r["lang"]))
     languages = tuple(sorted({r["lang"] for r in rows}))
-    numbers = lambda b: np.frombuffer(bytes(b), "<u4").astype(np.int64)
     samples = [(numbers(r["buckets"]), numbers(r["counts"]), languages.index(r["lang"])) for r in rows]
     order = np.random.default_rng(3).permutation(len(samples))
-    return fit([samples[i] for i in order], languages)
+    return fit([samples[i] for i in order], noise, languages)
 
 
-_ANSWER = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+_ANSWER = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("familiar", T.BooleanType())])
 
 
 def _predictor(model: Model | None):
@@ -194,9 +257,13 @@ def _predictor(model: Model | None):
         for batch in texts:
             rows = []
             for text in batch:
-                p = model.probabilities(text) if model is not None and text else None
-                rows.append((UNKNOWN, 0.0) if p is None else (model.languages[p.argmax()], round(float(p.max()), 6)))
-            yield pd.DataFrame(rows, columns=["lang_pred", "score"])
+                found = model.judged(text) if model is not None and text else None
+                if found is None:
+                    rows.append((UNKNOWN, 0.0, False))
+                else:
+                    p, familiar = found
+                    rows.append((model.languages[p.argmax()], round(float(p.max()), 6), familiar >= model.floor))
+            yield pd.DataFrame(rows, columns=["lang_pred", "score", "familiar"])
 
     return answer
 
@@ -205,11 +272,11 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFra
     """The input with ``lang_pred``, ``score`` (calibrated probability) and ``rejected``.
 
     Only the text is read, whole. Null, empty and letterless texts are ``und`` with score 0 and rejected, as is
-    every text if there is no model. Input columns that bear an output's name are replaced.
+    every text if there is no model. Rejected are also texts less familiar than the model's floor: those in an unknown
+    language or in none. Input columns that bear an output's name are replaced.
     """
     named = packed(docs, t=docs[f"`{text}`"]).withColumn("a", _predictor(model)(F.when(has_letter(F.col("t")), F.col("t"))))
-    low = model.threshold if model is not None else 1.0
-    out = named.select("row", "a.lang_pred", "a.score", ((F.col("a.lang_pred") == UNKNOWN) | (F.col("a.score") < low)).alias("rejected"))
+    out = named.select("row", "a.lang_pred", "a.score", (~F.col("a.familiar")).alias("rejected"))
     return unpacked(out, "lang_pred", "score", "rejected")
 
 
@@ -217,8 +284,7 @@ def keep_known(docs: DataFrame) -> DataFrame:
     """Documents whose language is accepted, with the input's own columns."""
     model = train(docs)
     named = packed(docs, t=docs["text"]).withColumn("a", _predictor(model)(F.when(has_letter(F.col("t")), F.col("t"))))
-    low = model.threshold if model is not None else 1.0
-    return named.where((F.col("a.lang_pred") != UNKNOWN) & (F.col("a.score") >= low)).select("row.*")
+    return named.where("a.familiar").select("row.*")
 
 
 def op10_language_id(spark, sf_dir: str) -> DataFrame:

@@ -93,6 +93,27 @@ def test_language_of_held_out_documents(spark, model):
     assert sum(r["rejected"] for r in rows) <= 0.005 * len(rows)
 
 
+@pytest.mark.parametrize("unknown", ["es", "fr,es", "de,es,fr"])
+def test_unknown_languages_and_gibberish_are_rejected(spark, unknown):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("n_chars > 100")
+    foreign = F.col("lang").isin(unknown.split(","))
+    found = langid.train(docs.where(~foreign))
+    rows = docs.select("text", foreign.alias("foreign")).collect()
+    known = [r["text"] for r in rows if not r["foreign"]]
+    rng = random.Random(3)
+    mixed = [a[:400] + "\n" + b[:400] for a, b in zip(known, known[50:])]
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/"
+    encoded = ["".join(rng.choice(letters) for _ in range(500)) for _ in range(50)]
+    typed = [" ".join("".join(rng.choice(letters[:26]) for _ in range(rng.randrange(2, 9))) for _ in range(60)) for _ in range(50)]
+    share = lambda texts: sum(found.judged(t)[1] < found.floor for t in texts) / len(texts)
+    assert share([r["text"] for r in rows if r["foreign"]]) >= 0.97
+    assert share(encoded) == 1 and share(typed) == 1
+    assert share(known) <= 0.005 and share(mixed) <= 0.01
+    plain = [("encoded", encoded[0], None), ("typed", typed[0], None), ("known", known[0], "en"), ("mixed", mixed[0], None)]
+    out = langid.predict(spark.createDataFrame(plain, "doc_id string, text string, lang string"), found).collect()
+    assert [r["rejected"] for r in out] == [True, True, False, False]
+
+
 def test_language_edges(spark, edges, none, model):
     out = langid.predict(edges, model).collect()
     assert len(out) == len(EDGE_ROWS)
