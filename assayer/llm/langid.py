@@ -219,23 +219,26 @@ def _features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
-    """Fit on at most ``per_language`` labelled, not held-out rows of each language, chosen by a hash of the id.
+    """Fit on at most ``per_language`` labelled, not held-out texts of each language, chosen by a hash of id and text.
 
-    Whole texts are counted in tasks; what reaches the driver is a row of at most ``BUCKETS`` counts each. None if
-    no row is labelled. Ids alone are ranked, and of a language only those whose hash falls into a share that holds
-    about twice the sample, so that no task ranks more however large the language is. The chosen ids are few and
-    bounded, so they are broadcast.
+    Whole texts are counted in tasks; what reaches the driver is a row of at most ``BUCKETS`` counts each, and another
+    for the few that are also shuffled. None if no row with a letter is labelled. Repeated rows count once, and an id
+    with many texts once for each. Keys alone are ranked, and of a language only those whose hash falls into a share
+    that holds about twice the sample, so that no task ranks more however large the language is. The chosen keys are
+    few and bounded, so they are broadcast.
     """
-    usable = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
-    ids = usable.select("doc_id", "lang", F.pmod(F.xxhash64("doc_id", "lang"), F.lit(1 << 30)).alias("h"))
+    labelled = F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id"))
+    usable = docs.where(labelled & has_letter(F.col("text"))).select("doc_id", "lang", "text", F.xxhash64("text").alias("mark"))
+    key = ["doc_id", "lang", "mark"]
+    ids = usable.select(*key).distinct().withColumn("h", F.pmod(F.xxhash64(*key), F.lit(1 << 30)))
     near = ids.join(ids.groupBy("lang").agg(F.count("*").alias("rows")), "lang").where(
         F.col("h").cast("double") * F.col("rows") < float(1 << 30) * 2 * per_language
     )
-    order = Window.partitionBy("lang").orderBy("h", "doc_id")
-    chosen = near.withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language)
-    chosen = chosen.select("doc_id", "lang").distinct()
-    sample = usable.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi")
-    rows = sample.where(has_letter(F.col("text"))).select("lang", "text").mapInPandas(_features, "lang string, buckets binary, counts binary").collect()
+    order = Window.partitionBy("lang").orderBy("h", "doc_id", "mark")
+    chosen = near.withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language).select(*key)
+    found = usable.join(F.broadcast(chosen), key, "left_semi")
+    sample = found.groupBy(*key).agg(F.first("text").alias("text"))
+    rows = sample.select("lang", "text").mapInPandas(_features, "lang string, buckets binary, counts binary").collect()
     if not rows:
         return None
     numbers = lambda b: np.frombuffer(bytes(b), "<u4").astype(np.int64)

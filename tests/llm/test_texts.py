@@ -114,6 +114,16 @@ def test_unknown_languages_and_gibberish_are_rejected(spark, unknown):
     assert [r["rejected"] for r in out] == [True, True, False, False]
 
 
+def test_the_sample_is_bounded_in_rows(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(langid, "fit", lambda samples, noise, languages: seen.append((len(samples), len(noise))))
+    rows = [(1, prose(1, 50), "en")] * 90 + [(1, prose(i, 50), "en") for i in range(90)]
+    rows += [(i, "123 !", "de") for i in range(200)] + [(i, prose(i, 50), "de") for i in range(200, 260)]
+    langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), 20)
+    langid.train(spark.createDataFrame(rows[:90], "doc_id long, text string, lang string"), 20)
+    assert [n for n, _ in seen] == [40, 1] and all(n <= m for m, n in seen)
+
+
 def test_language_edges(spark, edges, none, model):
     out = langid.predict(edges, model).collect()
     assert len(out) == len(EDGE_ROWS)
