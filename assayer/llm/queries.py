@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from assayer.llm import chat, imatch, langid, licenses, linededup, packing, quality, simhash, subwords, urls
+from assayer.llm import (
+    alignment, bpe, chat, codes, imatch, langid, licenses, linededup, packing, quality, simhash, subwords, urls,
+)
 from assayer.llm.tables import small_batches
 from assayer.session import configure
 
@@ -17,12 +19,16 @@ _BUILDS = (
     subwords.op8_sentencepiece,
     simhash.op9_covering_simhash,
     langid.op10_language_id,
+    alignment.op11_alignment,
+    bpe.op12_bpe,
+    codes.op13_vector_codes,
 )
 SQL = {
     "op1_chat_formatting": chat.OP1_SQL,
     "op4_quality_rules": quality.OP4_SQL,
     "op5_license_scan": licenses.OP5_SQL,
     "op6_url_filters": urls.OP6_SQL,
+    "op13_vector_codes": codes.OP13_SQL,
 }
 
 

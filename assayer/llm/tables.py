@@ -19,9 +19,19 @@ def small_batches(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def saved(df: DataFrame, name: str) -> str:
+    """Write a table into the shared folder; the path of it."""
+    path = f"{shared_dir(df.sparkSession)}/assayer-{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return path
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write a table into the shared folder and read it back: lost executors cost no recomputation beyond it."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/assayer-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(saved(df, name))
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a table of :func:`saved` that nothing reads any more."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)

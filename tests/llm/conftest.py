@@ -4,7 +4,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-TABLES = "documents pages conversations benchmark labels".split()
+TABLES = "documents pages conversations benchmark labels embeddings".split()
 SF = "/root/testdata/sf0.001"
 WORDS = "the of and la el der die und house river stone light green walks slowly under bright morning water field".split()
 
