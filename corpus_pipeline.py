@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from assayer.llm import langid, linededup, nearcopies, packing, quality
+from assayer.llm import langid, linededup, packing, quality, simhash
 from assayer.llm.tables import small_batches, written
 from assayer.session import configure
 
@@ -27,9 +27,9 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of texts that share 0.8 of their five-word shingles."""
+    """One document of each group whose SimHash fingerprints are linked within the operator's radius."""
     small_batches(spark)
-    return nearcopies.keep_one(docs)
+    return simhash.keep_one(docs)
 
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +42,7 @@ STAGES = [
     ("language identification", known_language),
     ("quality rules", good_quality),
     ("line dedup", without_repeated_lines),
-    ("near-dedup", without_near_copies),
+    ("SimHash near-dedup", without_near_copies),
     ("packing", packed_sequences),
 ]
 # Language identification, hashing and tokenising have no SQL form; the stages are tested against brute force.
