@@ -121,14 +121,20 @@ def recent_runs(summaries: DataFrame, n: int = 50) -> DataFrame:
 
 
 def latest_status(changes: DataFrame) -> DataFrame:
-    """Newest status per run from its change log."""
+    """Newest status per run from its change log, and how many calls its changes finish together."""
     return changes.groupBy("run_id").agg(
         F.max_by("status", "seq").alias("status"),
         F.max("seq").alias("seq"),
-        F.max_by("done", "seq").alias("done"),
+        F.sum("done").alias("done"),
     )
 
 
+def newest_state(states: DataFrame) -> DataFrame:
+    """The last of the states (run_id, seq, status, done, expired) that a stream has put out for each run."""
+    last = F.max_by(F.struct("seq", "status", "done", "expired"), F.struct("done", "seq", "expired"))
+    return states.groupBy("run_id").agg(last.alias("s")).select("run_id", "s.*")
+
+
 def benchmark_summary(results: DataFrame, team_runs: DataFrame) -> DataFrame:
     """Roll-up per benchmark and team; ``team_runs`` has one row per run of a benchmark."""
     return run_summary(results.join(team_runs, "run_id"), ["benchmark_id", "team"])

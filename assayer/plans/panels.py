@@ -121,6 +121,36 @@ def run_panel(p: Panel):
     return build
 
 
+def stream_parts(p: Panel) -> tuple[list[str], dict[str, Column | None]]:
+    """The labels and the sums that a rule needs of each evaluation time."""
+    if p.kind == "share":
+        return list(p.by), {"_n": all_match(p.num), "_d": None}
+    if p.kind in ("rate", "increase"):
+        return list(p.by), {"increase": None}
+    if p.kind == "quantile":
+        return [*p.by, "le"], {"increase": None}
+    raise ValueError(f"no stream form of {p.kind}")
+
+
+def finished(p: Panel, vector: DataFrame) -> DataFrame:
+    """Rows (labels, eval_t, value) of a rule from the sums of :func:`stream_parts`."""
+    by = list(p.by)
+    if p.kind == "share":
+        known = vector.where(F.col("_n").isNotNull())
+        out = known.select(*by, "eval_t", metric_div(F.col("_n"), F.col("_d")).alias("value"))
+    elif p.kind == "rate":
+        out = vector.select(*by, "eval_t", (F.col("increase") / p.window).alias("value"))
+    elif p.kind == "increase":
+        out = vector.select(*by, "eval_t", F.col("increase").alias("value"))
+    else:
+        out = m.histogram_quantile(p.q, vector, by)
+    if p.keep:
+        out = out.where(p.keep)
+    if p.post:
+        out = out.withColumn("value", F.expr(p.post))
+    return out.select(*by, "eval_t", "value")
+
+
 # ---- the same in SQL ---------------------------------------------------------------------------
 
 

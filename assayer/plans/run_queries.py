@@ -187,8 +187,8 @@ def recent_runs(spark, sf_dir):
 
 @query(
     "run_state",
-    "SELECT run_id, line_no AS seq, CASE WHEN error IS NULL THEN 'running' ELSE 'failed' END AS status FROM results r"
-    " WHERE line_no = (SELECT max(line_no) FROM results m WHERE m.run_id = r.run_id)",
+    "SELECT run_id, line_no AS seq, CASE WHEN error IS NULL THEN 'running' ELSE 'failed' END AS status, done FROM results r"
+    " JOIN (SELECT run_id, max(line_no) AS line_no, count(*) AS done FROM results GROUP BY run_id) m USING (run_id, line_no)",
     ["results"],
     ["T-g"],
 )
@@ -197,9 +197,9 @@ def run_state(spark, sf_dir):
         "run_id",
         F.col("line_no").alias("seq"),
         F.when(F.col("error").isNull(), "running").otherwise("failed").alias("status"),
-        F.lit(1).alias("done"),
+        F.lit(1).cast("bigint").alias("done"),
     )
-    return runs.latest_status(changes).drop("done")
+    return runs.latest_status(changes)
 
 
 @query(

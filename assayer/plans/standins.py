@@ -243,6 +243,7 @@ def with_views(sql: str, views: Sequence[str]) -> str:
         return sql
     parts = ", ".join(f"{name} AS ({VIEWS[name]})" for name in views)
     body = sql.lstrip()
-    if body.upper().startswith("WITH "):
-        return f"WITH {parts}, {body[5:]}"
+    for lead in ("WITH RECURSIVE ", "WITH "):
+        if body.upper().startswith(lead):
+            return f"{lead}{parts}, {body[len(lead):]}"
     return f"WITH {parts} {body}"

@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from assayer.functions.labels import all_match
 from assayer.operators import runs
-from assayer.plans import metric_standins as ms
+from assayer.plans import metric_standins as ms, panels
 from assayer.plans import standins as v
 from assayer.plans.dataset_queries import folder
 from assayer.plans.registry import query
 from assayer.plans.telemetry_queries import log_lines
 from assayer.sources import sinks
-from assayer.streaming import state, windows
+from assayer.streaming import rules, state, windows
 
 NOW = {"availableNow": True}
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
@@ -107,26 +108,69 @@ def stream_completed_traces(spark, sf_dir):
     return appended(spark, flat, "traces")
 
 
+def sample_stream(spark, sf_dir, metric: str, path: str):
+    """Samples reach the stream through a table, as a scrape would have written them."""
+    samples = ms.samples(spark, sf_dir, metric).withColumn("ts", F.timestamp_seconds("t"))
+    samples.write.mode("overwrite").parquet(f"{path}/in")
+    return spark.readStream.schema(samples.schema).parquet(f"{path}/in")
+
+
 @query(
     "stream_counter_gains",
     "WITH s AS (" + ms.samples_sql("gateway_requests_total") + "), g AS (SELECT team, status, lag(t) OVER w AS from_t, t, CASE WHEN value < lag(value) OVER w THEN value"
     " ELSE value - lag(value) OVER w END AS gain FROM s WINDOW w AS (PARTITION BY team, status ORDER BY t))"
-    " SELECT team, status, from_t, t, gain FROM g WHERE gain IS NOT NULL AND t < (SELECT max(t) FROM s)",
+    " SELECT team, status, from_t, t, gain FROM g WHERE gain IS NOT NULL AND t // 30 * 30 + 30 <= (SELECT max(t) FROM s)",
     ["requests"],
     ["T-h", "M2"],
 )
 def stream_counter_gains(spark, sf_dir):
-    # Samples reach the stream through a table, as a scrape would have written them. A series' newest gain waits for
-    # the watermark and is not part of the result.
+    # Gains of the bucket of time that has not ended with the newest sample still wait.
     path = folder(spark, "samples")
-    samples = ms.samples(spark, sf_dir, "gateway_requests_total").withColumn("ts", F.timestamp_seconds("t"))
-    samples.write.mode("overwrite").parquet(f"{path}/in")
-    stream = spark.readStream.schema(samples.schema).parquet(f"{path}/in")
+    stream = sample_stream(spark, sf_dir, "gateway_requests_total", path)
     gains = state.counter_gains(stream, ["team", "status"], "0 seconds")
     with state.rocksdb(spark):
         finish(windows.to_table(gains, f"{path}/out", f"{path}/checkpoint", **NOW))
-    newest = samples.select(F.max("t")).scalar()
-    return spark.read.schema(gains.schema).parquet(f"{path}/out").where(F.col("t") < newest)
+    out = spark.read.schema(gains.schema).parquet(f"{path}/out")
+    return out.select("team", "status", "from_t", "t", "gain")
+
+
+def _streamed_rule(name: str):
+    """A stored rule on a stream of its metric's samples, up to the newest evaluation time that is complete."""
+    rule = next(p for p in panels.RECORDING_RULES if p.name == name)
+    labels = " || chr(44) || ".join(rule.by)
+    sql = (
+        f"SELECT {labels} AS labels, eval_t, value FROM ({panels.panel_sql(rule)}) r"
+        f" WHERE eval_t <= (SELECT max(t) FROM ({ms.samples_sql(rule.metric)}) z)"
+    )
+
+    @query("stream_" + name, sql, ["requests"], ["M8", "T-a", "T-i"])
+    def build(spark, sf_dir):
+        path = folder(spark, name)
+        stream = sample_stream(spark, sf_dir, rule.metric, path)
+        by, parts = panels.stream_parts(rule)
+        kept = stream.where(all_match(rule.where))
+        vectors = rules.windowed_gains(kept, ms.series_of(rule.metric), by, rule.window, rule.step, "0 seconds", parts)
+        with state.rocksdb(spark):
+            finish(rules.rule_to_table(vectors, lambda v: panels.finished(rule, v), f"{path}/out", f"{path}/checkpoint", **NOW))
+        out = spark.read.parquet(f"{path}/out")
+        return out.select(F.concat_ws(",", *rule.by).alias("labels"), "eval_t", "value")
+
+    return build
+
+
+for _name in ("rule_http_request_rate", "rule_http_error_ratio", "rule_http_latency_p95", "rule_pod_restarts_increase"):
+    _streamed_rule(_name)
+
+
+def run_changes(spark, sf_dir):
+    """Each result as a change of its run: its place, the status it leaves the run in, and one finished call."""
+    return v.results(_Streams(spark), sf_dir).select(
+        "run_id",
+        F.col("line_no").alias("seq"),
+        F.when(F.col("error").isNull(), "running").otherwise("failed").alias("status"),
+        F.lit(1).cast("bigint").alias("done"),
+        F.timestamp_seconds(F.col("day") * 86400).alias("ts"),
+    )
 
 
 @query(
@@ -137,17 +181,34 @@ def stream_counter_gains(spark, sf_dir):
     ["T-g"],
 )
 def stream_run_state(spark, sf_dir):
-    changes = v.results(_Streams(spark), sf_dir).select(
-        "run_id",
-        F.col("line_no").alias("seq"),
-        F.when(F.col("error").isNull(), "running").otherwise("failed").alias("status"),
-        F.lit(1).cast("bigint").alias("done"),
-    )
     path = folder(spark, "runs")
-    states = state.run_states(changes)
+    states = state.run_states(run_changes(spark, sf_dir).drop("ts"))
+    with state.rocksdb(spark):
+        finish(windows.updates_to_table(states, f"{path}/out", f"{path}/checkpoint", **NOW))
+    return runs.newest_state(spark.read.parquet(f"{path}/out").drop("batch")).select("run_id", "seq", "status", "done")
+
+
+# Runs of one prompt each: a prompt's results of one day. They end with their last result.
+DAILY_RUNS = "SELECT concat(run_id, '/', day) AS run_id, line_no, error, day FROM results"
+KEEP_DAYS = 7  # fixed value: days after which an ended run is forgotten
+
+
+@query(
+    "stream_expired_runs",
+    f"WITH d AS ({DAILY_RUNS}), r AS (SELECT run_id, max(line_no) AS seq, count(*) AS done, max(day) AS day, arg_max(error, line_no) AS error,"
+    " arg_max(CASE WHEN error IS NULL THEN 0 ELSE 1 END, line_no) AS bad FROM d GROUP BY run_id)"
+    " SELECT run_id, seq, CASE bad WHEN 1 THEN 'failed' ELSE 'running' END AS status, done, bad = 1 AND day + 7 <= (SELECT max(day) FROM results) AS expired FROM r",
+    ["results"],
+    ["T-g"],
+)
+def stream_expired_runs(spark, sf_dir):
+    """Which runs the stream has forgotten at its end: failed ones, a week of event time after their last change."""
+    path = folder(spark, "expired")
+    changes = run_changes(spark, sf_dir).withColumn("run_id", F.concat_ws("/", "run_id", F.unix_date(F.to_date("ts"))))
+    states = state.run_states(changes, keep_ms=KEEP_DAYS * 86_400_000)
     with state.rocksdb(spark):
         finish(windows.updates_to_table(states, f"{path}/out", f"{path}/checkpoint", **NOW))
-    return runs.latest_status(spark.read.parquet(f"{path}/out").drop("batch")).select("run_id", "seq", "status", "done")
+    return runs.newest_state(spark.read.parquet(f"{path}/out").drop("batch"))
 
 
 @query(

@@ -7,7 +7,7 @@ from contextlib import contextmanager
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -30,102 +30,158 @@ def rocksdb(spark: SparkSession) -> Iterator[None]:
 class CounterGains(StatefulProcessor):
     """Gain of each sample over the one before it in the series, in time order.
 
-    Samples wait in the state until the watermark has passed them, so out-of-order arrival does
-    not look like a restart. A value below its predecessor is a restart from zero.
+    Samples wait until the watermark has passed the end of their bucket of time, so out-of-order arrival does not look
+    like a restart. A value below its predecessor is a restart from zero. A bucket is one entry of a map with one timer:
+    a batch reads and writes the buckets its samples fall into, a timer its own bucket, whatever else is waiting.
     """
 
+    def __init__(self, bucket_s: int) -> None:
+        self.bucket_s = bucket_s
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.last = handle.getValueState("last", "value double, t bigint")
-        self.waiting = handle.getListState("waiting", "t bigint, value double")
-
-    def _take(self, upto_s: float) -> list[tuple[int, float]]:
-        held = sorted((row[0], row[1]) for row in self.waiting.get()) if self.waiting.exists() else []
-        ready = [x for x in held if x[0] <= upto_s]
-        rest = [x for x in held if x[0] > upto_s]
-        if ready:
-            if rest:
-                self.waiting.put(rest)
+        self.waiting = handle.getMapState("waiting", "due bigint", "times array<bigint>, held array<double>")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        fresh: dict[int, list[tuple[int, float]]] = {}
+        for pdf in rows:
+            for t, value in zip(pdf["t"].astype(int).tolist(), pdf["value"].astype(float).tolist()):
+                fresh.setdefault((t // self.bucket_s + 1) * self.bucket_s, []).append((t, value))
+        for due, samples in fresh.items():
+            times, held = [t for t, _ in samples], [x for _, x in samples]
+            if self.waiting.containsKey((due,)):
+                before = self.waiting.getValue((due,))
+                times, held = [*before[0], *times], [*before[1], *held]
             else:
-                self.waiting.clear()
-        if rest:
-            self.handle.registerTimer(int(rest[0][0]) * 1000)
-        return ready
+                self.handle.registerTimer(due * 1000)
+            self.waiting.updateValue((due,), (times, held))
+        return iter(())
 
-    def _emit(self, key: Any, ready: list[tuple[int, float]]) -> Iterator[pd.DataFrame]:
-        if not ready:
-            return
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        due = expiredTimerInfo.getExpiryTimeInMs() // 1000
+        times, held = self.waiting.getValue((due,))
+        self.waiting.removeKey((due,))
         before = self.last.get() if self.last.exists() else None
         rows = []
-        for t, value in ready:
+        for t, value in sorted(zip(times, held)):
             if before is not None:
                 rows.append((int(before[1]), t, value if value < before[0] else value - before[0]))
-            before = (value, t)
+            before = (float(value), int(t))
         self.last.update(before)
         if rows:
             out = pd.DataFrame(rows, columns=["from_t", "t", "gain"])
             for i, part in enumerate(key):
                 out.insert(i, f"_k{i}", part)
+            # Just before the bucket's end: the watermark of the batch before has not passed it.
+            out["ts"] = pd.Timestamp(due * 1000 - 1, unit="ms", tz="UTC")
             yield out
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        for pdf in rows:
-            self.waiting.appendList(list(zip(pdf["t"].astype(int).tolist(), pdf["value"].astype(float).tolist())))
-        yield from self._emit(key, self._take(timerValues.getCurrentWatermarkInMs() / 1000))
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield from self._emit(key, self._take(timerValues.getCurrentWatermarkInMs() / 1000))
-
     def close(self) -> None:
         pass
 
 
-def counter_gains(samples: DataFrame, series: Sequence[str], delay: str, ts: str = "ts") -> DataFrame:
-    """Rows (series, from_t, t, gain) from a stream of counter samples (series, t, value, ts)."""
+def counter_gains(samples: DataFrame, series: Sequence[str], delay: str, ts: str = "ts", bucket_s: int = 30) -> DataFrame:
+    """Rows (series, from_t, t, gain, ts) from a stream of counter samples (series, t, value, ts).
+
+    ``ts`` is the end of the sample's bucket less a millisecond, and the event time of operators that follow.
+    """
     kinds = dict(samples.dtypes)
     names = [f"_k{i}" for i in range(len(series))]
-    schema = ", ".join([f"{n} {kinds[s]}" for n, s in zip(names, series)] + ["from_t bigint", "t bigint", "gain double"])
+    fields = [f"{n} {kinds[s]}" for n, s in zip(names, series)] + ["from_t bigint", "t bigint", "gain double", "ts timestamp"]
     out = (
         samples.withWatermark(ts, delay)
         .groupBy(*series)
-        .transformWithStateInPandas(CounterGains(), outputStructType=schema, outputMode="append", timeMode="EventTime")
+        .transformWithStateInPandas(
+            CounterGains(bucket_s),
+            outputStructType=", ".join(fields),
+            outputMode="append",
+            timeMode="EventTime",
+            eventTimeColumnName="ts",
+        )
     )
     return out.withColumnsRenamed(dict(zip(names, series)))
 
 
+NEW_RUN = (-1, "pending", 0, 0, 0)
+# The states in which a run ends.
+FINISHED = ("completed", "failed")
+
+
+def _plain(value: Any) -> Any:
+    return value if isinstance(value, str) else int(value)
+
+
 class RunState(StatefulProcessor):
-    """Newest status of a run and how many calls it has finished; forgotten after its TTL."""
+    """Newest status of a run and how many calls it has finished in all.
+
+    A run that has ended is forgotten ``keep_ms`` of event time after its last change: one more row with ``expired``
+    says so. A later change reopens it from nothing.
+    """
 
-    def __init__(self, ttl_ms: int | None) -> None:
-        self.ttl_ms = ttl_ms
+    def __init__(self, keep_ms: int | None) -> None:
+        self.keep_ms = keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        ttl = () if self.ttl_ms is None else (self.ttl_ms,)
-        self.state = handle.getValueState("run", "seq bigint, status string, done bigint", *ttl)
+        self.handle = handle
+        self.state = handle.getValueState("run", "seq bigint, status string, done bigint, last_ms bigint, timer_ms bigint")
+
+    def _row(self, key, seq: int, status: str, done: int, expired: bool) -> pd.DataFrame:
+        return pd.DataFrame({"run_id": [key[0]], "seq": [seq], "status": [status], "done": [done], "expired": [expired]})
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        seq, status, done = self.state.get() if self.state.exists() else (-1, "pending", 0)
-        for pdf in rows:
-            newest = pdf.loc[pdf["seq"].idxmax()]
-            if newest["seq"] > seq:
-                seq, status = int(newest["seq"]), str(newest["status"])
-            done += int(pdf["done"].sum())
-        self.state.update((int(seq), status, int(done)))
-        yield pd.DataFrame({"run_id": [key[0]], "seq": [int(seq)], "status": [status], "done": [int(done)]})
+        seq, status, done, last, timer = map(_plain, self.state.get()) if self.state.exists() else NEW_RUN
+        changes = pd.concat(list(rows)).sort_values("seq")
+        if self.keep_ms is not None:
+            after = changes["ts_ms"] >= timer
+            if timer and after.any():  # by its own time a change behind the run's end belongs to a new run
+                before, changes = changes[~after], changes[after]
+                if len(before):
+                    seq, status, done, last = self._changed(before, seq, status, done, last)
+                if not len(before) or status in FINISHED:
+                    yield self._row(key, seq, status, done, True)
+                    seq, status, done, last, _ = NEW_RUN
+        seq, status, done, last = self._changed(changes, seq, status, done, last)
+        if self.keep_ms is not None:
+            due = last + self.keep_ms if status in FINISHED else 0
+            if timer and timer != due:
+                self.handle.deleteTimer(timer)
+            if due and due != timer:
+                self.handle.registerTimer(due)
+            timer = due
+        self.state.update((seq, status, done, last, timer))
+        yield self._row(key, seq, status, done, False)
+
+    def _changed(self, changes: pd.DataFrame, seq: int, status: str, done: int, last: int) -> tuple[int, str, int, int]:
+        newest = changes.iloc[-1]
+        if newest["seq"] > seq:
+            seq, status = int(newest["seq"]), str(newest["status"])
+        last = max(last, int(changes["ts_ms"].max())) if self.keep_ms is not None else last
+        return seq, status, done + int(changes["done"].sum()), last
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if not self.state.exists():
+            return
+        seq, status, done, _, _ = self.state.get()
+        self.state.clear()
+        yield self._row(key, int(seq), status, int(done), True)
 
     def close(self) -> None:
         pass
 
 
-def run_states(changes: DataFrame, ttl_ms: int | None = None) -> DataFrame:
-    """Status and progress per run from a stream of changes (run_id, seq, status, done).
+def run_states(changes: DataFrame, keep_ms: int | None = None, delay: str = "0 seconds", ts: str = "ts") -> DataFrame:
+    """Rows (run_id, seq, status, done, expired) from a stream of changes (run_id, seq, status, done).
 
-    A TTL works on processing time and keeps the query alive waiting for it: give one to a
-    continuously running job, none to one that ends with the available data.
+    ``done`` of a change counts the calls it finishes; the state adds them up, as ``runs.latest_status`` does in a
+    batch. With ``keep_ms``, changes carry the event time ``ts`` and ended runs are forgotten that long after their last
+    change by event time, so a finite stream ends; without it, nothing is forgotten.
     """
+    if keep_ms is not None:
+        changes = changes.withWatermark(ts, delay).withColumn("ts_ms", F.unix_millis(ts))
     return changes.groupBy("run_id").transformWithStateInPandas(
-        RunState(ttl_ms),
-        outputStructType="run_id string, seq bigint, status string, done bigint",
+        RunState(keep_ms),
+        outputStructType="run_id string, seq bigint, status string, done bigint, expired boolean",
         outputMode="update",
-        timeMode="None" if ttl_ms is None else "ProcessingTime",
+        timeMode="None" if keep_ms is None else "EventTime",
     )

@@ -1,9 +1,13 @@
 from __future__ import annotations
 
+import datetime
+import random
+
+import pandas as pd
 from pyspark.sql import functions as F
 
-from assayer.operators import metrics as m
-from assayer.streaming import state, windows
+from assayer.operators import metrics as m, runs
+from assayer.streaming import rules, state, windows
 
 NOW = {"availableNow": True}
 
@@ -15,9 +19,13 @@ def stream_of(spark, folder, batches, schema):
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/b*")
 
 
+def at(seconds):
+    return datetime.datetime.fromtimestamp(seconds, datetime.UTC)
+
+
 def test_gains_wait_for_late_samples(spark, tmp_path):
     schema = "job string, t bigint, value double, ts timestamp"
-    stamp = lambda t, v: ("a", t, float(v), __import__("datetime").datetime.fromtimestamp(t))
+    stamp = lambda t, v: ("a", t, float(v), at(t))
     batches = [[stamp(100, 10), stamp(120, 14)], [stamp(110, 12), stamp(130, 3)], [stamp(200, 5)], [stamp(400, 6)]]
     stream = stream_of(spark, str(tmp_path / "in"), batches, schema)
     out = state.counter_gains(stream, ["job"], "30 seconds")
@@ -25,7 +33,103 @@ def test_gains_wait_for_late_samples(spark, tmp_path):
         windows.to_table(out, str(tmp_path / "out"), str(tmp_path / "cp"), **NOW).awaitTermination(90)
     assert spark.conf.get(state.PROVIDER) != state.ROCKSDB
     rows = spark.read.schema(out.schema).parquet(str(tmp_path / "out")).orderBy("t").collect()
-    assert [(r.t, r.gain) for r in rows if r.t <= 200] == [(110, 2.0), (120, 2.0), (130, 3.0), (200, 2.0)]
+    assert [(r.t, r.gain) for r in rows] == [(110, 2.0), (120, 2.0), (130, 3.0), (200, 2.0)]
+
+
+class Entry:
+    """Stands for a state variable and counts how often the store is asked."""
+
+    def __init__(self):
+        self.held, self.asked = {}, 0
+
+    def _do(self, found):
+        self.asked += 1
+        return found
+
+    def exists(self):
+        return self._do(None in self.held)
+
+    def get(self):
+        return self._do(self.held[None])
+
+    def update(self, value):
+        self._do(self.held.__setitem__(None, value))
+
+    def containsKey(self, key):
+        return self._do(key in self.held)
+
+    def getValue(self, key):
+        return self._do(self.held[key])
+
+    def updateValue(self, key, value):
+        self._do(self.held.__setitem__(key, value))
+
+    def removeKey(self, key):
+        self._do(self.held.pop(key))
+
+
+class Handle:
+    def __init__(self):
+        self.timers, self.entries = set(), []
+
+    def _new(self, *_):
+        self.entries.append(Entry())
+        return self.entries[-1]
+
+    getValueState = getMapState = _new
+
+    def registerTimer(self, ms):
+        self.timers.add(ms)
+
+    @property
+    def asked(self):
+        return sum(e.asked for e in self.entries)
+
+
+def test_a_batch_does_not_touch_what_is_waiting():
+    costs = []
+    for backlog in (10, 5000):
+        gains, handle = state.CounterGains(30), Handle()
+        gains.init(handle)
+        waiting = pd.DataFrame({"t": range(0, backlog * 30, 15), "value": [float(x) for x in range(2 * backlog)]})
+        list(gains.handleInputRows(("hot",), iter([waiting]), None))
+        asked = handle.asked
+        list(gains.handleInputRows(("hot",), iter([pd.DataFrame({"t": [7], "value": [0.5]})]), None))
+        arrival = handle.asked - asked
+        expired = type("Info", (), {"getExpiryTimeInMs": lambda self: 30_000})()
+        rows = list(gains.handleExpiredTimer(("hot",), None, expired))
+        assert rows[0][["from_t", "t", "gain"]].values.tolist() == [[0, 7, 0.5], [7, 15, 0.5]]
+        costs.append((arrival, handle.asked - asked))
+        assert len(handle.timers) == backlog
+    assert costs[0] == costs[1]
+
+
+def test_streamed_rules_over_batches_equal_the_batch_form(spark, tmp_path):
+    rng = random.Random(2)
+    rows, schema = [], "pod string, le string, t bigint, value double, ts timestamp"
+    for pod in "abc":
+        value = {"1": 0.0, "+Inf": 0.0}
+        for t in range(1000, 4000, 15):
+            value["1"] += rng.randrange(3)
+            value["+Inf"] = max(value["+Inf"], value["1"]) + rng.randrange(3)
+            if rng.random() < 0.01:
+                value = {"1": 0.0, "+Inf": 1.0}
+            if rng.random() < 0.9:
+                rows += [(pod, le, t, x, at(t)) for le, x in value.items()]
+    batches = [[r for r in rows if lo <= r[2] < lo + 700] for lo in range(600, 4100, 700)]
+    batches[1], moved = batches[1][30:], batches[1][:30]
+    batches[2] = moved + batches[2]  # late by one batch, within the delay
+    stream = stream_of(spark, str(tmp_path / "in"), batches, schema)
+    parts = {"increase": None, "small": F.col("le") == "1"}
+    got = rules.windowed_gains(stream, ["pod", "le"], ["le"], 300, 30, "20 minutes", parts)
+    with state.rocksdb(spark):
+        rules.rule_to_table(got, lambda b: b, str(tmp_path / "out"), str(tmp_path / "cp"), **NOW).awaitTermination(180)
+    key = ["le", "eval_t", "increase", "small"]
+    streamed = sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).select(*key).collect()))
+    gains = m.increments(spark.createDataFrame(rows, schema), ["pod", "le"], 30)
+    last = max(r[2] for r in rows) - 1200
+    batch = m.windowed(gains, ["le"], 300, 30, parts).where(F.col("eval_t") <= last).select(*key)
+    assert streamed == sorted(map(tuple, batch.collect())) and len(streamed) > 100
 
 
 def test_run_state_over_batches(spark, tmp_path):
@@ -34,8 +138,29 @@ def test_run_state_over_batches(spark, tmp_path):
     stream = stream_of(spark, str(tmp_path / "in"), batches, schema)
     with state.rocksdb(spark):
         windows.updates_to_table(state.run_states(stream), str(tmp_path / "out"), str(tmp_path / "cp"), **NOW).awaitTermination(90)
-    rows = spark.read.parquet(str(tmp_path / "out")).groupBy("run_id").agg(F.max_by(F.struct("status", "done"), "seq").alias("x"))
-    assert {r.run_id: tuple(r.x) for r in rows.collect()} == {"r": ("completed", 3), "s": ("running", 1)}
+    rows = runs.newest_state(spark.read.parquet(str(tmp_path / "out"))).collect()
+    assert {r.run_id: (r.status, r.done, r.expired) for r in rows} == {"r": ("completed", 3, False), "s": ("running", 1, False)}
+    whole = spark.createDataFrame([x for b in batches for x in b], schema)
+    assert {(r.run_id, r.status, r.done) for r in runs.latest_status(whole).collect()} == {(r.run_id, r.status, r.done) for r in rows}
+
+
+def test_ended_runs_are_forgotten_and_can_begin_anew(spark, tmp_path):
+    schema = "run_id string, seq bigint, status string, done bigint, ts timestamp"
+    batches = [
+        [("r", 1, "completed", 2, at(100)), ("s", 1, "running", 1, at(100)), ("late", 1, "failed", 1, at(100))],
+        [("late", 2, "running", 1, at(150)), ("x", 1, "running", 1, at(120))],  # reopened before it is forgotten
+        [("x", 2, "running", 1, at(1000))],
+        [("r", 9, "running", 5, at(1000))],  # begins anew
+        [("x", 3, "running", 1, at(1001))],
+    ]
+    stream = stream_of(spark, str(tmp_path / "in"), batches, schema)
+    out = state.run_states(stream, keep_ms=60_000)
+    with state.rocksdb(spark):
+        windows.updates_to_table(out, str(tmp_path / "out"), str(tmp_path / "cp"), **NOW).awaitTermination(120)
+    rows = [tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).select("run_id", "seq", "status", "done", "expired").collect()]
+    assert ("r", 1, "completed", 2, True) in rows and ("r", 9, "running", 5, False) in rows
+    assert ("late", 2, "running", 2, False) in rows
+    assert {r[0] for r in rows if r[4]} == {"r"}
 
 
 def test_late_rows_are_counted(spark, tmp_path):
