@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from assayer.functions.text import approx_tokens, normalised
-from assayer.operators import datasets
+from assayer.operators import datasets, sketches
 from assayer.plans import sqltext as q
 from assayer.plans import standins as v
 from assayer.plans.registry import query
@@ -301,6 +301,22 @@ def run_cardinality(spark, sf_dir):
     return datasets.cardinality_guard(v.results(spark, sf_dir), ["day"], "run_id", 20)
 
 
+@query(
+    "sketched_run_guard",
+    "SELECT run_id, CASE WHEN n >= 80 THEN n END AS distinct_ids, n >= 80 AS over_limit FROM (SELECT run_id, count(DISTINCT prompt_id) AS n FROM results GROUP BY run_id) x",
+    ["results"],
+    ["A22"],
+)
+def sketched_run_guard(spark, sf_dir):
+    """Runs over 80 distinct prompts: sketches stored by day name them, only their rows are counted."""
+    r = v.results(spark, sf_dir)
+    path = folder(spark, "prompt-sketches")
+    sketches.write_by_day(sketches.daily_distinct(r, ["run_id"], "prompt_id"), path)
+    found = sketches.sketched_guard(r, spark.read.parquet(path), ["run_id"], "prompt_id", 80)
+    exact = F.when(F.col("over_limit"), F.col("distinct_ids"))
+    return found.select("run_id", exact.alias("distinct_ids"), "over_limit")
+
+
 def _digest_sql(levels: int = 4) -> str:
     level = "SELECT source, doc_id AS pos, sha256(concat_ws(chr(1), doc_id, text)) AS d FROM documents"
     for _ in range(levels):

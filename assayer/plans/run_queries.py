@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from assayer.functions.numbers import fold_bool, py_round, ratio
 from assayer.functions.text import approx_tokens, strict_json, word_count
-from assayer.operators import compare, model, runs, validate
+from assayer.operators import compare, model, runs, sketches, validate
 from assayer.plans import sqltext as q
 from assayer.plans import standins as v
+from assayer.plans.dataset_queries import folder
 from assayer.plans.registry import query
 
 
@@ -628,3 +629,21 @@ def _echo_client():
 def model_answers(spark, sf_dir):
     calls = v.table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("prompt"))
     return model.call_model(calls, _echo_client, "doc_id bigint, max_tokens bigint, output string")
+
+
+@query(
+    "latency_sketches_by_team",
+    "SELECT team, count(*) AS n, count(*) AS rows, TRUE AS p50_close, TRUE AS p95_close, TRUE AS p99_close FROM results GROUP BY team",
+    ["results"],
+    ["A19", "A23"],
+)
+def latency_sketches_by_team(spark, sf_dir):
+    """Whether percentiles from sketches stored by day and team lie within their stated bound of the exact ranks."""
+    r, us = v.results(spark, sf_dir), F.round(F.col("latency_ms") * 1000)
+    points = {"p50": 500, "p95": 950, "p99": 990}
+    path = folder(spark, "latency-sketches")
+    sketches.write_by_day(sketches.daily_quantiles(r, ["team"], us), path)
+    merged = sketches.merged_quantiles(spark.read.parquet(path), ["team"])
+    found = sketches.rank_errors(r, sketches.sketch_percentiles(merged, ["team"], points), ["team"], us, points)
+    close = [(F.col(p) <= sketches.RANK_ERROR).alias(f"{p}_close") for p in points]
+    return found.select("team", "n", "rows", *close)

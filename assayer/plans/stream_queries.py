@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import functions as F
 
 from assayer.functions.labels import all_match
-from assayer.operators import runs
+from assayer.operators import runs, telemetry
 from assayer.plans import metric_standins as ms, panels
 from assayer.plans import standins as v
 from assayer.plans.dataset_queries import folder
 from assayer.plans.registry import query
 from assayer.plans.telemetry_queries import log_lines
-from assayer.sources import sinks
+from assayer.sources import signals, sinks
 from assayer.streaming import rules, state, windows
 
 NOW = {"availableNow": True}
@@ -270,3 +272,110 @@ def stream_logs_with_traces(spark, sf_dir):
     traces = r.where("event_type = 'view'").select("trace_id", F.col("request_id").alias("opened_by"), F.col("ts").alias("trace_ts"))
     out = windows.logs_joined_traces(lines, traces, "1 minute", "30 SECONDS").select("request_id", "opened_by")
     return appended(spark, out, "joined")
+
+
+# Each request as the signals it leaves: a latency metric, a log line and its gateway span.
+SIGNAL_KINDS = ("metrics", "logs", "traces")
+NOW_DAY = datetime.date(2024, 1, 31)
+
+
+def signals_of(r):
+    """Signals with all kinds' columns, a third of them of each kind."""
+    text = lambda c: c.cast("string")
+    own = r.withColumns({
+        "ts": F.timestamp_micros("us"),
+        "end_ts": F.timestamp_micros(F.col("us") + F.col("latency_ms") * 1000),
+        "pod": F.expr("concat(team, '-api-', user_id % 7)"),
+        "resource": F.create_map(F.lit("service.name"), F.concat("team", F.lit("-api"))),
+        "attributes": F.create_map(F.lit("request.id"), text(F.col("request_id"))),
+        "name": F.lit("gateway"),
+        "value": F.col("latency_ms").cast("double"),
+        "line": F.concat_ws(" ", "status", text(F.col("request_id"))),
+        "trace_id": F.concat(F.lit("u"), text(F.col("user_id"))),
+        "span_id": F.concat(F.lit("g"), text(F.col("request_id"))),
+        "parent_span_id": F.lit(None).cast("string"),
+        "kind": F.explode(F.array(*map(F.lit, SIGNAL_KINDS))),
+    })
+    columns = sorted({c for names in sinks.SIGNAL_COLUMNS.values() for c in names})
+    return own.select("kind", "pod", *columns)
+
+
+def signal_tables(spark, sf_dir, name: str) -> str:
+    """The tables of all kinds, written by one stream; pods are known but for two of seven."""
+    path = folder(spark, name)
+    r = v.requests(spark, sf_dir).where("user_id % 7 < 5")
+    pods = r.groupBy(F.expr("concat(team, '-api-', user_id % 7)").alias("pod")).agg(F.min(F.expr("user_id % 7")).alias("n"))
+    pods = pods.select("pod", F.create_map(F.lit("k8s.node.name"), F.concat(F.lit("node-"), F.col("n").cast("string"))).alias("metadata"))
+    stream = signals_of(v.requests(_Streams(spark), sf_dir))
+    finish(sinks.fan_out(stream, path, f"{path}/checkpoint", lambda b: telemetry.enrich(b, pods, "test").drop("pod"), **NOW))
+    return path
+
+
+@query(
+    "stream_signal_sinks",
+    "SELECT kind, us // 86400000000 AS day, count(*) AS signals, CAST(sum(latency_ms) FILTER (kind = 'metrics') AS DOUBLE) AS total, count(*) FILTER (user_id % 7 < 5) AS placed"
+    " FROM requests, (SELECT unnest(['metrics', 'logs', 'traces']) AS kind) k GROUP BY ALL",
+    ["requests"],
+    ["S13", "J11"],
+)
+def stream_signal_sinks(spark, sf_dir):
+    path = signal_tables(spark, sf_dir, "signals")
+    parts = [
+        spark.read.parquet(f"{path}/{kind}").select(
+            F.lit(kind).alias("kind"), "date", "resource", (F.col("value") if kind == "metrics" else F.lit(None).cast("double")).alias("value")
+        )
+        for kind in SIGNAL_KINDS
+    ]
+    out = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    placed = F.col("resource")["k8s.node.name"].isNotNull() & (F.col("resource")["deployment.environment"] == "test")
+    return out.groupBy("kind", F.unix_date("date").cast("bigint").alias("day")).agg(
+        F.count(F.lit(1)).alias("signals"), F.sum("value").alias("total"), F.count(F.when(placed, 1)).alias("placed")
+    )
+
+
+@query(
+    "stream_retention",
+    "SELECT kind, first_day, signals FROM (SELECT kind, min(us // 86400000000) FILTER (us // 86400000000 >= 19753 - keep - 1) AS first_day,"
+    " count(*) FILTER (us >= (19753 - keep) * 86400000000) AS signals FROM requests,"
+    " (SELECT unnest(['metrics', 'logs', 'traces']) AS kind, unnest([15, 7, 2]) AS keep) k GROUP BY kind, keep) x",
+    ["requests"],
+    ["T-f", "S13"],
+)
+def stream_retention(spark, sf_dir):
+    """The oldest day whose files are left after expired ones are dropped, and the signals that readers see."""
+    path = signal_tables(spark, sf_dir, "retention")
+    sinks.drop_expired(spark, path, NOW_DAY)
+    now = F.lit(NOW_DAY.isoformat())
+    parts = []
+    for kind, days in sinks.RETENTION_DAYS.items():
+        table = spark.read.parquet(f"{path}/{kind}")
+        shown = sinks.retained(table, now, days).agg(F.count(F.lit(1)).alias("signals"))
+        first = table.agg(F.min(F.unix_date("date")).cast("bigint")).scalar()
+        parts.append(shown.select(F.lit(kind).alias("kind"), first.alias("first_day"), "signals"))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query(
+    "stream_spans_from_files",
+    "SELECT team || '-api' AS service, count(*) AS spans, CAST(sum(latency_ms) AS BIGINT) AS total_ms, count(*) FILTER (status <> 'success') AS failed FROM requests GROUP BY team",
+    ["requests"],
+    ["S7"],
+)
+def stream_spans_from_files(spark, sf_dir):
+    """Spans as a collector leaves them in files, read as a stream of the schema for spans."""
+    path = folder(spark, "span-files")
+    r = signals_of(v.requests(spark, sf_dir)).where("kind = 'traces'")
+    failed = F.split_part("line", F.lit(" "), F.lit(1)) != "success"
+    events = F.when(failed, F.array(F.struct(F.lit("exception").alias("name"), F.col("attributes"))))
+    spans = r.select(
+        "trace_id", "span_id", "parent_span_id", "name", F.col("resource")["service.name"].alias("service"),
+        F.col("ts").alias("start_ts"), "end_ts", "resource", "attributes", events.alias("events"),
+    )
+    spans.write.parquet(f"{path}/in")
+    read = signals.read_signals(spark, "spans", f"{path}/in")
+    stored = read.select("service", (F.unix_millis("end_ts") - F.unix_millis("start_ts")).alias("ms"), F.size("events").alias("n"))
+    finish(windows.to_table(stored, f"{path}/out", f"{path}/checkpoint", **NOW))
+    out = spark.read.schema(stored.schema).parquet(f"{path}/out")
+    return out.groupBy("service").agg(
+        F.count(F.lit(1)).alias("spans"), F.sum("ms").alias("total_ms"), F.count(F.when(F.col("n") > 0, 1)).alias("failed")
+    )

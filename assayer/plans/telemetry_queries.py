@@ -10,7 +10,7 @@ from assayer.plans import standins as v
 from assayer.plans.dataset_queries import folder
 from assayer.plans.registry import query
 from assayer.plans.sqltext import py_round
-from assayer.sources import signals
+from assayer.sources import signals, spanstore
 
 POD = "concat(team, '-api-', user_id % 7)"
 
@@ -589,3 +589,23 @@ def relabelled_targets(spark, sf_dir):
         F.col("team").alias("meta_namespace"),
     )
     return relabel(r, RELABEL).select("request_id", "address", "namespace")
+
+
+@query(
+    "stored_trace_search",
+    "SELECT request_id, variant_id, day FROM (SELECT *, us // 86400000000 AS day FROM requests) r WHERE team = 'finetune' AND variant_id = 'lora-v2'"
+    " AND day BETWEEN 19723 AND 19737",
+    ["requests"],
+    ["L4", "J8"],
+)
+def stored_trace_search(spark, sf_dir):
+    """The search over a stored table: team, variant and days are conditions on columns of the files."""
+    path = folder(spark, "span-store")
+    s = attributed(spark, sf_dir).where("component = 'service'")
+    s = s.withColumn("resource", F.create_map(F.lit("service.name"), F.concat("team", F.lit("-api"))))
+    own = s.join(spans(spark, sf_dir).where("service = team || '-api'").select("request_id", "trace_id", "span_id", "start_us"), "request_id")
+    spanstore.write_spans(own.select("request_id", "trace_id", "span_id", "start_us", "resource", "attributes"), path, F.timestamp_micros("start_us"))
+    hits = spanstore.find(
+        spark.read.parquet(path), {"service.name": "finetune-api"}, {"lab.model.variant.id": "lora-v2"}, ("2024-01-01", "2024-01-15")
+    )
+    return hits.select("request_id", F.col("lab_model_variant_id").alias("variant_id"), F.unix_date("date").cast("bigint").alias("day"))
