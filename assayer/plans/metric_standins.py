@@ -43,6 +43,7 @@ SECONDS = "CAST(latency_ms AS DOUBLE) / 1000"
 POD = "concat(team, '-api-', user_id % 7)"
 NODE = "concat('node-', user_id % 5)"
 VLLM = dict(app="app", job="'vllm-models'")
+SPACED = dict(app="app", namespace="CASE WHEN k % 4 = 0 THEN 'llm-canary' ELSE 'llm-baseline' END")
 HARNESS = dict(team="team", scenario_id="scenario_id", bucket="bucket", variant="variant_id")
 MODEL = dict(team="team", variant_id="variant_id", variant_type="variant_type", bucket="bucket")
 GIB = "CAST(1073741824 AS BIGINT)"
@@ -51,7 +52,7 @@ METRICS: dict[str, Spec] = {
     # gateway
     "gateway_requests_total": counter(team="team", status="status_code"),
     "lab_gateway_requests_total": counter(
-        team="team",
+        team="team", target_team="team",
         decision="CASE WHEN k % 10 = 0 THEN 'fallback' ELSE 'direct' END",
         ab_bucket="CASE WHEN user_id % 2 = 0 THEN 'A' ELSE 'B' END",
     ),
@@ -90,6 +91,13 @@ METRICS: dict[str, Spec] = {
     "vllm:num_requests_running": gauge("k % 9", tick=10, **VLLM),
     "vllm:num_requests_waiting": gauge("k % 17", tick=10, **VLLM),
     "up": gauge("CASE WHEN status = 'error' THEN 0 ELSE 1 END", tick=10, **VLLM),
+    # the same servers as the scaler and the model dashboard name them, by namespace
+    "vllm_num_requests_waiting": gauge("k % 17", tick=10, **SPACED),
+    "vllm_gpu_cache_usage_perc": gauge("CAST(k AS DOUBLE) / 128", tick=10, **SPACED),
+    "vllm_request_success_total": counter(where="status = 'success'", tick=10, **SPACED),
+    "vllm_e2e_request_latency_seconds": histogram(SECONDS, S_BOUNDS, tick=10, **SPACED),
+    "vllm_time_to_first_token_seconds": histogram(SECONDS + " / 8", S_BOUNDS, tick=10, **SPACED),
+    "vllm_request_generation_tokens": histogram("k", (8.0, 32.0, 64.0), where="status = 'success'", tick=10, **SPACED),
     # cluster
     "kube_node_info": gauge("1", node=NODE),
     "kube_namespace_created": gauge("1", namespace="team"),

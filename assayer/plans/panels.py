@@ -267,6 +267,8 @@ JUDGE = (*JOB, eq("app", "mistral-7b-judge"))
 ALL = (*JOB, re("app", "mistral-7b-.*"))
 W15 = dict(window=900, step=60)
 H1 = dict(window=3600, step=300)
+SERVERS = (re("app", "mistral-7b-.*"),)
+BASELINE = (eq("namespace", "llm-baseline"),)
 E2E, TTFT = "vllm:e2e_request_latency_seconds_bucket", "vllm:time_to_first_token_seconds_bucket"
 TPOT = "vllm:time_per_output_token_seconds_bucket"
 THROUGHPUT, CACHE = "vllm:avg_generation_throughput_toks_per_s", "vllm:gpu_cache_usage_perc"
@@ -292,7 +294,7 @@ RECORDING_RULES = [
 ]
 
 SCHEMA_PANELS = [
-    Panel("schema_request_volume_by_team", "rate", "lab_gateway_requests_total", ("team",)),
+    Panel("schema_request_volume_by_team", "rate", "lab_gateway_requests_total", ("target_team",)),
     Panel("schema_error_rate_by_variant", "share", "lab_service_requests_total", ("variant_id",), num=(re("status_code", "5.."),)),
     Panel("schema_p95_by_variant_type", "quantile", "lab_llm_e2e_duration_ms_bucket", ("variant_type",)),
     Panel("schema_ab_bucket_distribution", "increase", "lab_gateway_requests_total", ("ab_bucket",), **H1),
@@ -362,8 +364,8 @@ HEAD_TO_HEAD = [
     Panel("all_models_request_rate", "rate", SUCCESS, ("app",), ALL, covers=("M12",), **W15),
     Panel("all_models_running", "instant", RUNNING, where=ALL, step=60),
     Panel("all_models_waiting", "instant", WAITING, where=ALL, step=60, covers=("P12",)),
-    Panel("all_models_decode_time_p95", "quantile", TPOT, ("app",), ALL),
-    Panel("all_models_tokens_generated", "instant", TOKENS, where=ALL),
+    Panel("all_models_decode_time_p95", "quantile", TPOT, ("app",), SERVERS),
+    Panel("all_models_tokens_generated", "instant", TOKENS, where=SERVERS),
 ]
 
 BENCHMARK_PANELS = [
@@ -406,18 +408,20 @@ OPERATIONS_PANELS = [
     Panel("operations_error_ratio_by_team", "share", "gateway_requests_total", ("team",), num=G5XX),
     Panel("invoke_timeouts_by_endpoint", "rate", "sagemaker_invoke_errors_total", ("endpoint",), (eq("error_type", "timeout"),)),
     Panel("pods_not_ready", "instant", "kube_pod_status_ready", where=(eq("condition", "false"),), step=60, keep="value = 1", covers=("M13",)),
-    Panel("strip_active_models", "instant_agg", "up", (), (re("app", "mistral-7b-.*"),), agg="count", keep="value = 1"),
-    Panel("strip_total_rps", "rate", SUCCESS, (), (re("app", "mistral-7b-.*"),)),
+    Panel("strip_active_models", "instant_agg", "up", (), SERVERS, agg="count", keep="value = 1"),
+    Panel("strip_total_rps", "rate", SUCCESS, (), SERVERS),
     # Rounded: a mean of fractions depends on the order they are added in.
-    Panel("strip_p95_mean_of_models", "quantile_agg", E2E, ("app",), (re("app", "mistral-7b-.*"),), agg="avg", post="round(value * 1000000000) / 1000000000"),
-    Panel("strip_throughput_avg", "instant_agg", THROUGHPUT, (), (re("app", "mistral-7b-.*"),), agg="avg"),
-    Panel("queue_average", "instant_agg", WAITING, agg="avg", covers=("M13",)),
-    Panel("model_queue_depth", "instant", WAITING),
-    Panel("model_request_rate", "rate", SUCCESS),
-    Panel("model_latency_p95", "quantile", E2E),
-    Panel("model_cache_pressure", "instant", CACHE),
-    Panel("model_ttft_p95", "quantile", TTFT),
-    Panel("model_token_throughput", "rate", TOKENS),
+    Panel("strip_p95_mean_of_models", "quantile_agg", E2E, ("app",), SERVERS, agg="avg", post="round(value * 1000000000) / 1000000000"),
+    Panel("strip_throughput_avg", "instant_agg", THROUGHPUT, (), SERVERS, agg="avg"),
+    Panel("strip_waiting", "instant_agg", WAITING, (), SERVERS),
+    Panel("strip_cache_avg", "instant_agg", CACHE, (), SERVERS, agg="avg", post=PERCENT),
+    Panel("queue_average", "instant_agg", "vllm_num_requests_waiting", (), BASELINE, agg="avg", covers=("M13",)),
+    Panel("model_queue_depth", "instant", "vllm_num_requests_waiting", where=BASELINE),
+    Panel("model_request_rate", "rate", "vllm_request_success_total", where=BASELINE),
+    Panel("model_latency_p95", "quantile", "vllm_e2e_request_latency_seconds_bucket", where=BASELINE),
+    Panel("model_cache_pressure", "instant", "vllm_gpu_cache_usage_perc", where=BASELINE),
+    Panel("model_ttft_p95", "quantile", "vllm_time_to_first_token_seconds_bucket", where=BASELINE),
+    Panel("model_token_throughput", "rate", "vllm_request_generation_tokens_sum", where=BASELINE),
 ]
 
 PANELS = [
