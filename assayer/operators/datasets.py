@@ -218,12 +218,12 @@ def deduplicate(df: DataFrame, text: str, priority: str, unique: str) -> DataFra
     """One row per normalised text: best priority, then smallest id, which is unique and not null.
 
     The winner is picked on keys alone, whose copies are combined before the shuffle; a text with very many copies is
-    no hot key. Whole rows are only joined to their winners.
+    no hot key. Texts are normalised and hashed once; whole rows are only joined to their winners by id.
     """
-    keyed = df.withColumn("text_key", F.sha2(normalised(F.col(text)), 256))
+    keyed = df.select(F.sha2(normalised(F.col(text)), 256).alias("text_key"), priority, unique)
     best = keyed.groupBy("text_key").agg(F.min(F.struct(priority, unique)).alias("_best"), F.count(F.lit(1)).alias("copies"))
     winners = best.select("text_key", F.col("_best")[unique].alias(unique), "copies")
-    return keyed.join(winners, ["text_key", unique]).select("text_key", *df.columns, "copies")
+    return df.join(winners, unique).select("text_key", *df.columns, "copies")
 
 
 # ---- checks and statistics -----------------------------------------------------------------------

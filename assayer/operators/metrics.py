@@ -417,21 +417,40 @@ def threshold_level(value: Column, steps: Sequence[tuple[float | None, str]]) ->
 def breach_episodes(vector: DataFrame, by: Sequence[str], breached: Column, step_s: int) -> DataFrame:
     """Runs of consecutive breached steps per series, on evaluated rows.
 
-    A step that no breached step precedes begins a run; runs are numbered block by block of ``BREACH_BLOCK`` steps,
-    so that a vector of one series is not one task's. Labels must not be null.
+    Runs are found within blocks of ``BREACH_BLOCK`` steps, so that a vector of one series is not one task's. Only those
+    that touch a block's border, two a block at most, are then put together in order. The vector is read once.
     """
-    hits = vector.where(breached)
-    before = hits.select(*by, (F.col("eval_t") + step_s).alias("eval_t"), F.lit(0).alias("_goes_on"))
-    starts = hits.join(before, [*by, "eval_t"], "left").withColumn("_new", F.coalesce("_goes_on", F.lit(1)))
-    block = F.floor(F.col("eval_t") / (step_s * BREACH_BLOCK))
-    return (
-        running_sum(starts, list(by), block, ["eval_t"], F.col("_new"), "_ep")
-        .groupBy(*by, "_ep")
+    span = step_s * BREACH_BLOCK
+    inside = Window.partitionBy(*by, "_block").orderBy("eval_t")
+    upto = lambda w: w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    begins = F.when(F.col("eval_t") - F.lag("eval_t").over(inside) == step_s, 0).otherwise(1)
+    hits = vector.where(breached).withColumn("_block", F.floor(F.col("eval_t") / span)).withColumn("_new", begins)
+    parts = (
+        hits.withColumn("_run", F.sum("_new").over(upto(inside)))
+        .groupBy(*by, "_block", "_run")
         .agg(
             F.min("eval_t").alias("started_at"),
             F.max("eval_t").alias("ended_at"),
             F.count(F.lit(1)).alias("steps"),
             F.max("value").alias("peak"),
         )
-        .drop("_ep")
+    )
+    at_border = (F.floor((F.col("started_at") - step_s) / span) != F.col("_block")) | (
+        F.floor((F.col("ended_at") + step_s) / span) != F.col("_block")
+    )
+    own = F.when(~at_border, F.struct("_block", "_run"))  # null for all that may go on in another block
+    across = Window.partitionBy(*by, "_own").orderBy("started_at")
+    goes_on = F.when(F.col("started_at") - F.lag("ended_at").over(across) == step_s, 0).otherwise(1)
+    return (
+        parts.withColumn("_own", own)
+        .withColumn("_new", goes_on)
+        .withColumn("_episode", F.sum("_new").over(upto(across)))
+        .groupBy(*by, "_own", "_episode")
+        .agg(
+            F.min("started_at").alias("started_at"),
+            F.max("ended_at").alias("ended_at"),
+            F.sum("steps").alias("steps"),
+            F.max("peak").alias("peak"),
+        )
+        .drop("_own", "_episode")
     )

@@ -6,12 +6,13 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from assayer.functions.text import approx_tokens, normalised
+from assayer.functions.text import approx_tokens, normalised, token_counter
 from assayer.operators import datasets, sketches
 from assayer.plans import sqltext as q
 from assayer.plans import standins as v
 from assayer.plans.registry import query
 from assayer.session import shared_dir
+from assayer.shared import saved, stored
 from assayer.sources import promptsets, sinks
 
 # documents as raw prompts: source = dataset, language = scenario; every ninth has no target.
@@ -484,3 +485,91 @@ def results_table(spark, sf_dir):
     return back.groupBy("run_date").agg(
         F.count(F.lit(1)).alias("results"), F.sum("tokens_generated").alias("tokens")
     )
+
+
+# documents as plain promptset files, one per 4096 documents; a prompt is a document's digest, so that lines are alike
+# in both dialects.
+SET_LINES = 4096
+PLAIN_LINE = "concat('{\"prompt_id\":\"d-', doc_id, '\",\"scenario_id\":\"', coalesce(lang, 'none'), '\",\"prompt\":\"', %s, '\"}')"
+
+
+def plain_promptsets(spark, sf_dir, path: str):
+    """Files of JSON lines in the order of doc_id, as a generator writes them, and their lines."""
+    lines = v.table(spark, sf_dir, "documents").selectExpr(
+        f"doc_id div {SET_LINES} AS set_no", "doc_id", PLAIN_LINE % "sha2(text, 256)" + " AS line"
+    )
+    dealt = lines.repartition("set_no").sortWithinPartitions("set_no", "doc_id")
+    dealt.select("set_no", "line").write.partitionBy("set_no").text(path)
+    return lines
+
+
+@query(
+    "promptset_lines",
+    f"SELECT prompt_id, scenario_id, digest, row_number() OVER (PARTITION BY set_no ORDER BY doc_id) - 1 AS line_no FROM (SELECT doc_id, doc_id // {SET_LINES} AS set_no,"
+    " 'd-' || doc_id AS prompt_id, coalesce(lang, 'none') AS scenario_id, sha256(text) AS digest FROM documents) d",
+    [],
+    ["S1"],
+)
+def promptset_lines(spark, sf_dir):
+    """Plain files of several splits each, numbered line by line within their file."""
+    path = folder(spark, "plain")
+    plain_promptsets(spark, sf_dir, path)
+    setting = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "64k")
+    try:
+        read = promptsets.read_promptset(spark, f"{path}/*/*.txt").select("prompt_id", "scenario_id", F.col("prompt").alias("digest"), "line_no")
+        numbered = saved(read, "numbered")
+    finally:
+        spark.conf.set(setting, before)
+    return stored(spark, numbered, read)
+
+
+@query(
+    "promptset_checksums",
+    f"SELECT set_no, 'sha256:' || sha256(string_agg(line || chr(10), '' ORDER BY doc_id)) AS checksum, TRUE AS intact FROM"
+    f" (SELECT doc_id, doc_id // {SET_LINES} AS set_no, {PLAIN_LINE % 'sha256(text)'} AS line FROM documents) d GROUP BY set_no",
+    [],
+    ["A11", "S1"],
+)
+def promptset_checksums(spark, sf_dir):
+    """Digests of whole files against what their manifests state, which is made from the prompts."""
+    path = folder(spark, "checked")
+    lines = plain_promptsets(spark, sf_dir, path)
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "line"))), lambda x: x["line"])
+    whole = F.concat(F.array_join(ordered, "\n"), F.lit("\n"))
+    manifest = lines.groupBy("set_no").agg(F.concat(F.lit("sha256:"), F.sha2(whole, 256)).alias("stated"))
+    found = promptsets.file_digests(spark, f"{path}/*/*.txt")
+    found = found.select(F.regexp_extract("directory", "set_no=(.*)", 1).cast("bigint").alias("set_no"), "checksum")
+    return manifest.join(found, "set_no", "left").select("set_no", "checksum", (F.col("stated") == F.col("checksum")).alias("intact"))
+
+
+def public_encoder(name: str):
+    """An encoder of a public vocabulary file: a text's tokens, special tokens' strings read as text."""
+
+    def make():
+        import os
+
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # one task, one core
+        import public_tokenizers
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_file(str(public_tokenizers.path(name)))
+        tokenizer.encode_special_tokens = True
+        return lambda text: tokenizer.encode(text, add_special_tokens=False).ids
+
+    return make
+
+
+@query("prompt_token_counts", None, [], ["D8"])
+def prompt_token_counts(spark, sf_dir):
+    """Prompts over their token budget under a real vocabulary, by source; held against the library in tests."""
+    count = token_counter(public_encoder("byte_bpe_50k.json"))
+    docs = v.table(spark, sf_dir, "documents").select("source", count(F.col("text")).alias("tokens"), approx_tokens(F.col("text")).alias("approx"))
+    return docs.groupBy("source").agg(
+        F.count(F.lit(1)).alias("prompts"),
+        F.sum("tokens").alias("tokens"),
+        F.max("tokens").alias("longest"),
+        F.sum("approx").alias("approx_tokens"),
+        F.count(F.when(F.col("tokens") > datasets.INPUT_MAX, 1)).alias("over_limit"),
+    )

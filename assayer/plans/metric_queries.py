@@ -122,12 +122,12 @@ def latency_levels(spark, sf_dir):
 
 @query(
     "latest_queue_depth",
-    f"SELECT app, job, arg_max(value, eval_t) AS value, max(eval_t) AS eval_t FROM ({panel_sql(_panel('model_queue_depth'))}) p GROUP BY app, job",
+    f"SELECT app, namespace, arg_max(value, eval_t) AS value, max(eval_t) AS eval_t FROM ({panel_sql(_panel('model_queue_depth'))}) p GROUP BY app, namespace",
     ["requests"],
     ["P17"],
 )
 def latest_queue_depth(spark, sf_dir):
-    return m.last_non_null(_evaluated("model_queue_depth")(spark, sf_dir), ["app", "job"])
+    return m.last_non_null(_evaluated("model_queue_depth")(spark, sf_dir), ["app", "namespace"])
 
 
 @query(
