@@ -23,13 +23,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from assayer.llm.packing import tokenizer_path
-from assayer.llm.wordbatch import Recent, laid_out, repeated, split_words
+from assayer.llm.wordbatch import Recent, laid_out, repeated, slices, split_words
 
 NEVER = 1 << 60
 END = 256  # stands, behind the 256 bytes, for the sign of a word's end, which is part of the last byte
 LONG = 64  # bytes of a word; longer ones are encoded one by one
+TOGETHER = 1 << 14  # words encoded together
+SLICE = 1 << 21  # bytes of texts encoded at a time
 PAIRS = 1 << 21  # places for remembered tests of pairs of tokens, half of them used at most
-KNOWN = 1 << 17  # words of a full generation whose ids are remembered; two generations are
+KNOWN = 1 << 15  # words of a full generation whose ids are remembered; two generations are
 PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
@@ -51,7 +53,11 @@ class SuffixMatches:
                     children.append({})
                 node = following
             ends[node] = number
-        self.step = np.zeros((len(children), END + 1), np.int32)
+        # Strings that none goes on from share the row of steps of their longest proper suffix that one goes on from.
+        inner = [i for i, c in enumerate(children) if c]
+        self.row = np.zeros(len(children), np.int32)
+        self.row[inner] = np.arange(len(inner))
+        self.steps = np.zeros((len(inner), END + 1), np.int32)
         self.longest = np.full(len(children), -1, np.int32)
         self.shorter = np.full(n, -1, np.int32)
         level = [(0, 0)]  # nodes of one depth, each with that of its longest proper suffix
@@ -59,16 +65,23 @@ class SuffixMatches:
             deeper = []
             for node, back in level:
                 if node:
-                    self.step[node] = self.step[back]
                     self.longest[node] = self.longest[back]
+                    if children[node]:
+                        self.steps[self.row[node]] = self.steps[self.row[back]]
+                    else:
+                        self.row[node] = self.row[back]
                 if node in ends:
                     self.shorter[ends[node]] = self.longest[back]
                     self.longest[node] = ends[node]
                 for sign, child in children[node].items():
-                    deeper.append((child, int(self.step[node, sign]) if node else 0))
-                    self.step[node, sign] = child
+                    deeper.append((child, int(self.steps[self.row[node], sign]) if node else 0))
+                    self.steps[self.row[node], sign] = child
             level = deeper
 
+    def step(self, node, sign):
+        """The node after a sign; for numbers or arrays of them."""
+        return self.steps[self.row[node], sign]
+
 
 class PairTests:
     """Remembered answers about pairs of tokens, looked up for many pairs at once."""
@@ -181,7 +194,7 @@ class WordModel:
         node = np.zeros(len(signs), np.int32)
         for end in range(1, int(sizes.max(initial=0)) + 1):
             rows = np.flatnonzero(sizes >= end)
-            node[rows] = self.matches.step[node[rows], signs[rows, end - 1]]
+            node[rows] = self.matches.step(node[rows], signs[rows, end - 1])
             token = self.matches.longest[node[rows]]
             while True:
                 some = token >= 0
@@ -222,7 +235,7 @@ class WordModel:
         step, longest, shorter, size = self.matches.step, self.matches.longest, self.matches.shorter, self.size
         known: dict[tuple[int, int], bool] = {}
         for end, sign in enumerate(signs, 1):
-            node = step[node, sign]
+            node = step(node, sign)
             token, begin = int(longest[node]), 0
             while token >= 0:
                 begin = end - int(size[token])
@@ -250,13 +263,15 @@ class WordModel:
 
     def encode(self, words: list[bytes]) -> list[bytes]:
         """The ids of each word as native unsigned 32-bit numbers."""
-        short = [i for i, w in enumerate(words) if len(w) <= LONG]
+        order = sorted(range(len(words)), key=lambda i: len(words[i]))
+        short = sum(len(w) <= LONG for w in words)
         out = [b""] * len(words)
-        for i, ids in zip(short, self._together([words[i] for i in short])):
-            out[i] = ids
-        for i, w in enumerate(words):
-            if len(w) > LONG:
-                out[i] = self._alone(w)
+        for at in range(0, short, TOGETHER):  # words of about one length share a table
+            some = order[at : min(at + TOGETHER, short)]
+            for i, ids in zip(some, self._together([words[i] for i in some])):
+                out[i] = ids
+        for i in order[short:]:
+            out[i] = self._alone(words[i])
         return out
 
 
@@ -353,7 +368,7 @@ def words(path: str) -> Words:
 def _coded(path: str, decoded: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = words(path)
-        for batch in batches:
+        for batch in (piece for whole in batches for piece in slices(whole, "text", SLICE)):
             ids, ends = model.encode(batch.column("text"))
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids.view(np.int32)))
             columns = {"doc_id": batch.column("doc_id"), "ids": lists}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Hashable, Iterable, Sequence
+from collections.abc import Hashable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +29,17 @@ class Recent:
         self.now.update(zip(keys, found))
 
 
+def slices(batch: pa.RecordBatch, column: str, held: int) -> Iterator[pa.RecordBatch]:
+    """Runs of rows of a batch with up to ``held`` bytes in a text column each; a longer text is alone."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < batch.num_rows:
+        done = int(size[at - 1]) if at else 0
+        end = max(at + 1, int(np.searchsorted(size, done + held, "right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def split_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """(number of each part, place in it where each text begins and the last ends, distinct parts) at single spaces."""
     lists = pc.split_pattern(texts, " ")
