@@ -129,14 +129,16 @@ def stream_parts(p: Panel) -> tuple[list[str], dict[str, Column | None]]:
         return list(p.by), {"increase": None}
     if p.kind == "quantile":
         return [*p.by, "le"], {"increase": None}
+    if p.kind == "over":  # samples of both metrics in one stream, told apart by ``is_num``
+        return list(p.by), {"_n": F.col("is_num"), "_d": ~F.col("is_num")}
     raise ValueError(f"no stream form of {p.kind}")
 
 
 def finished(p: Panel, vector: DataFrame) -> DataFrame:
     """Rows (labels, eval_t, value) of a rule from the sums of :func:`stream_parts`."""
     by = list(p.by)
-    if p.kind == "share":
-        known = vector.where(F.col("_n").isNotNull())
+    if p.kind in ("share", "over"):
+        known = vector.where("_n IS NOT NULL AND _d IS NOT NULL")
         out = known.select(*by, "eval_t", metric_div(F.col("_n"), F.col("_d")).alias("value"))
     elif p.kind == "rate":
         out = vector.select(*by, "eval_t", (F.col("increase") / p.window).alias("value"))

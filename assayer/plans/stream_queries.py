@@ -136,22 +136,31 @@ def stream_counter_gains(spark, sf_dir):
     return out.select("team", "status", "from_t", "t", "gain")
 
 
+def rule_samples(spark, sf_dir, rule, path: str):
+    """(stream of the samples a rule reads, labels of their series); two metrics share a stream, marked by ``is_num``."""
+    first = sample_stream(spark, sf_dir, rule.metric, f"{path}/first").where(all_match(rule.where))
+    series = ms.series_of(rule.metric)
+    if rule.kind != "over":
+        return first, series
+    where = rule.where if rule.other_where is None else rule.other_where
+    second = sample_stream(spark, sf_dir, rule.other, f"{path}/second").where(all_match(where))
+    both = first.withColumn("is_num", F.lit(True)).unionByName(second.withColumn("is_num", F.lit(False)), allowMissingColumns=True)
+    return both, list(dict.fromkeys([*series, *ms.series_of(rule.other), "is_num"]))
+
+
 def _streamed_rule(name: str):
-    """A stored rule on a stream of its metric's samples, up to the newest evaluation time that is complete."""
+    """A stored rule on a stream of its samples, up to the newest evaluation time that is complete."""
     rule = next(p for p in panels.RECORDING_RULES if p.name == name)
     labels = " || chr(44) || ".join(rule.by)
-    sql = (
-        f"SELECT {labels} AS labels, eval_t, value FROM ({panels.panel_sql(rule)}) r"
-        f" WHERE eval_t <= (SELECT max(t) FROM ({ms.samples_sql(rule.metric)}) z)"
-    )
+    newest = " UNION ALL ".join(f"SELECT t FROM ({ms.samples_sql(x)}) z" for x in (rule.metric, rule.other) if x)
+    sql = f"SELECT {labels} AS labels, eval_t, value FROM ({panels.panel_sql(rule)}) r WHERE eval_t <= (SELECT max(t) FROM ({newest}) y)"
 
     @query("stream_" + name, sql, ["requests"], ["M8", "T-a", "T-i"])
     def build(spark, sf_dir):
         path = folder(spark, name)
-        stream = sample_stream(spark, sf_dir, rule.metric, path)
+        samples, series = rule_samples(spark, sf_dir, rule, path)
         by, parts = panels.stream_parts(rule)
-        kept = stream.where(all_match(rule.where))
-        vectors = rules.windowed_gains(kept, ms.series_of(rule.metric), by, rule.window, rule.step, "0 seconds", parts)
+        vectors = rules.windowed_gains(samples, series, by, rule.window, rule.step, "0 seconds", parts)
         with state.rocksdb(spark):
             finish(rules.rule_to_table(vectors, lambda v: panels.finished(rule, v), f"{path}/out", f"{path}/checkpoint", **NOW))
         out = spark.read.parquet(f"{path}/out")
@@ -160,7 +169,11 @@ def _streamed_rule(name: str):
     return build
 
 
-for _name in ("rule_http_request_rate", "rule_http_error_ratio", "rule_http_latency_p95", "rule_pod_restarts_increase"):
+STREAMED_RULES = (
+    "rule_http_request_rate", "rule_http_error_ratio", "rule_http_latency_p95", "rule_pod_restarts_increase",
+    "rule_variant_tokens_per_second",
+)
+for _name in STREAMED_RULES:
     _streamed_rule(_name)
 
 
