@@ -22,12 +22,13 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from assayer.llm.bpe import letter_bytes
 from assayer.llm.tables import written
-from assayer.llm.wordbatch import Recent, repeated, split_words, spread
+from assayer.llm.wordbatch import Recent, repeated, slices, split_words, spread
 
 SPACE = "▁"
 STEPS = 4  # ends tried one by one on both sides of the middle, before all others are tried at once
+SLICE = 1 << 21  # bytes of texts aligned at a time, a block
 TOGETHER = 1 << 14  # code points of short texts encoded in one call
-KNOWN = 1 << 16  # parts of a full generation that are remembered; two generations are
+KNOWN = 1 << 15  # parts of a full generation that are remembered; two generations are
 # Signs beside which a space may not part the pieces of a text: white space of any kind, marks without width, the space sign.
 _ODD = r"[\x00-\x20\x7f-\xa0\x{ad}\x{1680}\x{180e}\x{2000}-\x{200f}\x{2028}-\x{202f}\x{205f}-\x{2064}\x{3000}\x{feff}\x{2581}]"
 UNSAFE = f"(^ )|( $)|( {_ODD})|({_ODD} )"
@@ -255,7 +256,7 @@ def _aligned(path_a: str, path_b: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = aligner(path_a, path_b)
         task = TaskContext.get().partitionId() << 32
-        for number, batch in enumerate(batches):
+        for number, batch in enumerate(piece for whole in batches for piece in slices(whole, "text", SLICE)):
             found, n = both.align(batch.column("text")), batch.num_rows
             links = pa.ListArray.from_arrays(pa.array(found.bounds, pa.int32()), pa.array(found.links))
             none = pa.nulls(n, pa.list_(pa.int64()))
@@ -281,8 +282,8 @@ def align(docs: DataFrame, path_a: str | None = None, path_b: str | None = None,
 
     Rows with ``groups`` are documents: doc_id, numbers of tokens and groups, ``groups`` as ``a1,a2|b1;a3|b2,b3`` (ids
     of A, ids of B, in order) and ``links``, the places of the groups' linked pairs (both last tokens) in the block's
-    ``pairs``. Rows with ``pairs`` (id in A times 2**32, plus id in B) and ``times`` belong to a block. A block is what
-    a task reads at a time.
+    ``pairs``. Rows with ``pairs`` (id in A times 2**32, plus id in B) and ``times`` belong to a block. A block is some
+    2 MB of texts.
 
     Null and empty texts, and texts that the tokens of A or B do not spell, have no tokens. Repeated rows are aligned
     each; doc_id is carried as it is; other columns are ignored. A text fits a row.
