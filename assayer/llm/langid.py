@@ -241,12 +241,12 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
     rows = sample.select("lang", "text").mapInPandas(_features, "lang string, buckets binary, counts binary").collect()
     if not rows:
         return None
-    numbers = lambda b: np.frombuffer(bytes(b), "<u4").astype(np.int64)
-    noise = [(numbers(r["buckets"]), numbers(r["counts"])) for r in rows if r["lang"] is None]
-    rows = [r for r in rows if r["lang"] is not None]
-    rows.sort(key=lambda r: (bytes(r["buckets"]), bytes(r["counts"]), r["lang"]))
-    languages = tuple(sorted({r["lang"] for r in rows}))
-    samples = [(numbers(r["buckets"]), numbers(r["counts"]), languages.index(r["lang"])) for r in rows]
+    numbers = lambda b: np.frombuffer(b, "<u4")
+    rows = [(r["lang"], bytes(r["buckets"]), bytes(r["counts"])) for r in rows]
+    noise = [(numbers(b), numbers(n)) for lang, b, n in rows if lang is None]
+    rows = sorted((b, n, lang) for lang, b, n in rows if lang is not None)
+    languages = tuple(sorted({lang for *_, lang in rows}))
+    samples = [(numbers(b), numbers(n), languages.index(lang)) for b, n, lang in rows]
     order = np.random.default_rng(3).permutation(len(samples))
     return fit([samples[i] for i in order], noise, languages)
 
