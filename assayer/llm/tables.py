@@ -13,9 +13,9 @@ from assayer.session import shared_dir
 BATCH_BYTES = "16m"
 
 
-def small_batches(spark: SparkSession) -> SparkSession:
+def small_batches(spark: SparkSession, size: str = BATCH_BYTES) -> SparkSession:
     """Bound the memory of Python workers that are sent whole texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
     return spark
 
 
