@@ -9,9 +9,13 @@ from assayer.llm.tables import small_batches, written
 from assayer.session import configure
 
 
+# Python workers outlive a stage and keep what they have loaded for it: smaller batches leave room for that.
+BATCH = "4m"
+
+
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language the classifier, trained on this stage's own input, accepts."""
-    small_batches(spark)
+    small_batches(spark, BATCH)
     return langid.keep_known(docs)
 
 
@@ -22,19 +26,19 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the lines that an earlier document or line has."""
-    small_batches(spark)
+    small_batches(spark, BATCH)
     return linededup.cleaned(docs)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group whose SimHash fingerprints are linked within the operator's radius."""
-    small_batches(spark)
+    small_batches(spark, BATCH)
     return simhash.keep_one(docs)
 
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids."""
-    small_batches(spark)
+    small_batches(spark, BATCH)
     return packing.pack(docs).withColumn("ids_crc32", F.crc32("ids"))
 
 
