@@ -17,13 +17,14 @@ LARGEST_LEXICON = 2_000_000
 # Three random lexicon subsets for each share of 1/4, 1/16, 1/64 and 1/256 of the terms.
 SUBSET_BITS = (2, 4, 6, 8)
 PER_SHARE = 3
+FEW = 8  # a text with fewer terms in the band is told by all its terms: a number or a name does not make two texts alike
 NO_ID = -(2**63)
 ROWS_A_BLOCK = 200_000
 
 
 def subset_masks() -> list[int]:
-    """A term is in a subset if the mask's bits of its hash are all zero; the masks share no bit."""
-    masks, at = [], 0
+    """A term is in a subset if the mask's bits of its hash are all zero; the masks share no bit. The first has all terms."""
+    masks, at = [0], 0
     for bits in SUBSET_BITS:
         for _ in range(PER_SHARE):
             mask = ((1 << bits) - 1) << at
@@ -78,14 +79,14 @@ def _longs(values: np.ndarray) -> Column:
 def fingerprint(text: Column, known: Lexicon) -> Column:
     """One hash per lexicon subset of the text's sorted distinct terms in it; 0 where it has none.
 
-    A text without any term in the band uses all its terms instead. Without words all hashes are 0.
+    A text with fewer than ``FEW`` terms in the band uses all its terms instead. Without words all hashes are 0.
     """
     masks = subset_masks()
     hashed = lambda ts, m: let(F.filter(ts, lambda t: t.bitwiseAND(F.lit(m)) == 0), lambda s: F.when(F.size(s) > 0, F.xxhash64(s)).otherwise(F.lit(0)))
     prints = lambda ts: F.array(*[hashed(ts, m) for m in masks])
 
     def banded(ts: Column) -> Column:
-        return let(F.filter(ts, known.holds), lambda kept: F.when(F.size(kept) > 0, kept).otherwise(ts))
+        return let(F.filter(ts, known.holds), lambda kept: F.when(F.size(kept) >= FEW, kept).otherwise(ts))
 
     return let(F.sort_array(let(terms(text), banded)), prints)
 
@@ -139,17 +140,21 @@ def with_edits(docs: DataFrame, text: str = "text", band: Sequence[float] = BAND
     ignored.
     """
     plain = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("d"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    known = Lexicon(lexicon(plain))
+    known = Lexicon(lexicon(plain, "text", band))
     half = F.floor(F.char_length("text") / 2).cast("int")
     marked = plain.withColumn("m", F.xxhash64("text"))
     chain = written(neighbours(marked.select("d", "m", half.alias("half"))), "neighbours")
-
-    printed = marked.withColumn("fp", fingerprint(F.col("text"), known)).join(chain, ["d", "m"])
+    # Texts are fingerprinted once; after that, only prints and ids are joined to the chain.
+    prints = written(marked.select("d", "m", fingerprint(F.col("text"), known).alias("fp")).dropDuplicates(["d", "m"]), "prints")
+    thin = chain.join(prints, ["d", "m"])
+    following = thin.select(F.col("pd").alias("d"), F.col("pm").alias("m"), F.col("fp").alias("next_fp"))
+    printed = marked.join(thin.select("d", "m", "fp").join(following, ["d", "m"]), ["d", "m"])
     once = Window.partitionBy("d", "m").orderBy("half")
     gifts = (
-        printed.withColumn("rank", F.row_number().over(once))
+        marked.join(chain, ["d", "m"])
+        .withColumn("rank", F.row_number().over(once))
         .where("rank = 1")
-        .select(F.col("pd").alias("d"), F.col("pm").alias("m"), F.col("text").substr(F.lit(1), F.col("half")).alias("gift"), F.col("fp").alias("next_fp"))
+        .select(F.col("pd").alias("d"), F.col("pm").alias("m"), F.col("text").substr(F.lit(1), F.col("half")).alias("gift"))
     )
     n = F.char_length("text")
     joined = printed.join(gifts, ["d", "m"])

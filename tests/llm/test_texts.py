@@ -27,7 +27,7 @@ def signed(x):
     return x - 2**64 if x >= 2**63 else x
 
 
-def brute_imatch(rows):
+def brute_imatch(rows, band=imatch.BAND):
     """The query's result from (doc_id, text), without duplicates in doc_id."""
     split = lambda t: {w for w in re.split("[\x20\x09-\x0d]+", t.lower()) if w}
     rows = sorted(((i, t or "") for i, t in rows), key=lambda r: -r[0])
@@ -36,11 +36,11 @@ def brute_imatch(rows):
         for w in split(t):
             counts[w] = counts.get(w, 0) + 1
     n = len(rows)
-    lexicon = {w for w, c in counts.items() if max(2, imatch.BAND[0] * n) <= c <= imatch.BAND[1] * n}
+    lexicon = {w for w, c in counts.items() if max(2, band[0] * n) <= c <= band[1] * n}
 
     def prints(t):
         ws = split(t)
-        terms = sorted(signed(hashed(w)) for w in (ws & lexicon or ws))
+        terms = sorted(signed(hashed(w)) for w in (ws & lexicon if len(ws & lexicon) >= imatch.FEW else ws))
         kept = [[x for x in terms if x & m == 0] for m in imatch.subset_masks()]
         return [hashed(*k) if k else 0 for k in kept]
 
@@ -65,6 +65,22 @@ def test_imatch_of_the_given_tables(spark, sf):
     assert got == want
 
 
+def test_unrelated_texts_with_one_common_word_are_told_apart(spark):
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(40)) + (" 2024" if i < 12 else "")) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, body string").withColumn("text", F.lit("other"))
+    found = imatch.with_edits(df, text="body", band=(0.01, 0.1)).collect()
+    assert len({r["fingerprint"] for r in found}) == 200
+    assert all(r["near_next"] == 0 and r["fingerprint"].strip("0") for r in found)
+
+
+def test_the_band_is_a_parameter(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    band = (0.05, 0.6)
+    got = {r[0]: tuple(r[1:]) for r in imatch.with_edits(docs, band=band).collect()}
+    want = brute_imatch([tuple(r) for r in docs.collect()], band)
+    assert got == want and want != brute_imatch([tuple(r) for r in docs.collect()])
+
+
 def test_imatch_edges(spark, edges, none):
     rows = imatch.with_edits(edges).collect()
     assert len(rows) == len(EDGE_ROWS)
@@ -232,3 +248,24 @@ def test_sentencepiece_edges(spark, edges, none):
     want = sorted((i or 0, model.encode(t or ""), t or "") for i, t, _ in EDGE_ROWS)
     assert sorted((r["doc_id"] or 0, r["ids"], r["text"]) for r in out) == want
     assert subwords.encode(none).count() == 0
+
+
+def test_chunks_decode_to_the_whole_text(spark, edges):
+    rows = subwords.encode(edges, chunk=2000, decoded=True).collect()
+    model = pieces.pieces(pieces.model_path()).model
+    assert len(rows) == len(EDGE_ROWS)
+    assert all(r["decoded"] == model.decode(r["ids"]) for r in rows)
+    spaced = [(1, "  a  bc " * 900 + "é中😀\n" * 700), (2, " " * 5000), (3, "▁x" * 3000)]
+    found = subwords.encode(spark.createDataFrame(spaced, "doc_id long, text string"), chunk=500, decoded=True).collect()
+    for r in found:
+        assert r["ids"] == model.encode(dict(spaced)[r["doc_id"]]) and r["decoded"] == model.decode(r["ids"])
+
+
+def test_op8_is_the_library_on_the_whole_table(spark, sf):
+    model = pieces.pieces(pieces.model_path()).model
+    want = []
+    for d in spark.read.parquet(f"{sf}/documents.parquet").collect():
+        ids = model.encode(d["text"] or "")
+        digest = [hashlib.sha256(x.encode()).hexdigest() for x in (" ".join(map(str, ids)), model.decode(ids))]
+        want.append((d["doc_id"], len(ids), *digest))
+    assert sorted(map(tuple, subwords.op8_sentencepiece(spark, sf).collect())) == sorted(want)
