@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
-from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from assayer.operators import runs
+
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -103,20 +104,28 @@ def counter_gains(samples: DataFrame, series: Sequence[str], delay: str, ts: str
     return out.withColumnsRenamed(dict(zip(names, series)))
 
 
-NEW_RUN = (-1, "pending", 0, 0, 0)
-# The states in which a run ends.
-FINISHED = ("completed", "failed")
+# Fixed value: parts that runs are dealt to by a hash of their id. A batch reads and writes the parts its changes fall into.
+PARTS = 4096
+HELD = {"run_id": "string", "seq": "bigint", "status": "string", "done": "bigint", "last_ms": "bigint", "due_ms": "bigint"}
+
 
+def _newest(changes: pd.DataFrame) -> pd.DataFrame:
+    """One row per run: the status of its newest change, ties as in ``runs.latest_status``; finished calls; last time."""
+    ordered = changes.assign(ended=changes["status"].isin(runs.FINISHED)).sort_values(["seq", "ended", "status"])
+    last = dict(seq=("seq", "last"), status=("status", "last"), done=("done", "sum"), last_ms=("last_ms", "max"))
+    return ordered.groupby("run_id", sort=False, dropna=False).agg(**last).reset_index()
 
-def _plain(value: Any) -> Any:
-    return value if isinstance(value, str) else int(value)
+
+def _shown(found: pd.DataFrame, expired: bool) -> pd.DataFrame:
+    return found[["run_id", "seq", "status", "done"]].assign(expired=expired)
 
 
 class RunState(StatefulProcessor):
-    """Newest status of a run and how many calls it has finished in all.
+    """Newest status of the runs of one part and how many calls each has finished in all.
 
     A run that has ended is forgotten ``keep_ms`` of event time after its last change: one more row with ``expired``
-    says so. A later change reopens it from nothing.
+    says so. A later change reopens it from nothing. Runs of a part are changed together, column by column; the state is
+    asked a few times for each part and batch, and one timer waits for the part's next end.
     """
 
     def __init__(self, keep_ms: int | None) -> None:
@@ -124,62 +133,74 @@ class RunState(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("run", "seq bigint, status string, done bigint, last_ms bigint, timer_ms bigint")
-
-    def _row(self, key, seq: int, status: str, done: int, expired: bool) -> pd.DataFrame:
-        return pd.DataFrame({"run_id": [key[0]], "seq": [seq], "status": [status], "done": [done], "expired": [expired]})
+        arrays = ", ".join(f"{name} array<{kind}>" for name, kind in HELD.items())
+        self.state = handle.getValueState("runs", f"{arrays}, timer_ms bigint")
+
+    def _held(self) -> tuple[pd.DataFrame, int]:
+        found = self.state.get() if self.state.exists() else None
+        columns = [[] for _ in HELD] if found is None else found[:-1]
+        kinds = {name: "object" if kind == "string" else "int64" for name, kind in HELD.items()}
+        return pd.DataFrame(dict(zip(HELD, map(list, columns)))).astype(kinds), 0 if found is None else int(found[-1])
+
+    def _hold(self, held: pd.DataFrame, timer: int) -> None:
+        ends = held["due_ms"][held["due_ms"] > 0]
+        due = int(ends.min()) if len(ends) else 0
+        if timer and timer != due:
+            self.handle.deleteTimer(timer)
+        if due and due != timer:
+            self.handle.registerTimer(due)
+        if len(held):
+            ids = held["run_id"].where(held["run_id"].notna(), None)
+            self.state.update((*(held.assign(run_id=ids)[name].tolist() for name in HELD), due))
+        else:
+            self.state.clear()
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        seq, status, done, last, timer = map(_plain, self.state.get()) if self.state.exists() else NEW_RUN
-        changes = pd.concat(list(rows)).sort_values("seq")
-        if self.keep_ms is not None:
-            after = changes["ts_ms"] >= timer
-            if timer and after.any():  # by its own time a change behind the run's end belongs to a new run
-                before, changes = changes[~after], changes[after]
-                if len(before):
-                    seq, status, done, last = self._changed(before, seq, status, done, last)
-                if not len(before) or status in FINISHED:
-                    yield self._row(key, seq, status, done, True)
-                    seq, status, done, last, _ = NEW_RUN
-        seq, status, done, last = self._changed(changes, seq, status, done, last)
-        if self.keep_ms is not None:
-            due = last + self.keep_ms if status in FINISHED else 0
-            if timer and timer != due:
-                self.handle.deleteTimer(timer)
-            if due and due != timer:
-                self.handle.registerTimer(due)
-            timer = due
-        self.state.update((seq, status, done, last, timer))
-        yield self._row(key, seq, status, done, False)
-
-    def _changed(self, changes: pd.DataFrame, seq: int, status: str, done: int, last: int) -> tuple[int, str, int, int]:
-        newest = changes.iloc[-1]
-        if newest["seq"] > seq:
-            seq, status = int(newest["seq"]), str(newest["status"])
-        last = max(last, int(changes["ts_ms"].max())) if self.keep_ms is not None else last
-        return seq, status, done + int(changes["done"].sum()), last
+        changes = pd.concat(list(rows), ignore_index=True)
+        changes = changes.assign(last_ms=0) if self.keep_ms is None else changes.rename(columns={"ts_ms": "last_ms"})
+        held, timer = self._held()
+        touched = held["run_id"].isin(changes["run_id"])
+        before, others = held[touched], held[~touched]
+        due = changes[["run_id"]].merge(before[["run_id", "due_ms"]], "left", "run_id")["due_ms"].fillna(0)
+        after = (due.to_numpy() > 0) & (changes["last_ms"] >= due.to_numpy())
+        if after.any():  # by its own time a change behind the run's end belongs to a new run
+            met, meets = before["run_id"].isin(changes["run_id"][after]), changes["run_id"].isin(changes["run_id"][after])
+            closing = _newest(pd.concat([before[met], changes[meets & ~after]]))
+            ended = closing["status"].isin(runs.FINISHED)
+            if ended.any():
+                yield _shown(closing[ended], True)
+            before, changes = pd.concat([before[~met], closing[~ended]]), changes[after | ~meets]
+        now = _newest(pd.concat([before, changes]))
+        ended = now["status"].isin(runs.FINISHED) & (self.keep_ms is not None)
+        now["due_ms"] = (now["last_ms"] + (self.keep_ms or 0)).where(ended, 0)
+        self._hold(pd.concat([others, now]), timer)
+        yield _shown(now, False)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if not self.state.exists():
-            return
-        seq, status, done, _, _ = self.state.get()
-        self.state.clear()
-        yield self._row(key, int(seq), status, int(done), True)
+        held, _ = self._held()
+        over = (held["due_ms"] > 0) & (held["due_ms"] <= timerValues.getCurrentWatermarkInMs())
+        self._hold(held[~over], 0)
+        if over.any():
+            yield _shown(held[over], True)
 
     def close(self) -> None:
         pass
 
 
-def run_states(changes: DataFrame, keep_ms: int | None = None, delay: str = "0 seconds", ts: str = "ts") -> DataFrame:
+def run_states(
+    changes: DataFrame, keep_ms: int | None = None, delay: str = "0 seconds", ts: str = "ts", parts: int = PARTS
+) -> DataFrame:
     """Rows (run_id, seq, status, done, expired) from a stream of changes (run_id, seq, status, done).
 
     ``done`` of a change counts the calls it finishes; the state adds them up, as ``runs.latest_status`` does in a
     batch. With ``keep_ms``, changes carry the event time ``ts`` and ended runs are forgotten that long after their last
-    change by event time, so a finite stream ends; without it, nothing is forgotten.
+    change by event time, so a finite stream ends; without it, nothing is forgotten. ``parts`` stays as it is for the
+    life of a checkpoint.
     """
     if keep_ms is not None:
         changes = changes.withWatermark(ts, delay).withColumn("ts_ms", F.unix_millis(ts))
-    return changes.groupBy("run_id").transformWithStateInPandas(
+    dealt = changes.withColumn("part", F.pmod(F.xxhash64("run_id"), F.lit(parts)))
+    return dealt.groupBy("part").transformWithStateInPandas(
         RunState(keep_ms),
         outputStructType="run_id string, seq bigint, status string, done bigint, expired boolean",
         outputMode="update",

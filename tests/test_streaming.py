@@ -171,3 +171,30 @@ def test_late_rows_are_counted(spark, tmp_path):
     windows.reject_late(stream, now, str(tmp_path / "ok"), str(tmp_path / "no"), str(tmp_path / "cp"), **NOW).awaitTermination(90)
     assert spark.read.parquet(str(tmp_path / "ok")).count() == 8
     assert spark.read.parquet(str(tmp_path / "no")).agg(F.sum("rejected")).first()[0] == 2
+
+
+class RunEntry(Entry):
+    def clear(self):
+        self._do(self.held.clear())
+
+
+class RunHandle(Handle):
+    def getValueState(self, *_):
+        self.entries.append(RunEntry())
+        return self.entries[-1]
+
+    def deleteTimer(self, ms):
+        self.timers.discard(ms)
+
+
+def test_a_part_of_many_runs_asks_the_store_a_few_times(spark):
+    ids = [f"r{i}" for i in range(5000)]
+    changes = pd.DataFrame({"run_id": ids, "seq": 1, "status": ["failed", "running"] * 2500, "done": 1, "ts_ms": range(5000)})
+    states, handle = state.RunState(60_000), RunHandle()
+    states.init(handle)
+    out = pd.concat(states.handleInputRows((0,), iter([changes]), None))
+    assert len(out) == 5000 and handle.asked <= 3 and handle.timers == {60_000}
+    at_end = type("Now", (), {"getCurrentWatermarkInMs": lambda self: 62_000})()
+    gone = pd.concat(states.handleExpiredTimer((0,), at_end, None))
+    assert gone["run_id"].tolist() == ids[:2001:2] and gone["expired"].all()
+    assert handle.timers == {60_000, 62_002} and handle.asked <= 6  # the timer that has expired is the store's to drop
