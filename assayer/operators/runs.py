@@ -123,11 +123,15 @@ def recent_runs(summaries: DataFrame, n: int = 50) -> DataFrame:
 
 
 def latest_status(changes: DataFrame) -> DataFrame:
-    """Newest status per run from its change log, and how many calls its changes finish together."""
-    return changes.groupBy("run_id").agg(
-        F.max_by("status", "seq").alias("status"),
-        F.max("seq").alias("seq"),
-        F.sum("done").alias("done"),
+    """Newest status per run from its change log, and how many calls its changes finish together.
+
+    Of changes with one number, those that end the run come last, then the greatest status does.
+    """
+    newest = F.max(F.struct("seq", F.col("status").isin(*FINISHED).alias("ended"), "status"))
+    return (
+        changes.groupBy("run_id")
+        .agg(newest.alias("n"), F.sum("done").alias("done"))
+        .select("run_id", F.col("n.status").alias("status"), F.col("n.seq").alias("seq"), "done")
     )
 
 

@@ -198,3 +198,17 @@ def test_a_part_of_many_runs_asks_the_store_a_few_times(spark):
     gone = pd.concat(states.handleExpiredTimer((0,), at_end, None))
     assert gone["run_id"].tolist() == ids[:2001:2] and gone["expired"].all()
     assert handle.timers == {60_000, 62_002} and handle.asked <= 6  # the timer that has expired is the store's to drop
+
+
+def test_changes_with_one_number_have_one_order(spark):
+    schema = "run_id string, seq bigint, status string, done bigint"
+    tied = [("r", 1, "failed", 1), ("r", 1, "running", 1), ("r", 1, "completed", 1)]
+    for rows in (tied, tied[::-1], tied[1:] + tied[:1]):
+        assert [tuple(r) for r in runs.latest_status(spark.createDataFrame(rows, schema).coalesce(1)).collect()] == [("r", "failed", 1, 3)]
+        for cut in (1, 2, 3):  # in one batch or several
+            states, handle = state.RunState(None), RunHandle()
+            states.init(handle)
+            for part in filter(None, (rows[:cut], rows[cut:])):
+                changes = pd.DataFrame(part, columns=["run_id", "seq", "status", "done"])
+                out = pd.concat(states.handleInputRows((0,), iter([changes]), None))
+            assert out[["run_id", "seq", "status", "done"]].values.tolist() == [["r", 1, "failed", 3]]
