@@ -174,3 +174,16 @@ def test_node_cpu_averages_idle_cores(spark):
     idle = m.aggregate(m.rate(samples, series, series, 300, 30), "avg", ["node"])
     used = 100 - idle.where("eval_t = 600").first().value * 100
     assert abs(used - 14.5) < 1e-9  # last minus first sample of the window [300, 600): 285 of 300 seconds
+
+
+SPACED_PANELS = ["queue_average", "model_queue_depth", "model_request_rate", "model_latency_p95", "model_cache_pressure", "model_ttft_p95", "model_token_throughput"]
+
+
+@pytest.mark.parametrize("name", SPACED_PANELS)
+def test_model_panels_by_namespace_leave_out_no_server(spark, name):
+    from assayer.functions.labels import all_match
+    from assayer.plans import metric_standins as ms
+
+    panel, folder = next(p for p in PANELS if p.name == name), "/root/testdata/sf0.001"
+    samples = ms.samples(spark, folder, panel.metric)
+    assert samples.where(all_match(panel.where)).count() == samples.count() > 0
