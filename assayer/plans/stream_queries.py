@@ -121,15 +121,15 @@ def sample_stream(spark, sf_dir, metric: str, path: str):
     "stream_counter_gains",
     "WITH s AS (" + ms.samples_sql("gateway_requests_total") + "), g AS (SELECT team, status, lag(t) OVER w AS from_t, t, CASE WHEN value < lag(value) OVER w THEN value"
     " ELSE value - lag(value) OVER w END AS gain FROM s WINDOW w AS (PARTITION BY team, status ORDER BY t))"
-    " SELECT team, status, from_t, t, gain FROM g WHERE gain IS NOT NULL AND t // 30 * 30 + 30 <= (SELECT max(t) FROM s)",
+    " SELECT team, status, from_t, t, gain FROM g WHERE gain IS NOT NULL AND t < (SELECT max(t) FROM s)",
     ["requests"],
     ["T-h", "M2"],
 )
 def stream_counter_gains(spark, sf_dir):
-    # Gains of the bucket of time that has not ended with the newest sample still wait.
+    # A bucket for each scrape, so that only the gains of the newest one still wait.
     path = folder(spark, "samples")
     stream = sample_stream(spark, sf_dir, "gateway_requests_total", path)
-    gains = state.counter_gains(stream, ["team", "status"], "0 seconds")
+    gains = state.counter_gains(stream, ["team", "status"], "0 seconds", bucket_s=ms.spec_of("gateway_requests_total")[0].tick)
     with state.rocksdb(spark):
         finish(windows.to_table(gains, f"{path}/out", f"{path}/checkpoint", **NOW))
     out = spark.read.schema(gains.schema).parquet(f"{path}/out")

@@ -212,3 +212,14 @@ def test_changes_with_one_number_have_one_order(spark):
                 changes = pd.DataFrame(part, columns=["run_id", "seq", "status", "done"])
                 out = pd.concat(states.handleInputRows((0,), iter([changes]), None))
             assert out[["run_id", "seq", "status", "done"]].values.tolist() == [["r", 1, "failed", 3]]
+
+
+def test_only_gains_of_the_newest_scrape_wait(spark):
+    from assayer.plans import metric_standins as ms
+    from assayer.plans.catalog import QUERIES
+
+    folder, series = "/root/testdata/sf0.001", ["team", "status"]
+    samples = ms.samples(spark, folder, "gateway_requests_total")
+    firsts, newest = samples.select(*series).distinct().count(), samples.agg(F.max("t")).first()[0]
+    waiting = samples.where(F.col("t") == newest).count()
+    assert QUERIES["stream_counter_gains"].build(spark, folder).count() == samples.count() - firsts - waiting
