@@ -614,7 +614,7 @@ def _echo_client():
     """Stands in for a model: answers with the first words of the prompt."""
 
     def answer(batch):
-        words = batch["prompt"].str.split(" ").str[:3].str.join(" ")
+        words = batch["prompt"].str.split(" ", n=3).str[:3].str.join(" ")
         return batch[["doc_id", "max_tokens"]].assign(output=words)
 
     return answer

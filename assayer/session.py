@@ -16,6 +16,8 @@ SQL_SETTINGS = {
     # Merge the sessions of a busy trace before they are shuffled.
     "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
+    # Python gets batches of so many bytes, else of 10,000 rows however long their texts are.
+    "spark.sql.execution.arrow.maxBytesPerBatch": "4m",
 }
 
 

@@ -132,6 +132,13 @@ def test_model_hook_fills_the_token_default(spark):
     assert sorted(map(tuple, out.collect())) == [(1, 100), (2, 7)]
 
 
+def test_model_client_gets_batches_of_bounded_size(spark):
+    calls = spark.range(3000, numPartitions=1).selectExpr("id", "repeat(concat('ab ', id), 1500) AS prompt")
+    client = lambda: lambda b: b[["id"]].assign(size=int(b["prompt"].str.len().sum()))
+    rows = model.call_model(calls, client, "id bigint, size bigint").collect()
+    assert len(rows) == 3000 and max(r.size for r in rows) < 6_000_000
+
+
 # ---- routing ---------------------------------------------------------------------------------------
 
 ROUTES = '{"a": {"url": "u", "ab_variants": {"x": {"weight": 3}, "y": {"weight": 1}, "z": {}}}, "b": {"url": "u", "timeout_ms": 5, "ab_variants": {"x": {"weight": 0}}}, "c": {"url": "u"}}'
