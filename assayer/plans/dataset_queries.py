@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from assayer.functions.text import approx_tokens, normalised, token_counter
+from assayer.functions.text import BYTE_LEVEL_PART, approx_tokens, normalised, token_counter
 from assayer.operators import datasets, sketches
 from assayer.plans import sqltext as q
 from assayer.plans import standins as v
@@ -564,7 +564,7 @@ def public_encoder(name: str):
 @query("prompt_token_counts", None, [], ["D8"])
 def prompt_token_counts(spark, sf_dir):
     """Prompts over their token budget under a real vocabulary, by source; held against the library in tests."""
-    count = token_counter(public_encoder("byte_bpe_50k.json"))
+    count = token_counter(public_encoder("byte_bpe_50k.json"), BYTE_LEVEL_PART)
     docs = v.table(spark, sf_dir, "documents").select("source", count(F.col("text")).alias("tokens"), approx_tokens(F.col("text")).alias("approx"))
     return docs.groupBy("source").agg(
         F.count(F.lit(1)).alias("prompts"),

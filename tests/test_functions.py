@@ -96,3 +96,27 @@ def test_token_counter_hook(spark):
     count = text.token_counter(lambda: str.split)
     df = spark.createDataFrame([("a b c",), (None,)], "t string")
     assert [r.n for r in df.select(count(F.col("t")).alias("n")).collect()] == [3, None]
+
+
+def test_token_counts_by_parts_are_those_of_whole_texts(spark):
+    import random
+
+    from assayer.plans.dataset_queries import public_encoder
+
+    rng, encode = random.Random(3), public_encoder("byte_bpe_50k.json")()
+    signs = ["a", "word", "Don't", "!", "?!", "12", "é", "日本", " ", "  ", "\n", "\t", "\r\n", "\x1c", "\x85", "\xa0", "\u180e", "\u200b", "\u3000", "<|endoftext|>"]
+    texts = ["", " ", "a ", " a  b\n c"] + ["".join(rng.choices(signs, k=rng.randrange(1, 30))) for _ in range(3000)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    count = text.token_counter(public_encoder("byte_bpe_50k.json"), text.BYTE_LEVEL_PART)
+    got = {r.t: r.n for r in df.select("t", count(F.col("t")).alias("n")).collect()}
+    assert got == {t: len(encode(t)) for t in texts}
+
+
+def test_token_counter_remembers_parts(spark):
+    def make():
+        calls = []
+        return lambda t: calls.append(t) or calls
+
+    df = spark.createDataFrame([("a a a a",)], "t string").coalesce(1)
+    # Each call returns one more: " a" is encoded once, "a" once.
+    assert df.select(text.token_counter(make, text.BYTE_LEVEL_PART)(F.col("t"))).first()[0] == 1 + 2 * 3
