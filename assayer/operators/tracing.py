@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from assayer.functions.ordered import BLOCK
-from assayer.shared import removed, saved, stored
+from assayer.shared import saved, stored
 
 CHILDREN = 4096  # children of a span that one task looks at in order, on average
 
@@ -21,69 +21,86 @@ def distinct_spans(spans: DataFrame) -> DataFrame:
     return spans.where("trace_id IS NOT NULL AND span_id IS NOT NULL").groupBy(*IDS).agg(least).select(*IDS, "s.*")
 
 
+def numbered(spans: DataFrame) -> DataFrame:
+    """Distinct spans with a number ``n`` each, written to the shared folder: ids are long and would be shuffled often."""
+    own = spans.withColumn("n", F.monotonically_increasing_id())
+    return stored(spans.sparkSession, saved(own, "spans"), own)
+
+
+def links(own: DataFrame) -> DataFrame:
+    """Numbered spans with their parent's number ``up`` and its times; the only join by the ids themselves."""
+    up = own.select("trace_id", F.col("span_id").alias("parent_span_id"), F.col("n").alias("up"), F.col("start_us").alias("_from"), F.col("end_us").alias("_to"))
+    linked = own.join(up, ["trace_id", "parent_span_id"], "left")
+    top = F.when(F.col("up").isNull(), F.col("span_id")).alias("root_span_id")
+    lost = (F.col("up").isNull() & F.col("parent_span_id").isNotNull()).alias("orphaned")
+    linked = linked.select("n", "up", top, lost, "start_us", "end_us", "_from", "_to")
+    return stored(own.sparkSession, saved(linked, "links"), linked)
+
+
 def ancestry(spans: DataFrame) -> DataFrame:
     """(trace_id, span_id, root_span_id, depth, link) of distinct spans, by pointer doubling.
 
-    A pointer leads from each span to an ancestor; in each round it moves on to that ancestor's own, so a chain of n
-    spans is done in about log2(n) rounds. ``link`` is ``rooted``; ``orphaned`` below a span whose parent is not in the
-    trace, which then counts as root; or ``circular`` for spans whose ancestors form a ring, without root and depth.
+    ``link`` is ``rooted``; ``orphaned`` below a span whose parent is not in the trace, which then counts as root; or
+    ``circular`` for spans whose ancestors form a ring, without root and depth.
+    """
+    own = numbered(spans.select(*IDS, "parent_span_id", "start_us", "end_us"))
+    return own.select(*IDS, "n").join(climbed(own, links(own)), "n").drop("n")
+
 
-    Only ids are shuffled, and joined on trace and span, so that a busy trace spreads over all tasks; many children of
-    one span are hot on the side that AQE splits. A round's pointers are written to the shared folder.
+def climbed(own: DataFrame, linked: DataFrame) -> DataFrame:
+    """(n, root_span_id, depth, link) of numbered spans.
+
+    A pointer leads from each span to an ancestor; in each round it moves on to that ancestor's own, so a chain of n
+    spans is done in about log2(n) rounds. Only numbers and found roots are shuffled, and joined on the span, so that a
+    busy trace spreads over all tasks; many children of one span are hot on the side that AQE splits. A round writes to
+    the shared folder what it has moved; spans whose root is found stay where they were written.
     """
-    spark = spans.sparkSession
-    own = spans.select(*IDS, "parent_span_id")
-    known = own.select("trace_id", F.col("span_id").alias("parent_span_id"), F.lit(True).alias("_known"))
-    linked = own.join(known, ["trace_id", "parent_span_id"], "left")
-    top = F.col("_known").isNull()
-    state = linked.select(
-        *IDS,
-        F.when(~top, F.col("parent_span_id")).alias("to"),
-        F.when(top, 0).otherwise(1).cast("bigint").alias("hops"),
-        F.when(top, F.col("span_id")).alias("root_span_id"),
-        (top & F.col("parent_span_id").isNotNull()).alias("orphaned"),
-    )
-    like, path = state, saved(state, "spans")
-    state = stored(spark, path, like)
+    spark = own.sparkSession
+    hops = F.when(F.col("up").isNull(), 0).otherwise(1).cast("bigint")
+    state = linked.select("n", F.col("up").alias("to"), hops.alias("hops"), "root_span_id", "orphaned")
+    found, on_way = state.where("root_span_id IS NOT NULL"), state.where("root_span_id IS NULL")
     # No way up is longer than the largest trace; what is still on its way then goes round.
-    longest = state.groupBy("trace_id").count().agg(F.max("count")).first()[0] or 0
+    longest = own.groupBy("trace_id").count().agg(F.max("count")).first()[0] or 0
     reach = 1
-    while reach < longest and not state.where("root_span_id IS NULL").isEmpty():
-        above = state.select(
-            "trace_id",
-            F.col("span_id").alias("to"),
+    while reach < longest and not on_way.isEmpty():
+        above = found.unionByName(on_way).select(
+            F.col("n").alias("to"),
             F.col("to").alias("_to"),
             F.col("hops").alias("_hops"),
             F.col("root_span_id").alias("_root"),
             F.col("orphaned").alias("_orphaned"),
         )
-        moved = state.where("root_span_id IS NULL").join(above, ["trace_id", "to"]).select(
-            *IDS,
+        moved = on_way.select("n", "to", "hops").join(above, "to").select(
+            "n",
             F.col("_to").alias("to"),
             (F.col("hops") + F.col("_hops")).alias("hops"),
             F.col("_root").alias("root_span_id"),
             F.col("_orphaned").alias("orphaned"),
         )
-        before, path = path, saved(state.where("root_span_id IS NOT NULL").unionByName(moved), "spans")
-        state = stored(spark, path, like)
-        removed(spark, before)
+        moved = stored(spark, saved(moved, "moved"), moved)
+        found, on_way = found.unionByName(moved.where("root_span_id IS NOT NULL")), moved.where("root_span_id IS NULL")
         reach *= 2
     rooted = F.col("root_span_id").isNotNull()
     link = F.when(~rooted, "circular").when(F.col("orphaned"), "orphaned").otherwise("rooted")
-    return state.select(*IDS, "root_span_id", F.when(rooted, F.col("hops")).alias("depth"), link.alias("link"))
+    return found.unionByName(on_way).select("n", "root_span_id", F.when(rooted, F.col("hops")).alias("depth"), link.alias("link"))
 
 
 def covered(spans: DataFrame, children: int = CHILDREN) -> DataFrame:
-    """(trace_id, span_id, children, covered_us): a span's children and how much of its time they cover together.
+    """(trace_id, span_id, children, covered_us): a span's children and how much of its time they cover together."""
+    keys = ["trace_id", "parent_span_id"]
+    parents = spans.select("trace_id", F.col("span_id").alias("parent_span_id"), F.col("start_us").alias("_from"), F.col("end_us").alias("_to"))
+    kids = spans.where("parent_span_id IS NOT NULL").select(*keys, "start_us", "end_us")
+    return cover(kids.join(parents, keys), keys, children).withColumnRenamed("parent_span_id", "span_id")
+
+
+def cover(kids: DataFrame, keys: list[str], children: int = CHILDREN) -> DataFrame:
+    """(keys, children, covered_us) from children (start_us, end_us) with their parent's keys and times (_from, _to).
 
     Children may overlap and may reach beyond the span. Each adds the time between the latest end before it and its own
     end. That running maximum is taken within blocks of a span's time, sized by its number of children, and carried
     from block to block through one row per block.
     """
-    keys = ["trace_id", "parent_span_id"]
-    parents = spans.select("trace_id", F.col("span_id").alias("parent_span_id"), F.col("start_us").alias("_from"), F.col("end_us").alias("_to"))
-    kids = spans.where("parent_span_id IS NOT NULL").select(*keys, "start_us", "end_us")
-    inside = kids.join(parents, keys).select(
+    inside = kids.select(
         *keys,
         "_from",
         "_to",
@@ -101,7 +118,7 @@ def covered(spans: DataFrame, children: int = CHILDREN) -> DataFrame:
     local = cut.withColumn("_local", F.max("b").over(earlier(BLOCK).orderBy("a"))).join(blocks, [*keys, BLOCK])
     reached = F.greatest("_local", "_carried", "a")  # greatest passes over nulls
     return (
-        local.groupBy("trace_id", F.col("parent_span_id").alias("span_id"))
+        local.groupBy(*keys)
         .agg(F.max("children").alias("children"), F.sum(F.greatest(F.lit(0), F.col("b") - reached)).alias("covered_us"))
     )
 
@@ -112,14 +129,13 @@ def span_trees(spans: DataFrame) -> DataFrame:
     Rows (trace_id, span_id, root_span_id, depth, link, children, self_us): see :func:`ancestry`; ``self_us`` is the
     span's time less the part that its children cover. A span that ends before it starts has no time.
     """
-    own = distinct_spans(spans)
-    path = saved(own, "distinct-spans")  # read by both halves
-    own = stored(spans.sparkSession, path, own)
+    own = numbered(distinct_spans(spans))
+    linked = links(own)
     took = F.greatest(F.lit(0), F.col("end_us") - F.col("start_us"))
     return (
-        own.select(*IDS, took.alias("_took"))
-        .join(ancestry(own), IDS)
-        .join(covered(own), IDS, "left")
+        own.select(*IDS, "n", took.alias("_took"))
+        .join(climbed(own, linked), "n")
+        .join(cover(linked.where("up IS NOT NULL"), ["up"]).withColumnRenamed("up", "n"), "n", "left")
         .select(
             *IDS, "root_span_id", "depth", "link",
             F.coalesce("children", F.lit(0)).alias("children"),
