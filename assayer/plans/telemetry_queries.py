@@ -34,8 +34,11 @@ SPANS_SQL = (
 
 
 def spans(spark, sf_dir):
-    """All three spans of a request from one scan."""
-    r = v.requests(spark, sf_dir)
+    return spans_of(v.requests(spark, sf_dir))
+
+
+def spans_of(r, *more: str):
+    """All three spans of a request from one scan, with further columns of the request."""
     rid = F.col("request_id").cast("string")
 
     def sid(prefix: str):
@@ -57,7 +60,7 @@ def spans(spark, sf_dir):
     trace = F.substring(F.sha2(F.expr("user_id || ':' || us div 3600000000"), 256), 1, 32)
     return r.select(
         trace.alias("trace_id"), F.col("us").alias("start_us"), "status", "request_id", "team", "k",
-        "variant_id", "variant_type", F.expr(POD).alias("pod"), F.inline(rows),
+        "variant_id", "variant_type", F.expr(POD).alias("pod"), *more, F.inline(rows),
     )
 
 
@@ -87,12 +90,11 @@ def linked_spans(spark, sf_dir):
     r = v.requests(spark, sf_dir)
     trace = Window.partitionBy("user_id", F.expr("us div 3600000000")).orderBy("us", "request_id")
     sid = lambda prefix, rid: F.substring(F.sha2(F.concat(F.lit(prefix), rid.cast("string")), 256), 1, 16)
-    before = r.select("request_id", sid("g", F.lag("request_id").over(trace)).alias("before"))
+    r = r.withColumn("before", sid("g", F.lag("request_id").over(trace)))
     called = F.when(F.col("service") != "gateway", F.col("parent_span_id")).when(F.col("request_id") % 53 == 0, sid("m", F.col("request_id")))
     return (
-        spans(spark, sf_dir)
+        spans_of(r, "before")
         .where("NOT (request_id % 17 = 0 AND service = 'gateway')")
-        .join(before, "request_id")
         .select("trace_id", "span_id", called.otherwise(F.col("before")).alias("parent_span_id"), "service", "start_us", "end_us")
     )
 
