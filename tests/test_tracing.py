@@ -43,3 +43,11 @@ def test_time_by_itself_with_many_overlapping_children(spark):
     for block in (4096, 7):
         got = tracing.covered(spark.createDataFrame(rows, SCHEMA), block).collect()
         assert [(r.span_id, r.children, r.covered_us) for r in got] == [("p", 600, len(busy))]
+
+
+def test_found_roots_are_not_written_again(spark, monkeypatch):
+    written, saved = [], tracing.saved
+    monkeypatch.setattr(tracing, "saved", lambda df, name: written.append(df.count()) or saved(df, name))
+    rows = [("t", str(i), str(i - 1) if i else None, 0, 10) for i in range(8)] + [("u", f"a{i}", None, 0, 10) for i in range(500)]
+    assert tracing.ancestry(spark.createDataFrame(rows, SCHEMA)).count() == 508
+    assert sum(written) < 2.2 * 508
