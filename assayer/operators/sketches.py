@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from assayer.operators.datasets import cardinality_guard
+from assayer.shared import saved, stored
 
 LOG_REGISTERS = 14  # of a distinct-count sketch: a relative standard error of 1.04 / 2**7, that is 0.8 %
 MARGIN = 0.05  # six standard errors
@@ -20,8 +21,12 @@ RANK_ERROR = 0.0133  # of a quantile, as a share of all ranks: three times what
 
 
 def write_by_day(sketches: DataFrame, path: str, day: str = "day") -> None:
-    """Store sketches by day; a day that is built again replaces its own."""
-    sketches.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(day).parquet(path)
+    """Store sketches by day; a day that is built again replaces its own.
+
+    A day's sketches are brought together first, else each task writes a file of its own for each day; a day too large for
+    one task is divided again.
+    """
+    sketches.hint("rebalance", day).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(day).parquet(path)
 
 
 def daily_distinct(rows: DataFrame, keys: Sequence[str], identifier: str, day: str = "day") -> DataFrame:
@@ -38,10 +43,12 @@ def sketched_guard(rows: DataFrame, sketches: DataFrame, keys: Sequence[str], id
     """(keys, estimate, distinct_ids, over_limit): groups that reach the limit, as the exact guard finds them.
 
     The sketches name the groups that may reach it (estimate within ``MARGIN``, six standard errors); only their rows are
-    read and counted exactly. ``distinct_ids`` is null for all other groups.
+    read and counted exactly. ``distinct_ids`` is null for all other groups. The estimates, one row per group, are stored
+    once: the sketches are read once, and the join that picks the rows is planned by the size of what it looks for.
     """
     keys = list(keys)
-    estimates = distinct_estimates(sketches, keys)
+    merged = distinct_estimates(sketches, keys)
+    estimates = stored(rows.sparkSession, saved(merged, "estimates"), merged)
     near = estimates.where(F.col("estimate") >= limit * (1 - MARGIN))
     same = lambda a, b: [a[k].eqNullSafe(b[k]) for k in keys]
     suspects = rows.select(*keys, identifier)

@@ -128,6 +128,35 @@ def test_sketched_guard_flags_what_the_exact_one_flags(spark, tmp_path):
         assert abs(got[team]["estimate"] - n) <= sketches.MARGIN * n
 
 
+def test_sketches_of_a_day_are_one_file_and_read_once(spark, tmp_path):
+    df = spark.range(6000).selectExpr("concat('r', id % 60) AS run", "CAST(id % 25 AS INT) AS day", "CAST(id AS STRING) AS id")
+    daily = sketches.daily_distinct(df, ["run"], "id").localCheckpoint()
+    path = str(tmp_path / "ids")
+    sketches.write_by_day(daily.repartition(4, "run"), path)
+    files = [sum(f.suffix == ".parquet" for f in day.iterdir()) for day in (tmp_path / "ids").glob("day=*")]
+    assert files == [1] * 25  # not one for each task and day
+    stored = spark.read.parquet(path)
+    assert stored.count() == daily.count() == 300
+    found = sketches.sketched_guard(df, stored, ["run"], "id", 80)
+    assert not [f for f in found.inputFiles() if "/ids/" in f]
+    assert {(r["distinct_ids"], r["over_limit"]) for r in found.collect()} == {(100, True)} and found.count() == 60
+
+
+def test_a_hot_day_of_sketches_is_divided(spark, tmp_path):
+    size = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(size)
+    day = "CAST(IF(id % 50 = 0, id % 7, 9) AS INT) AS day"
+    df = spark.range(0, 40_000, 1, 4).selectExpr("concat('r', id) AS run", day, "sha2(CAST(id AS STRING), 256) AS ids")
+    spark.conf.set(size, "64k")
+    try:
+        sketches.write_by_day(df, str(tmp_path / "ids"))
+    finally:
+        spark.conf.set(size, before)
+    files = {day.name: sum(f.suffix == ".parquet" for f in day.iterdir()) for day in (tmp_path / "ids").glob("day=*")}
+    assert files["day=9"] > 1 and len(files) == 8
+    assert spark.read.parquet(str(tmp_path / "ids")).count() == 40_000
+
+
 def test_quantile_sketches_merge_within_their_bound(spark, tmp_path):
     points = {"p1": 10, "p50": 500, "p95": 950, "p99": 990}
     df = spark.range(60_000).selectExpr(
