@@ -94,13 +94,14 @@ def links(distinct: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> Da
     A table per covering mask; fingerprints that agree under it meet in a bucket. Inside a bucket a search from
     fingerprint to fingerprint yields a spanning forest, so its links grow with its members and not with its pairs.
     Buckets over ``bucket`` members are cut into blocks by hash, and every pair of blocks meets in a task of its own.
+    Spark sizes the exploded table by its rows before the explode and would broadcast it: the join is told to sort.
     """
     signed = [m - 2**64 if m >= 2**63 else m for m in covering_masks(radius)]
     cells = F.array(*[F.struct(F.lit(v).alias("v"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for v, m in enumerate(signed)])
     keyed = distinct.select("fp", F.inline(cells))
     shared = keyed.groupBy("v", "key").count().where("count > 1")
     blocks = F.ceil(F.col("count") / bucket).cast("int")
-    met = keyed.join(shared, ["v", "key"]).withColumn("blocks", blocks)
+    met = keyed.hint("merge").join(shared, ["v", "key"]).withColumn("blocks", blocks)
     own = F.pmod(F.xxhash64("fp"), F.col("blocks"))
     pairs = F.transform(
         F.sequence(F.lit(0), F.greatest(F.col("blocks"), F.lit(1)) - 1),
@@ -127,7 +128,8 @@ def _grouped(prints: DataFrame, radius: int) -> DataFrame:
         "fp", "first", F.coalesce("label", "fp").alias("label")
     )
     least = labelled.groupBy("label").agg(F.min("first").alias("component_id"))
-    return prints.join(labelled.join(least, "label").select("fp", "label", "component_id"), "fp")
+    # Copies pack so well that a file of few bytes can hold any number of rows: never broadcast by its size.
+    return prints.hint("merge").join(labelled.join(least, "label").select("fp", "label", "component_id"), "fp")
 
 
 def near_groups(docs: DataFrame, radius: int = RADIUS, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

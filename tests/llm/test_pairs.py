@@ -6,6 +6,7 @@ import random
 import re
 
 import numpy as np
+import pandas as pd
 import xxhash
 from pyspark.sql import functions as F
 
@@ -180,3 +181,36 @@ def test_near_groups_edges(spark, edges, none):
     assert [r["row"] for r in simhash.keep_one(twice).collect()] == [3]
     lone = edges.where(F.col("doc_id").isNull() & F.col("text").isNotNull())
     assert [r["component_id"] for r in simhash.near_groups(lone).collect()] == [None] and simhash.keep_one(lone).count() == 1
+
+
+def broadcast_bytes(plan):
+    """Measured size of each table that a plan, once run, has broadcast."""
+    kind = plan.getClass().getSimpleName()
+    if kind == "BroadcastExchangeExec":
+        return [plan.metrics().apply("dataSize").value()]
+    below = [plan.executedPlan()] if kind == "AdaptiveSparkPlanExec" else [plan.plan()] if kind.endswith("QueryStageExec") else None
+    children = plan.children()
+    below = [children.apply(i) for i in range(children.size())] if below is None else below
+    return [x for p in below for x in broadcast_bytes(p)]
+
+
+LIMIT = 10 << 20  # Spark's own threshold
+
+
+def test_links_broadcast_no_exploded_table(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    fps = rng.integers(-(2**63), 2**63 - 1, 20_000)  # 160 KB in a file, 31 rows of each when they meet
+    fps = np.concatenate([fps, fps[:50] ^ 5])
+    spark.createDataFrame(pd.DataFrame({"fp": fps})).write.parquet(f"{tmp_path}/fps")
+    links = simhash.links(spark.read.parquet(f"{tmp_path}/fps"))
+    found = {frozenset((r["a"], r["b"])) for r in links.collect()}
+    assert found == {frozenset((int(x), int(x ^ 5))) for x in fps[:50]}
+    assert all(size <= LIMIT for size in broadcast_bytes(links._jdf.queryExecution().executedPlan()))
+
+
+def test_groups_broadcast_no_table_of_many_copies(spark):
+    many, few = spark.range(300_000).select(F.lit("a copy").alias("text")), spark.range(2_000).select(F.sha2(F.col("id").cast("string"), 256).alias("text"))
+    docs = many.union(few).select(F.lit(None).cast("long").alias("doc_id"), "text")  # a few KB in files once fingerprinted
+    sizes = simhash.near_groups(docs).groupBy("fp").count().agg(F.count("*"), F.max("count"))
+    assert sizes.collect() == [(2_001, 300_000)]
+    assert all(size <= LIMIT for size in broadcast_bytes(sizes._jdf.queryExecution().executedPlan()))
