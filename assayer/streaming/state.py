@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from contextlib import contextmanager
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -109,23 +110,54 @@ PARTS = 4096
 HELD = {"run_id": "string", "seq": "bigint", "status": "string", "done": "bigint", "last_ms": "bigint", "due_ms": "bigint"}
 
 
-def _newest(changes: pd.DataFrame) -> pd.DataFrame:
-    """One row per run: the status of its newest change, ties as in ``runs.latest_status``; finished calls; last time."""
-    ordered = changes.assign(ended=changes["status"].isin(runs.FINISHED)).sort_values(["seq", "ended", "status"])
-    last = dict(seq=("seq", "last"), status=("status", "last"), done=("done", "sum"), last_ms=("last_ms", "max"))
-    return ordered.groupby("run_id", sort=False, dropna=False).agg(**last).reset_index()
+NEVER = -(2**63)  # stands for the time of a change that has none
 
 
-def _shown(found: pd.DataFrame, expired: bool) -> pd.DataFrame:
-    return found[["run_id", "seq", "status", "done"]].assign(expired=expired)
+class _Run(NamedTuple):
+    """What is known of a run: its newest change, the calls it has finished in all, its last time."""
+
+    seq: int | None
+    status: str | None
+    done: int
+    last_ms: int
+
+    def place(self) -> tuple:
+        """Order of changes, ties as in ``runs.latest_status``; one without a number is older than any other."""
+        return self.seq is not None, self.seq or 0, self.status in runs.FINISHED, self.status or ""
+
+    def with_change(self, change: _Run) -> _Run:
+        older, newer = (self, change) if self.place() <= change.place() else (change, self)
+        return _Run(
+            newer.seq,
+            older.status if newer.status is None else newer.status,
+            self.done + change.done,
+            max(self.last_ms, change.last_ms),
+        )
+
+    def ended(self) -> bool:
+        return self.status in runs.FINISHED
+
+
+def _values(column: pd.Series) -> list:
+    """A column as a list, None for what is missing; whole numbers that stand as floats beside missing ones are whole again."""
+    if column.dtype.kind in "iu":
+        return column.tolist()
+    of_numbers = column.dtype.kind == "f"
+    return [None if x is None or x != x else int(x) if of_numbers else x for x in column.tolist()]
+
+
+def _shown(found: Iterable[tuple[str | None, _Run]], expired: bool) -> pd.DataFrame:
+    rows = [(run_id, run.seq, run.status, run.done, expired) for run_id, run in found]
+    return pd.DataFrame(rows, columns=["run_id", "seq", "status", "done", "expired"], dtype=object)
 
 
 class RunState(StatefulProcessor):
     """Newest status of the runs of one part and how many calls each has finished in all.
 
     A run that has ended is forgotten ``keep_ms`` of event time after its last change: one more row with ``expired``
-    says so. A later change reopens it from nothing. Runs of a part are changed together, column by column; the state is
-    asked a few times for each part and batch, and one timer waits for the part's next end.
+    says so. A later change reopens it from nothing. The state is asked a few times for each part and batch, and one
+    timer waits for the part's next end. A part has few runs, so they are changed one by one: data frames are made of
+    what is put out only.
     """
 
     def __init__(self, keep_ms: int | None) -> None:
@@ -136,52 +168,60 @@ class RunState(StatefulProcessor):
         arrays = ", ".join(f"{name} array<{kind}>" for name, kind in HELD.items())
         self.state = handle.getValueState("runs", f"{arrays}, timer_ms bigint")
 
-    def _held(self) -> tuple[pd.DataFrame, int]:
-        found = self.state.get() if self.state.exists() else None
-        columns = [[] for _ in HELD] if found is None else found[:-1]
-        kinds = {name: "object" if kind == "string" else "int64" for name, kind in HELD.items()}
-        return pd.DataFrame(dict(zip(HELD, map(list, columns)))).astype(kinds), 0 if found is None else int(found[-1])
+    def _held(self) -> tuple[dict[str | None, _Run], dict[str | None, int], int]:
+        """The part's runs, the times at which those that have ended are due, and the part's timer."""
+        if not self.state.exists():
+            return {}, {}, 0
+        ids, seqs, statuses, done, last_ms, due_ms, timer = self.state.get()
+        return dict(zip(ids, map(_Run, seqs, statuses, done, last_ms))), {i: due for i, due in zip(ids, due_ms) if due}, int(timer)
 
-    def _hold(self, held: pd.DataFrame, timer: int) -> None:
-        ends = held["due_ms"][held["due_ms"] > 0]
-        due = int(ends.min()) if len(ends) else 0
+    def _hold(self, held: dict[str | None, _Run], dues: dict[str | None, int], timer: int) -> None:
+        due = min(dues.values(), default=0)
         if timer and timer != due:
             self.handle.deleteTimer(timer)
         if due and due != timer:
             self.handle.registerTimer(due)
-        if len(held):
-            ids = held["run_id"].where(held["run_id"].notna(), None)
-            self.state.update((*(held.assign(run_id=ids)[name].tolist() for name in HELD), due))
+        if held:
+            self.state.update((list(held), *map(list, zip(*held.values())), [dues.get(i, 0) for i in held], due))
         else:
             self.state.clear()
 
+    def _changes(self, rows: Iterable[pd.DataFrame]) -> Iterator[tuple[str | None, _Run]]:
+        for pdf in rows:
+            ids, seqs, statuses, done = (_values(pdf[name]) for name in ("run_id", "seq", "status", "done"))
+            times = [0] * len(pdf) if self.keep_ms is None else (NEVER if x is None else x for x in _values(pdf["ts_ms"]))
+            yield from zip(ids, map(_Run, seqs, statuses, (x or 0 for x in done), times))
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        changes = pd.concat(list(rows), ignore_index=True)
-        changes = changes.assign(last_ms=0) if self.keep_ms is None else changes.rename(columns={"ts_ms": "last_ms"})
-        held, timer = self._held()
-        touched = held["run_id"].isin(changes["run_id"])
-        before, others = held[touched], held[~touched]
-        due = changes[["run_id"]].merge(before[["run_id", "due_ms"]], "left", "run_id")["due_ms"].fillna(0)
-        after = (due.to_numpy() > 0) & (changes["last_ms"] >= due.to_numpy())
-        if after.any():  # by its own time a change behind the run's end belongs to a new run
-            met, meets = before["run_id"].isin(changes["run_id"][after]), changes["run_id"].isin(changes["run_id"][after])
-            closing = _newest(pd.concat([before[met], changes[meets & ~after]]))
-            ended = closing["status"].isin(runs.FINISHED)
-            if ended.any():
-                yield _shown(closing[ended], True)
-            before, changes = pd.concat([before[~met], closing[~ended]]), changes[after | ~meets]
-        now = _newest(pd.concat([before, changes]))
-        ended = now["status"].isin(runs.FINISHED) & (self.keep_ms is not None)
-        now["due_ms"] = (now["last_ms"] + (self.keep_ms or 0)).where(ended, 0)
-        self._hold(pd.concat([others, now]), timer)
-        yield _shown(now, False)
+        held, dues, timer = self._held()
+        now: dict[str | None, _Run] = {}
+        anew: dict[str | None, _Run] = {}
+        for run_id, change in self._changes(rows):
+            due = dues.get(run_id)
+            # By its own time a change behind the run's end belongs to a new run.
+            if due and change.last_ms >= due:
+                anew[run_id] = anew[run_id].with_change(change) if run_id in anew else change
+            else:
+                before = now.get(run_id) or held.get(run_id)
+                now[run_id] = before.with_change(change) if before else change
+        closing = {i: now.get(i) or held[i] for i in anew}
+        if over := [(i, run) for i, run in closing.items() if run.ended()]:
+            yield _shown(over, True)
+        now |= {i: change if closing[i].ended() else closing[i].with_change(change) for i, change in anew.items()}
+        held |= now
+        if self.keep_ms is not None:
+            for i, run in now.items():
+                dues[i] = run.last_ms + self.keep_ms if run.ended() else 0
+        self._hold(held, {i: due for i, due in dues.items() if due > 0}, timer)
+        yield _shown(now.items(), False)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        held, _ = self._held()
-        over = (held["due_ms"] > 0) & (held["due_ms"] <= timerValues.getCurrentWatermarkInMs())
-        self._hold(held[~over], 0)
-        if over.any():
-            yield _shown(held[over], True)
+        held, dues, _ = self._held()
+        until = timerValues.getCurrentWatermarkInMs()
+        over = [(i, held.pop(i)) for i, due in dues.items() if due <= until]
+        self._hold(held, {i: due for i, due in dues.items() if i in held}, 0)
+        if over:
+            yield _shown(over, True)
 
     def close(self) -> None:
         pass

@@ -200,6 +200,41 @@ def test_a_part_of_many_runs_asks_the_store_a_few_times(spark):
     assert handle.timers == {60_000, 62_002} and handle.asked <= 6  # the timer that has expired is the store's to drop
 
 
+def test_a_part_makes_data_frames_of_its_output_only(monkeypatch):
+    changes = pd.DataFrame({"run_id": ["a", "b", "a"], "seq": [1, 1, 2], "status": ["running", "failed", "failed"], "done": 1, "ts_ms": [5, 6, 7]})
+    later = pd.DataFrame({"run_id": ["b"], "seq": [9], "status": ["running"], "done": [1], "ts_ms": [90_000]})
+    made, init = [], pd.DataFrame.__init__
+    states, handle = state.RunState(60_000), RunHandle()
+    states.init(handle)
+    monkeypatch.setattr(pd.DataFrame, "__init__", lambda self, *a, **b: (made.append(1), init(self, *a, **b))[1])
+    out = [f for frame in (changes, later) for f in states.handleInputRows((0,), iter([frame]), None)]
+    assert len(made) == len(out) == 3
+    monkeypatch.undo()
+    rows = [tuple(r) for f in out for r in f.values.tolist()]
+    assert sorted(rows) == [("a", 2, "failed", 2, False), ("b", 1, "failed", 1, False), ("b", 1, "failed", 1, True), ("b", 9, "running", 1, False)]
+    assert handle.timers == {60_007}
+
+
+def test_changes_without_a_number_an_id_or_a_time():
+    columns = ["run_id", "seq", "status", "done", "ts_ms"]
+    batches = [
+        [("r", None, "failed", 1, 100), (None, 4, "failed", 1, 100), ("r", 3, "running", 1, None)],
+        [(None, 2, "running", 1, 110), ("t", 1, "failed", 1, None), ("s", None, "failed", 1, 50)],
+    ]
+    states, handle = state.RunState(1000), RunHandle()
+    states.init(handle)
+    shown = {}
+    for rows in batches:
+        for frame in states.handleInputRows((0,), iter([pd.DataFrame(rows, columns=columns)]), None):
+            shown |= {r[0]: tuple(r[1:]) for r in frame.values.tolist()}
+    # A change without a number is older than all others, as in ``runs.latest_status``; an ended run without a time stays.
+    assert shown == {"r": (3, "running", 2, False), None: (4, "failed", 2, False), "t": (1, "failed", 1, False), "s": (None, "failed", 1, False)}
+    assert handle.timers == {1050}
+    at_end = type("Now", (), {"getCurrentWatermarkInMs": lambda self: 5000})()
+    gone = pd.concat(states.handleExpiredTimer((0,), at_end, None))
+    assert gone["run_id"].tolist() == [None, "s"] and gone["expired"].all()
+
+
 def test_changes_with_one_number_have_one_order(spark):
     schema = "run_id string, seq bigint, status string, done bigint"
     tied = [("r", 1, "failed", 1), ("r", 1, "running", 1), ("r", 1, "completed", 1)]
