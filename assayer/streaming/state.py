@@ -29,12 +29,17 @@ def rocksdb(spark: SparkSession) -> Iterator[None]:
         spark.conf.unset(PROVIDER) if before is None else spark.conf.set(PROVIDER, before)
 
 
+FRAME_ROWS = 4096  # fixed value: gains from which a data frame is put out
+
+
 class CounterGains(StatefulProcessor):
     """Gain of each sample over the one before it in the series, in time order.
 
     Samples wait until the watermark has passed the end of their bucket of time, so out-of-order arrival does not look
     like a restart. A value below its predecessor is a restart from zero. A bucket is one entry of a map with one timer:
-    a batch reads and writes the buckets its samples fall into, a timer its own bucket, whatever else is waiting.
+    a batch reads and writes the buckets its samples fall into, a timer its own bucket, whatever else is waiting. When
+    the watermark has passed several buckets at once, as it does while a stream catches up, the first of their timers
+    puts them all out in few data frames, and the others find nothing left.
     """
 
     def __init__(self, bucket_s: int) -> None:
@@ -60,24 +65,36 @@ class CounterGains(StatefulProcessor):
             self.waiting.updateValue((due,), (times, held))
         return iter(())
 
+    def _passed(self, due: int, timerValues) -> list[int]:
+        """Ends of the series' buckets that the watermark has passed, in order, from the one whose timer has expired."""
+        until = due * 1000 if timerValues is None else timerValues.getCurrentWatermarkInMs()
+        if until <= (due + self.bucket_s) * 1000:
+            return [due]
+        return sorted({due, *(ms // 1000 for ms in self.handle.listTimers() if due * 1000 < ms < until)})
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         due = expiredTimerInfo.getExpiryTimeInMs() // 1000
-        times, held = self.waiting.getValue((due,))
-        self.waiting.removeKey((due,))
+        found = self.waiting.getValue((due,))
+        if found is None:  # it came out with an earlier bucket
+            return
+        columns = [*(f"_k{i}" for i in range(len(key))), "from_t", "t", "gain", "ts"]
         before = self.last.get() if self.last.exists() else None
         rows = []
-        for t, value in sorted(zip(times, held)):
-            if before is not None:
-                rows.append((int(before[1]), t, value if value < before[0] else value - before[0]))
-            before = (float(value), int(t))
+        for passed in self._passed(due, timerValues):
+            times, held = found if passed == due else self.waiting.getValue((passed,))
+            self.waiting.removeKey((passed,))
+            # Just before the bucket's end: the watermark of the batch before has not passed it.
+            ts = pd.Timestamp(passed * 1000 - 1, unit="ms", tz="UTC")
+            for t, value in sorted(zip(times, held)):
+                if before is not None:
+                    rows.append((*key, int(before[1]), t, value if value < before[0] else value - before[0], ts))
+                before = (float(value), int(t))
+            if len(rows) >= FRAME_ROWS:
+                yield pd.DataFrame(rows, columns=columns)
+                rows = []
         self.last.update(before)
         if rows:
-            out = pd.DataFrame(rows, columns=["from_t", "t", "gain"])
-            for i, part in enumerate(key):
-                out.insert(i, f"_k{i}", part)
-            # Just before the bucket's end: the watermark of the batch before has not passed it.
-            out["ts"] = pd.Timestamp(due * 1000 - 1, unit="ms", tz="UTC")
-            yield out
+            yield pd.DataFrame(rows, columns=columns)
 
     def close(self) -> None:
         pass

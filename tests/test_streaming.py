@@ -104,6 +104,54 @@ def test_a_batch_does_not_touch_what_is_waiting():
     assert costs[0] == costs[1]
 
 
+class MapEntry(Entry):
+    def getValue(self, key):
+        return self._do(self.held.get(key))
+
+
+class TimerHandle(Handle):
+    def getMapState(self, *_):
+        self.entries.append(MapEntry())
+        return self.entries[-1]
+
+    def listTimers(self):
+        return iter(self.timers)
+
+
+def expired_gains(gains, handle, until):
+    """Frames that the timers before ``until`` yield, in their order."""
+    now = type("Now", (), {"getCurrentWatermarkInMs": lambda self: until})()
+    for ms in sorted(x for x in handle.timers if x < until):
+        info = type("Info", (), {"getExpiryTimeInMs": lambda self, ms=ms: ms})()
+        yield from gains.handleExpiredTimer(("hot", None), now, info)
+        handle.timers.discard(ms)
+
+
+def test_buckets_that_end_together_come_out_in_few_frames(monkeypatch):
+    rng = random.Random(7)
+    times = [t for t in range(0, 30 * 200, 10) if rng.random() < 0.2]
+    samples = pd.DataFrame({"t": times, "value": [float(rng.randrange(50)) for _ in times]})
+    found = {}
+    for way, untils in {"one by one": range(30_000, 6_000_001, 30_000), "at once": [5_000_000, 6_000_001]}.items():
+        gains, handle = state.CounterGains(30), TimerHandle()
+        gains.init(handle)
+        list(gains.handleInputRows(("hot", None), iter([samples.sample(frac=1, random_state=3)]), None))
+        frames = [list(expired_gains(gains, handle, until + 1)) for until in untils]
+        found[way] = pd.concat([f for some in frames for f in some], ignore_index=True)
+        assert not handle.timers and not gains.waiting.held
+        assert way == "one by one" or [len(some) for some in frames] == [1, 1]
+    pd.testing.assert_frame_equal(found["one by one"], found["at once"])
+    assert len(found["at once"]) == len(times) - 1 and found["at once"]["_k1"].isna().all()
+    assert (found["at once"]["ts"].astype("int64") // 10**6 == (found["at once"]["t"] // 30 + 1) * 30_000 - 1).all()
+    monkeypatch.setattr(state, "FRAME_ROWS", 20)
+    gains, handle = state.CounterGains(30), TimerHandle()
+    gains.init(handle)
+    list(gains.handleInputRows(("hot", None), iter([samples]), None))
+    frames = list(expired_gains(gains, handle, 6_000_001))
+    assert max(map(len, frames)) <= 22  # a bucket has three samples at most
+    pd.testing.assert_frame_equal(pd.concat(frames, ignore_index=True), found["at once"])
+
+
 def test_streamed_rules_over_batches_equal_the_batch_form(spark, tmp_path):
     rng = random.Random(2)
     rows, schema = [], "pod string, le string, t bigint, value double, ts timestamp"
