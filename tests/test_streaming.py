@@ -152,6 +152,21 @@ def test_buckets_that_end_together_come_out_in_few_frames(monkeypatch):
     pd.testing.assert_frame_equal(pd.concat(frames, ignore_index=True), found["at once"])
 
 
+def test_a_bucket_asks_the_store_as_often_however_many_end_with_it():
+    asked = {}
+    for buckets in (10, 1000):
+        gains, handle = state.CounterGains(30), TimerHandle()
+        gains.init(handle)
+        samples = pd.DataFrame({"t": range(0, buckets * 30, 30), "value": [float(x) for x in range(buckets)]})
+        list(gains.handleInputRows(("hot", None), iter([samples]), None))
+        before = handle.asked
+        frames = list(expired_gains(gains, handle, buckets * 30_000 + 1))
+        assert sum(map(len, frames)) == buckets - 1 and len(frames) == 1
+        asked[buckets] = handle.asked - before
+    # Each is read with the first and removed; its own timer looks for it once more.
+    assert asked[1000] - asked[10] == 3 * 990
+
+
 def test_streamed_rules_over_batches_equal_the_batch_form(spark, tmp_path):
     rng = random.Random(2)
     rows, schema = [], "pod string, le string, t bigint, value double, ts timestamp"
